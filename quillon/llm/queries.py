@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, ngram_join, secret_ledger, sstable, substring_dedup
+from . import decontaminate, exact_dedup, html_density, line_dedup, ngram_join, packing, quality_crf, secret_ledger, sstable, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,14 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similarity_components(spark, table(spark, sf_dir, "documents"), n=3, percent=90)
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_crf.quality(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_density.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(spark, table(spark, sf_dir, "documents"))
 
@@ -29,6 +37,14 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(line_dedup.line_dedup(spark, table(spark, sf_dir, "documents")))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(spark, table(spark, sf_dir, "documents"))
+
+
 def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.token_shards(spark, table(spark, sf_dir, "documents"))
 
@@ -44,11 +60,15 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_join": op1_ngram_join,
+        "op2_quality": op2_quality,
+        "op3_html_text": op3_html_text,
         "op4_exact_dedup": op4_exact_dedup,
         "op5_decontaminate": op5_decontaminate,
+        "op6_line_dedup": op6_line_dedup,
+        "op7_packing": op7_packing,
         "op8_token_shards": op8_token_shards,
-        "op10_secret_scan": op10_secret_scan,
         "op9_substring_dedup": op9_substring_dedup,
+        "op10_secret_scan": op10_secret_scan,
     }
 
 
