@@ -6,6 +6,12 @@ space that stands between two other characters, each part encoded alone, and the
 ids joined; parts repeat like words do, so a table of the parts seen so far
 answers for most. The table stops growing at KEPT parts; parts beyond are encoded
 each time.
+
+A part that isn't in the table is taken apart where the vocabularies' own split
+pattern does so for certain: at a single line end between other characters, and
+before one closing punctuation mark behind letters. Letters alone are one split
+part and go to the library's merge model at once; all else goes through the whole
+tokenizer.
 """
 
 from __future__ import annotations
@@ -14,13 +20,32 @@ import re
 from array import array
 from functools import lru_cache
 
-KEPT = 300_000
+KEPT = 600_000
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+_LINES = re.compile(r" ?\S+(?:\n\S+)+")
 _ALONE = 64
+_CLOSING = frozenset(".,;:!?")
+#: Latin letters, which both normal forms and lower-casing leave letter by letter; the dotted capital I excepted.
+_LATIN_END = "ɐ"
+_DOTTED = "İ"
+
+
+def _byte_letters() -> dict[int, str]:
+    """The printable letter that byte-level vocabularies write for each byte (fixed by their format)."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    table = {b: chr(b) for b in printable}
+    rest = [b for b in range(256) if b not in table]
+    return table | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+_LETTERS = _byte_letters()
 
 
 class Encoder(dict):
-    """``space``: whether a part keeps the space before it (a byte-level vocabulary)."""
+    """``space``: whether a part keeps the space before it (a byte-level vocabulary).
+
+    Without it the vocabulary lower-cases and brings letters to normal form C.
+    """
 
     def __init__(self, path: str, space: bool, code: str):
         from tokenizers import Tokenizer
@@ -28,10 +53,22 @@ class Encoder(dict):
         super().__init__()
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
+        self._merge = self._tokenizer.model.tokenize
         self._space, self._code = space, code
 
     def __missing__(self, part: str) -> bytes:
-        ids = array(self._code, self._tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
+        core = part[1:] if part[:1] == " " else part
+        head = core[:-1]
+        if core.isalpha() and _LATIN_END > max(core) and _DOTTED not in core:
+            whole = part if self._space else part.lower()
+            ids = array(self._code, [t.id for t in self._merge(whole.encode().decode("latin-1").translate(_LETTERS))]).tobytes()
+        elif core[-1:] in _CLOSING and head.isalpha():
+            ids = self[part[:-1]] + self[core[-1]]
+        elif "\n" in core and _LINES.fullmatch(part):
+            first, *rest = part.split("\n")
+            return self[first] + b"".join([self["\n"] + self[p] for p in rest])
+        else:
+            ids = array(self._code, self._tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
         if len(self) < KEPT and len(part) <= _ALONE:
             self[part] = ids
         return ids
