@@ -13,7 +13,9 @@ How it is dealt out:
 * One tree over all points would prune nothing from the top (in many dimensions
   its upper nodes cover everything), so the points are dealt to trees by the
   tokens at the front of their set: two sets with Jaccard similarity t share one
-  of the first n - ceil(t n) + 1 tokens of any fixed order. The order puts
+  of the first n - ceil(t n) + 1 tokens of any fixed order (the smaller set even
+  of its first n - ceil(2 t n / (1 + t)) + 1), and a token's row goes no further
+  unless a row of a fitting size is there to meet it. The order puts
   tokens last whose cell of a fixed-size count sketch of all tokens is crowded,
   then goes by hash, so that trees stay small and no token is left out.
 * Trees that hold the same classes are built once; those of two classes need no
@@ -56,7 +58,7 @@ CROWDED = 4.0
 #: Members of a tree in one task.
 BLOCK = 4096
 
-_FIRST, _SECOND = W.byte_table(21, True), W.byte_table(22, True)
+_FIRST = W.byte_table(21, True)
 
 
 def _shingle_sets(raw: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -99,14 +101,20 @@ def _sketch(n: int):
     return run
 
 
-def _add_strips(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-    total = sum(np.frombuffer(x, np.uint32 if small else np.int64).astype(np.int64) for x, small in zip(group["counts"], group["small"], strict=True))
-    return pd.DataFrame({"strip": [key[0]], "counts": [total.tobytes()]})
+def _add_strips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums of a task's strips, one in hand for each."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for strip, counts, small in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+            own = np.frombuffer(counts.as_buffer(), np.uint32 if small else np.int64).astype(np.int64)
+            sums[strip] = sums[strip] + own if strip in sums else own
+    if sums:
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["strip", "counts"])
 
 
 def crowded_cells(docs: DataFrame, n: int) -> np.ndarray:
     """Which cells of the sketch are crowded. What reaches the driver has a fixed size."""
-    strips = docs.mapInArrow(_sketch(n), "strip long, counts binary, small boolean").groupBy("strip").applyInPandas(_add_strips, "strip long, counts binary").collect()
+    strips = docs.mapInArrow(_sketch(n), "strip long, counts binary, small boolean").repartition("strip").mapInArrow(_add_strips, "strip long, counts binary").collect()
     counts = np.zeros((64, (1 << SKETCH_BITS) // 64), np.int64)
     for row in strips:
         counts[row.strip] = np.frombuffer(row.counts, np.int64)
@@ -278,8 +286,10 @@ def similarity_components(spark: SparkSession, docs: DataFrame, n: int = 5, perc
     heads = points.join(classes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "n", "point", "front")
 
     # of the tokens' rows only those stay whose token has another class's row
-    front = heads.select(F.explode("front").alias("tok"), "id", "n")
-    shared = front.repartition("tok").sortWithinPartitions("tok").mapInArrow(_shared, "tok long, id long, n int")
+    front = heads.select(F.posexplode("front").alias("at", "tok"), "id", "n")
+    early = F.col("at") < F.expr(f"n - (2 * {percent} * n + {99 + percent}) div {100 + percent} + 1")
+    front = front.select("tok", "id", "n", early.cast("long").alias("early"))
+    shared = front.repartition("tok").sortWithinPartitions("tok", "n", "id").mapInArrow(_shared(percent), "tok long, id long, n long")
     shared = scratch.save(shared, "shared")
     where = heads.select("id", "point")
 
@@ -309,21 +319,38 @@ def similarity_components(spark: SparkSession, docs: DataFrame, n: int = 5, perc
     )
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by token, those whose token has more than one row."""
-    held = None  # the last row so far, and whether it has been given
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        batch = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2).cast(pa.int32())], ["tok", "id", "n"])
-        tok = batch.column(0).to_numpy()
-        same = tok[1:] == tok[:-1]
-        keep = np.zeros(len(tok), bool)
-        keep[1:] |= same
-        keep[:-1] |= same
-        if held is not None and held[0].column(0)[0].as_py() == tok[0]:
-            keep[0] = True
-            if not held[1]:
-                yield held[0]
-        held = (batch.slice(len(tok) - 1), bool(keep[-1]))
-        yield batch.filter(pa.array(keep))
+def _shared(percent: int):
+    """Of rows sorted by token and size, those that another row of the token can be similar to.
+
+    A pair is looked at from its smaller set x: its token is among the first
+    n - ceil(2 t n / (1 + t)) + 1 of x (``early``), and the sizes fit.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("tok", pa.int64()), ("id", pa.int64()), ("n", pa.int64())])
+        carried = np.zeros((4, 0), np.int64)  # the last row, which needs the next one
+        early0 = (0, -1)  # token and size of the last early row before it
+
+        def kept(rows: np.ndarray, decided: int) -> pa.RecordBatch:
+            tok, n, early = rows[0], rows[2], rows[3] > 0
+            last = np.maximum.accumulate(np.where(early, np.arange(len(tok)), -1))
+            before = np.concatenate([[-1], last[:-1]])
+            from_tok, from_n = np.where(before >= 0, tok[before], early0[0]), np.where(before >= 0, n[before], early0[1])
+            keep = (from_n >= 0) & (from_tok == tok) & (100 * from_n >= percent * n)
+            keep[:-1] |= early[:-1] & (tok[1:] == tok[:-1]) & (100 * n[:-1] >= percent * n[1:])
+            at = np.flatnonzero(keep[:decided])
+            return pa.RecordBatch.from_arrays([pa.array(rows[k][at]) for k in range(3)], schema=schema)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = np.concatenate([carried, np.stack([batch.column(k).to_numpy() for k in range(4)])], axis=1)
+            yield kept(rows, rows.shape[1] - 1)
+            early = np.flatnonzero(rows[3, :-1])
+            if len(early):
+                early0 = (rows[0, early[-1]], rows[2, early[-1]])
+            carried = rows[:, -1:]
+        if carried.shape[1]:
+            yield kept(carried, 1)
+
+    return run
