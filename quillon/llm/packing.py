@@ -35,86 +35,100 @@ from .tokens import encoder, public_path
 
 WINDOW = 4096
 #: Combinations that the least-squares problem has at most.
-COMBINATIONS = 20_000
+COMBINATIONS = 40_000
+#: Times that a combination takes one length at most.
+REPEATS = 48
 #: Steps of the solver.
-STEPS = 400
-#: Cut tails whose ids are broadcast; beyond it they are joined by a shuffle.
-BROADCAST_CUTS = 1_000_000
+STEPS = 200
+#: Cut tails (about 300 bytes each) that are broadcast to where their ids are made again; beyond it they are joined by a shuffle.
+BROADCAST_CUTS = 100_000
 
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def combinations(histogram: np.ndarray, window: int, most: int = COMBINATIONS) -> np.ndarray:
-    """Rows of up to four lengths (0 for none) that sum to ``window``, of lengths that the histogram has.
+def combinations(histogram: np.ndarray, window: int, most: int = COMBINATIONS) -> tuple[np.ndarray, np.ndarray]:
+    """(lengths, times): rows of up to four lengths (0 for none) of the histogram, and how often a window holds each.
 
-    All pairs come first, then threes and fours by the product of their
-    lengths' counts, the most frequent first.
+    Each row fills the window exactly. They are one length taken up to REPEATS
+    times with one other to fill up, then threes and fours of the most frequent
+    lengths. Beyond ``most`` those whose lengths are rarer go.
     """
     have = np.flatnonzero(histogram[:window])
     have = have[have > 0]
     present = np.zeros(window + 1, bool)
     present[have] = True
-    low = have[2 * have <= window]
-    pairs = low[present[window - low]]
-    rows = [np.stack([pairs, window - pairs, 0 * pairs, 0 * pairs], axis=1)]
+    a, m = (v.reshape(-1) for v in np.meshgrid(have, np.arange(1, REPEATS + 1), indexing="ij"))
+    b = window - a * m
+    fits = (b > 0) & ((m > 1) | (b >= a))
+    fits[fits] = present[b[fits]]
+    a, m, b = a[fits], m[fits], b[fits]
+    even = have[(window % have == 0) & (window // have <= REPEATS)]
+    zero = lambda v: np.zeros_like(v)
+    rows = [np.stack([a, b, zero(a), zero(a)], axis=1), np.stack([even, zero(even), zero(even), zero(even)], axis=1)]
+    times = [np.stack([m, zero(m) + 1, zero(m), zero(m)], axis=1), np.stack([window // even, zero(even), zero(even), zero(even)], axis=1)]
     common = np.sort(have[np.argsort(-histogram[have], kind="stable")][: int(np.sqrt(most)) + 1])
-    a, b = np.meshgrid(common, common, indexing="ij")
-    a, b = a[a <= b], b[a <= b]
-    c = window - a - b
-    three = (c >= b) & (c > 0)
-    three[three] = present[c[three]]
-    rows.append(np.stack([a[three], b[three], c[three], 0 * a[three]], axis=1))
-    few = common[: int(round(most ** (1 / 3))) + 1]
+    x, y = (v.reshape(-1) for v in np.meshgrid(common, common, indexing="ij"))
+    z = window - x - y
+    three = (x < y) & (z > y)
+    three[three] = present[z[three]]
+    rows.append(np.stack([x[three], y[three], z[three], zero(x[three])], axis=1))
+    few = common[:: max(1, len(common) // (int(round(most ** (1 / 3))) + 1))]
     x, y, z = (v.reshape(-1) for v in np.meshgrid(few, few, few, indexing="ij"))
     w = window - x - y - z
-    four = (x <= y) & (y <= z) & (w >= z) & (w > 0)
+    four = (x < y) & (y < z) & (w > z)
     four[four] = present[w[four]]
     rows.append(np.stack([x[four], y[four], z[four], w[four]], axis=1))
-    found = np.concatenate(rows)
+    times += [(r > 0).astype(int) for r in rows[2:]]
+    found, often = np.concatenate(rows), np.concatenate(times)
     if len(found) > most:
         weight = np.log(np.maximum(histogram[found], 1)).sum(axis=1) / (found > 0).sum(axis=1)
-        first = np.argsort(-weight[len(pairs) :], kind="stable")[: max(0, most - len(pairs))]
-        found = np.concatenate([found[: len(pairs)], found[len(pairs) + first]])
-    return found
+        first = np.sort(np.argsort(-weight, kind="stable")[:most])
+        found, often = found[first], often[first]
+    return found, often
 
 
-def least_squares(rows: np.ndarray, histogram: np.ndarray, steps: int = STEPS) -> np.ndarray:
+def least_squares(rows: np.ndarray, times: np.ndarray, histogram: np.ndarray, steps: int = STEPS) -> np.ndarray:
     """x >= 0 that makes the lengths used, A x, close to the histogram.
 
     A has the combinations as columns. Projected gradient with Nesterov's
     momentum; the step comes from a bound on A'A's largest eigenvalue.
     """
-    used = rows > 0
 
     def forward(x: np.ndarray) -> np.ndarray:
-        return np.bincount(rows[used], np.broadcast_to(x[:, None], rows.shape)[used], minlength=len(histogram))
+        return np.bincount(rows.reshape(-1), (x[:, None] * times).reshape(-1), minlength=len(histogram))
 
     def back(r: np.ndarray) -> np.ndarray:
-        return np.where(used, r[rows], 0).sum(axis=1)
+        return (r[rows] * times).sum(axis=1)
 
     if not len(rows):
         return np.zeros(0)
     target = histogram.astype(float)
     target[0] = 0
-    bound = max(1.0, back(forward(np.ones(len(rows)))).max())
+    # columns are scaled to a length of one, so that long repeats don't hold the step down
+    scale = 1 / np.sqrt((times**2).sum(axis=1))
+    bound = max(1.0, (back(forward(scale)) * scale / scale).max() if len(scale) else 1.0)
     x = y = np.zeros(len(rows))
     t = 1.0
     for _ in range(steps):
-        after = np.maximum(0, y - back(forward(y) - target) / bound)
+        after = np.maximum(0, y - scale * back(forward(scale * y) - target) / bound)
         t_after = (1 + np.sqrt(1 + 4 * t * t)) / 2
         y = after + (t - 1) / t_after * (after - x)
         x, t = after, t_after
-    return x
+    return x * scale
 
 
-def rounded(rows: np.ndarray, x: np.ndarray, histogram: np.ndarray) -> np.ndarray:
-    """Whole counts that the histogram can supply, the largest first."""
+def rounded(rows: np.ndarray, times: np.ndarray, x: np.ndarray, histogram: np.ndarray) -> np.ndarray:
+    """Whole counts that the histogram can supply: the solution's, the largest first, then as many more as are left."""
     left, counts = histogram.astype(np.int64).copy(), np.zeros(len(rows), np.int64)
-    for k in np.argsort(-x, kind="stable"):
-        lengths, times = np.unique(rows[k][rows[k] > 0], return_counts=True)
-        most = int((left[lengths] // times).min())
-        counts[k] = min(most, int(np.floor(x[k] + 0.5)))
-        left[lengths] -= counts[k] * times
+    parts = [np.flatnonzero(r) for r in rows]
+    for more in (False, True):
+        for k in np.argsort(-x, kind="stable"):
+            lengths, often = rows[k][parts[k]], times[k][parts[k]]
+            most = int((left[lengths] // often).min())
+            n = most if more else min(most, int(np.floor(x[k] + 0.5)))
+            if n:
+                counts[k] += n
+                left[lengths] -= n * often
     return counts
 
 
@@ -123,18 +137,21 @@ class Plan:
 
     def __init__(self, histogram: np.ndarray, window: int):
         self.window = window
-        rows = combinations(histogram, window)
-        counts = rounded(rows, least_squares(rows, histogram), histogram)
-        rows, counts = rows[counts > 0], counts[counts > 0]
+        rows, times = combinations(histogram, window)
+        counts = rounded(rows, times, least_squares(rows, times, histogram), histogram)
+        rows, times, counts = rows[counts > 0], times[counts > 0], counts[counts > 0]
         first = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
         self.residual_sequence = int(first[-1])
-        offset = np.concatenate([np.zeros((len(rows), 1), np.int64), np.cumsum(rows, axis=1)[:, :-1]], axis=1)
+        # one entry for each place of a combination, in the order of its window
         which, place = np.nonzero(rows)
-        order = np.lexsort((place, which, rows[which, place]))
-        which, place = which[order], place[order]
-        lengths = rows[which, place]
+        often = times[which, place]
+        which, lengths = np.repeat(which, often), np.repeat(rows[which, place], often)
+        ends = np.cumsum(lengths)
+        offset = ends - lengths - which * window
+        order = np.lexsort((offset, which, lengths))
+        which, lengths, offset = which[order], lengths[order], offset[order]
         self._at = np.searchsorted(lengths, np.arange(window + 2))
-        self._first, self._offset = first[:-1][which], offset[which, place]
+        self._first, self._offset = first[:-1][which], offset
         self._from = np.cumsum(counts[which]) - counts[which]
         used = np.bincount(lengths, counts[which], minlength=window + 1).astype(np.int64)[: window + 1]
         self.used = used

@@ -105,10 +105,10 @@ def test_packing_cases(spark, none, repeated):
 def test_least_squares_meets_the_histogram():
     histogram = np.zeros(65, np.int64)
     histogram[[10, 54, 20, 22, 32]] = [30, 30, 40, 80, 50]
-    rows = packing.combinations(histogram, 64)
-    assert (rows.sum(axis=1) == 64).all()
-    counts = packing.rounded(rows, packing.least_squares(rows, histogram), histogram)
-    used = np.bincount(rows[rows > 0], np.broadcast_to(counts[:, None], rows.shape)[rows > 0], minlength=65)
+    rows, times = packing.combinations(histogram, 64)
+    assert ((rows * times).sum(axis=1) == 64).all()
+    counts = packing.rounded(rows, times, packing.least_squares(rows, times, histogram), histogram)
+    used = np.bincount(rows.reshape(-1), (counts[:, None] * times).reshape(-1), minlength=65)
     assert (used <= histogram).all() and used.sum() >= 0.9 * histogram.sum()
 
 
