@@ -46,6 +46,7 @@ from pyspark.sql import functions as F
 from . import words as W
 from .documents import id_and_text, one_row_each
 from .graph import components
+from .membership import Membership
 from .rtree import CountRTree
 from .scratch import Scratch
 
@@ -213,9 +214,12 @@ def _search(percent: int, first_only: bool):
     return run
 
 
-def _sets(n: int):
+def _sets(n: int, wanted: Membership):
+    """(id, sorted shingle hashes) of the documents that the test passes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pa.array(wanted.may(batch.column(0).to_numpy())))
             sets = []
             for _, _, raw, off in W.text_chunks(batch.column(1)):
                 grams, at = _shingle_sets(raw, off, n)
@@ -241,11 +245,9 @@ def _verify(percent: int):
     return run
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """``pairs`` (a, b) with linked; each set is made once and moved to its pairs."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(n), "id long, grams binary")
-    left, right = (sets.select(F.col("id").alias(k), F.col("grams").alias(f"grams_{k}")) for k in "ab")
+def _verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """``pairs`` (a, b) with linked. Always by merge joins, which can split a hot document's pairs."""
+    left, right = (sets.select(F.col("id").alias(k), F.col("grams").alias(f"grams_{k}")).hint("merge") for k in "ab")
     return pairs.join(left, "a").join(right, "b").select("a", "b", "grams_a", "grams_b").mapInArrow(_verify(percent), "a long, b long, linked boolean")
 
 
@@ -293,23 +295,25 @@ def similarity_components(spark: SparkSession, docs: DataFrame, n: int = 5, perc
     shared = scratch.save(shared, "shared")
     where = heads.select("id", "point")
 
-    def links(labels: DataFrame | None, done: DataFrame | None) -> DataFrame:
+    def pairs(labels: DataFrame | None) -> DataFrame:
         alone, members = _trees(shared, where, labels)
         found = members.repartition(*_TREE_KEY).sortWithinPartitions(*_TREE_KEY).mapInPandas(_search(percent, labels is None), "a long, b long")
         sizes = heads.select("id", "n")
         fits = alone.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b").where(F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")).select("a", "b")
-        pairs = fits.unionByName(found).distinct()
-        if done is not None:
-            pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = scratch.save(pairs, "pairs")
-        return scratch.save(_verified(docs, pairs, n, percent), "verified")
+        return fits.unionByName(found).distinct()
 
     def joined(verified: DataFrame) -> DataFrame:
         edges = verified.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
         return scratch.save(components(edges, scratch).select("id", F.col("component").alias("label")), "labels")
 
-    first = links(None, None)
-    second = links(joined(first), first)
+    # a class with any partner is in a pair of the first round, so its sets serve both rounds
+    some = scratch.save(pairs(None), "pairs")
+    wanted = some.select("a").unionByName(some.select(F.col("b").alias("a"))).distinct()
+    sets = scratch.save(docs.mapInArrow(_sets(n, Membership(spark, wanted)), "id long, grams binary"), "sets")
+    first = scratch.save(_verified(sets, some, percent), "verified")
+    more = scratch.save(pairs(joined(first)).join(some, ["a", "b"], "left_anti"), "pairs")
+    second = scratch.save(_verified(sets, more, percent), "verified")
+    scratch.drop(sets)
     label = joined(first.unionByName(second))
     by_class = classes.join(label, "id", "left").select("n", "h1", "h2", F.coalesce("label", "id").alias("component_id"))
     return (
