@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 
 from .documents import id_and_text, one_row_each
 from .graph import components
+from .membership import Membership
 from .scratch import Scratch
 from .words import mix
 
@@ -47,48 +48,81 @@ THRESHOLD = 2
 MIN_CHARS = 20
 #: Pairs that a group gives at once.
 CROWD = 64
-#: Bits of the filter of wanted lines (8 MB), whatever the input's size.
-FILTER_BITS = 26
+#: Characters of text that are hashed at once; a longer text is hashed alone.
+CHUNK = 1 << 19
 _SPACE = " \t\n\x0b\x0c\r"
+_GAPS = np.array([ord(c) for c in _SPACE], np.uint32)
 U64 = np.uint64
-_POWER = np.cumprod(np.full(1 << 12, 0x9E3779B97F4A7C15 | 1, U64))
+_BASE = 0x9E3779B97F4A7C15 | 1
+_UP = _DOWN = np.ones(1, U64)
 
 
-def _powers(n: int) -> np.ndarray:
-    global _POWER
-    while len(_POWER) < n:
-        _POWER = np.concatenate([_POWER, _POWER * _POWER[-1]])
-    return _POWER
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2**64, n of them at least."""
+    global _UP, _DOWN
+    if len(_UP) < n:
+        size = max(n, CHUNK + 2)
+        _UP, _DOWN = (np.concatenate([np.ones(1, U64), np.cumprod(np.full(size - 1, b, U64))]) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
+    return _UP, _DOWN
 
 
 def codes(line: str) -> np.ndarray:
     return np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def _prefix(line: np.ndarray) -> np.ndarray:
-    """Prefix sums; _part() takes the hash of any substring from them."""
-    out = np.zeros(len(line) + 1, U64)
-    np.cumsum(mix(line.astype(U64) + U64(77)) * _powers(len(line) + 1)[: len(line)], out=out[1:])
-    return out
-
-
-_INVERSE = pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64)
-_DOWN = np.concatenate([np.ones(1, U64), np.cumprod(np.full((1 << 12) - 1, _INVERSE, U64))])
-
-
-def _down(n: int) -> np.ndarray:
-    global _DOWN
-    while len(_DOWN) < n:
-        _DOWN = np.concatenate([_DOWN, _DOWN * _DOWN[-1] * U64(_INVERSE)])
-    return _DOWN
-
-
-def line_hash(line: np.ndarray) -> tuple[int, int]:
-    """128 bits of a line as two signed numbers."""
-    v = line.astype(U64)
-    p = _powers(len(line) + 1)[: len(line)]
-    pair = mix(np.array([(mix(v + U64(k)) * p).sum(dtype=U64) + U64(len(line)) for k in (101, 202)], U64))
-    return tuple(int(x) for x in pair.view(np.int64))
+class Lines:
+    """The lines of some texts that are long enough, trimmed: row, number in its text, and place in the joined text."""
+
+    def __init__(self, texts: list[str | None]):
+        known = [k for k, t in enumerate(texts) if t is not None]
+        self.text = "\n".join([texts[k] for k in known])
+        c = self.codes = codes(self.text)
+        breaks = np.flatnonzero(c == 10)
+        starts, ends = np.concatenate([[0], breaks + 1]), np.append(breaks, len(c))
+        solid = np.flatnonzero(~np.isin(c, _GAPS))
+        at, past = np.searchsorted(solid, starts), np.searchsorted(solid, ends)
+        some = np.flatnonzero(past > at)
+        s, e = solid[at[some]], solid[past[some] - 1] + 1
+        long = e - s >= MIN_CHARS
+        self.start, self.end, line = s[long], e[long], some[long]
+        sizes = np.array([len(texts[k]) for k in known], np.int64)
+        begins = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]]) if len(known) else np.zeros(0, np.int64)
+        first = np.searchsorted(starts, begins)  # each text's first line
+        own = np.searchsorted(first, line, side="right") - 1
+        self.row, self.number = np.array(known, np.int64)[own] if len(known) else own, line - first[own] if len(known) else line
+        up, down = _powers(len(c) + 1)
+        self._down = down
+        self._sums = []
+        for k in (101, 202):
+            sums = np.zeros(len(c) + 1, U64)
+            np.cumsum(mix(c.astype(U64) + U64(k)) * up[: len(c)], out=sums[1:])
+            self._sums.append(sums)
+
+    def part(self, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
+        """Hashes of substrings."""
+        sums = self._sums[which]
+        return mix((sums[end] - sums[start]) * self._down[start] + (end - start).astype(U64))
+
+    def hashes(self, which: int) -> np.ndarray:
+        return self.part(self.start, self.end, which).view(np.int64)
+
+    def parity(self) -> np.ndarray:
+        """64 bits a line: whether each of 64 groups of characters has an odd number in it."""
+        odd = np.zeros(len(self.codes) + 1, U64)
+        np.bitwise_xor.accumulate(U64(1) << (mix(self.codes.astype(U64) + U64(303)) >> U64(58)), out=odd[1:])
+        return (odd[self.end] ^ odd[self.start]).view(np.int64)
+
+
+def _runs(column: pa.Array) -> Iterator[tuple[int, Lines]]:
+    """(first row, lines) of runs of rows of about CHUNK characters."""
+    texts, begin, size = column.to_pylist(), 0, 0
+    for k, t in enumerate(texts):
+        size += len(t or "")
+        if size >= CHUNK:
+            yield begin, Lines(texts[begin : k + 1])
+            begin, size = k + 1, 0
+    if begin < len(texts):
+        yield begin, Lines(texts[begin:])
 
 
 def segments(length: int, threshold: int) -> list[tuple[int, int]]:
@@ -140,40 +174,27 @@ _SEGMENT = "key long, line long, bits long, side int"
 _MET = "a long, b long, key long, bits long, side int"
 
 
-def parity(line: np.ndarray) -> int:
-    """A bit for each of 64 groups of characters: whether the line has an odd number of them."""
-    odd = np.bincount((mix(line.astype(U64) + U64(303)) >> U64(58)).astype(np.int64), minlength=64) & 1
-    return int(np.packbits(odd.astype(np.uint8)).view(np.int64)[0])
-
-
-def _lines(text: str | None) -> list[str]:
-    return [] if text is None else [x.strip(_SPACE) for x in text.split("\n")]
-
-
 def _sent(threshold: int):
-    """Index rows (side 0) and probe rows (side 1) of each task's different lines."""
+    """Index rows (side 0) and probe rows (side 1) of each run's different lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, seen = _Probes(threshold), set()
+        table = _Probes(threshold)
         for batch in batches:
-            keys, lines, bits, sides = [], [], [], []
-            for text in batch.column(1):
-                for line in _lines(text.as_py()):
-                    if len(line) < MIN_CHARS or line in seen:
-                        continue
-                    if len(seen) > 200_000:
-                        seen.clear()
-                    seen.add(line)
-                    c = codes(line)
-                    length, k, s, n, side = table[len(c)]
-                    sums = _prefix(c)
-                    part = (sums[s + n] - sums[s]) * _down(len(c) + 1)[s]
-                    keys.append(mix(mix(part + n.astype(U64)) ^ (length * 16 + k).astype(U64)))
-                    lines.append(np.full(len(s), line_hash(c)[0]))
-                    bits.append(np.full(len(s), parity(c)))
-                    sides.append(side)
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(lines)), pa.array(np.concatenate(bits)), pa.array(np.concatenate(sides).astype(np.int32))], ["key", "line", "bits", "side"])
+            for _, x in _runs(batch.column(1)):
+                line, first = np.unique(x.hashes(0), return_index=True)
+                start, bits = x.start[first], x.parity()[first]
+                length = x.end[first] - start
+                order = np.argsort(length, kind="stable")
+                keys, lines, signs, sides = [], [], [], []
+                for own in np.split(order, np.flatnonzero(np.diff(length[order])) + 1) if len(order) else []:
+                    size, k, s, n, side = table[int(length[own[0]])]
+                    at = start[own][:, None] + s
+                    keys.append(mix(x.part(at, at + n) ^ (size * 16 + k).astype(U64)).reshape(-1))
+                    lines.append(np.repeat(line[own], len(s)))
+                    signs.append(np.repeat(bits[own], len(s)))
+                    sides.append(np.tile(side, len(own)))
+                if keys:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(lines)), pa.array(np.concatenate(signs)), pa.array(np.concatenate(sides).astype(np.int32))], ["key", "line", "bits", "side"])
 
     return run
 
@@ -302,56 +323,16 @@ def banded_distance(a: list[np.ndarray], b: list[np.ndarray], most: int) -> np.n
     return np.minimum(score, most + 1)
 
 
-def _filter_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bits of the wanted lines, in 64 strips."""
-    bits = np.zeros(1 << FILTER_BITS, bool)
-    for batch in batches:
-        bits[(mix(batch.column(0).to_numpy().view(U64)) >> U64(64 - FILTER_BITS)).astype(np.int64)] = True
-    packed = np.packbits(bits).reshape(64, -1)
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(64)), pa.array([x.tobytes() for x in packed], pa.binary())], ["strip", "bits"])
-
-
-def _or_strips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    strips: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for strip, bits in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            own = np.frombuffer(bits.as_buffer(), np.uint8)
-            strips[strip] = strips[strip] | own if strip in strips else own.copy()
-    if strips:
-        yield pa.RecordBatch.from_arrays([pa.array(list(strips), pa.int64()), pa.array([x.tobytes() for x in strips.values()], pa.binary())], ["strip", "bits"])
-
-
-def _wanted_lines(spark: SparkSession, wanted: DataFrame):
-    """A test of fixed size that all wanted lines pass, broadcast."""
-    strips = wanted.mapInArrow(_filter_bits, "strip long, bits binary").repartition("strip").mapInArrow(_or_strips, "strip long, bits binary").collect()
-    packed = np.zeros((64, (1 << FILTER_BITS) // 512), np.uint8)
-    for strip, bits in strips:
-        packed[strip] = np.frombuffer(bits, np.uint8)
-    return spark.sparkContext.broadcast(packed.reshape(-1).tobytes())
-
-
-def _texts_of(held):
-    """(line, code points) of the lines that pass the test, each task's once."""
+def _texts_of(wanted: Membership):
+    """(line, text) of the lines that the test passes, once a run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, seen = np.frombuffer(held.value, np.uint8), set()
         for batch in batches:
-            ids, texts = [], []
-            for text in batch.column(1):
-                for line in _lines(text.as_py()):
-                    if len(line) < MIN_CHARS:
-                        continue
-                    h = line_hash(codes(line))[0]
-                    if h in seen:
-                        continue
-                    at = int(mix(np.array([h], np.int64).view(U64))[0] >> U64(64 - FILTER_BITS))
-                    if bits[at >> 3] >> (7 - (at & 7)) & 1:
-                        if len(seen) > 500_000:
-                            seen.clear()
-                        seen.add(h)
-                        ids.append(h)
-                        texts.append(line)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], ["line", "text"])
+            for _, x in _runs(batch.column(1)):
+                line, first = np.unique(x.hashes(0), return_index=True)
+                may = wanted.may(line)
+                texts = [x.text[s:e] for s, e in zip(x.start[first[may]], x.end[first[may]], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(line[may]), pa.array(texts, pa.string())], ["line", "text"])
 
     return run
 
@@ -375,13 +356,9 @@ def _verified(threshold: int):
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = []
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            for k, line in enumerate(_lines(text.as_py())):
-                if len(line) >= MIN_CHARS:
-                    rows.append((*line_hash(codes(line)), doc_id, k))
-        columns = zip(*rows, strict=True) if rows else [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], ["line", "line2", "doc_id", "at"])
+        ids = batch.column(0).to_numpy()
+        for first, x in _runs(batch.column(1)):
+            yield pa.RecordBatch.from_arrays([pa.array(x.hashes(0)), pa.array(x.hashes(1)), pa.array(ids[first + x.row]), pa.array(x.number)], ["line", "line2", "doc_id", "at"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -406,23 +383,27 @@ def line_dedup(spark: SparkSession, docs: DataFrame, threshold: int = THRESHOLD)
     sent = docs.mapInArrow(_sent(threshold), _SEGMENT)
     met = scratch.save(sent.repartition("key").sortWithinPartitions("key", "side", "line").mapInArrow(_met(threshold), _MET), "met")
 
+    # a line with any partner is in a pair of the first round, so its text serves both rounds
+    some = scratch.save(met.where("b is not null").select("a", "b").distinct(), "pairs")
+    wanted = some.select("a").unionByName(some.select(F.col("b").alias("a"))).distinct()
+    texts = docs.mapInArrow(_texts_of(Membership(spark, wanted)), "line long, text string").dropDuplicates(["line"])
+    texts = scratch.save(texts, "texts")
+
     def near(pairs: DataFrame) -> DataFrame:
-        pairs = scratch.save(pairs.distinct(), "pairs")
-        wanted = pairs.select(F.col("a").alias("line")).unionByName(pairs.select(F.col("b").alias("line"))).distinct()
-        texts = docs.mapInArrow(_texts_of(_wanted_lines(spark, wanted)), "line long, text string").join(wanted, "line", "left_semi").dropDuplicates(["line"])
-        left, right = (texts.select(F.col("line").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
+        left, right = (texts.select(F.col("line").alias(k), F.col("text").alias(f"text_{k}")).hint("merge") for k in "ab")
         rows = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
         return scratch.save(rows.mapInArrow(_verified(threshold), "a long, b long").select(F.col("a").alias("u"), F.col("b").alias("v")), "near")
 
-    links = near(met.where("b is not null").select("a", "b"))
+    links = near(some)
     label = scratch.save(components(links, scratch), "labels")
     crowd = met.where("b is null").select("key", F.col("a").alias("line"), "bits", "side")
     if crowd.limit(1).count():
         labelled = crowd.join(label.withColumnRenamed("id", "line"), "line", "left").select("key", "line", "bits", "side", F.coalesce("component", "line").alias("label"))
-        more = near(labelled.repartition("key").sortWithinPartitions("key", "side", "line").mapInArrow(_met_again(threshold), "a long, b long"))
+        again = labelled.repartition("key").sortWithinPartitions("key", "side", "line").mapInArrow(_met_again(threshold), "a long, b long")
+        more = near(scratch.save(again.distinct().join(some, ["a", "b"], "left_anti"), "pairs"))
         label = scratch.save(components(links.unionByName(more), scratch), "labels")
 
-    places = docs.mapInArrow(_occurrences, "line long, line2 long, doc_id long, at long")
+    places = scratch.save(docs.mapInArrow(_occurrences, "line long, line2 long, doc_id long, at long"), "places")
     firsts = places.groupBy("line", "line2").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n"))
     firsts = scratch.save(firsts.join(label.withColumnRenamed("id", "line"), "line", "left").withColumn("kind", F.coalesce("component", "line")).withColumn("kind2", F.when(F.col("component").isNull(), F.col("line2"))), "lines")
     heads = firsts.groupBy("kind", "kind2").agg(F.min("first").alias("head"), F.sum("n").alias("n")).where("n > 1")
