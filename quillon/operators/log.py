@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..errors import Conflict, Gone, NotFound
 from ..functions.bands import _literal, date_band
@@ -72,7 +73,7 @@ def with_meta(rows: DataFrame) -> DataFrame:
     return rows.withColumn("resource", _put_meta(F.col("resource"), F.col("version_id"), F.col("last_updated")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _put_meta(body, version_id, last_updated):
     import json
 
