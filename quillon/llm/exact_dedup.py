@@ -57,7 +57,7 @@ def verified(recipes: DataFrame, scratch: Scratch) -> DataFrame:
         return recipes.withColumn("ids", F.struct("recipe", exact.alias("exact")))
     doubtful = recipes.select("recipe", F.explode("recipe").alias("fp")).join(unsure, "fp", "left_semi").select("recipe").distinct().withColumn("doubtful", F.lit(True))
     marked = recipes.join(doubtful, "recipe", "left")
-    return marked.withColumn("ids", F.struct("recipe", F.when("doubtful", F.col("contents")).otherwise(exact).alias("exact"))).drop("doubtful")
+    return marked.withColumn("ids", F.struct("recipe", F.when(F.col("doubtful"), F.col("contents")).otherwise(exact).alias("exact"))).drop("doubtful")
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -305,7 +305,7 @@ def banded_distance(a: list[np.ndarray], b: list[np.ndarray], most: int) -> np.n
     one, low = U64(1), U64(63 - 2 * most)
     vp = np.full(pairs, ((1 << (most + 1)) - 1) << (63 - most), U64)
     vn = np.zeros(pairs, U64)
-    score = np.full(pairs, most, np.int64)
+    score = np.minimum(most, la).astype(np.int64)
     for j in range(top):
         x = np.zeros(pairs, U64)
         for k in range(2 * most + 1):
@@ -382,6 +382,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, threshold: int = THRESHOLD)
     docs = one_row_each(docs, docs.select("doc_id"))
     sent = docs.mapInArrow(_sent(threshold), _SEGMENT)
     met = scratch.save(sent.repartition("key").sortWithinPartitions("key", "side", "line").mapInArrow(_met(threshold), _MET), "met")
+    scratch.release()
 
     # a line with any partner is in a pair of the first round, so its text serves both rounds
     some = scratch.save(met.where("b is not null").select("a", "b").distinct(), "pairs")

@@ -290,9 +290,10 @@ def similarity_components(spark: SparkSession, docs: DataFrame, n: int = 5, perc
     # of the tokens' rows only those stay whose token has another class's row
     front = heads.select(F.posexplode("front").alias("at", "tok"), "id", "n")
     early = F.col("at") < F.expr(f"n - (2 * {percent} * n + {99 + percent}) div {100 + percent} + 1")
-    front = front.select("tok", "id", "n", early.cast("long").alias("early"))
-    shared = front.repartition("tok").sortWithinPartitions("tok", "n", "id").mapInArrow(_shared(percent), "tok long, id long, n long")
+    front = front.select("tok", "id", (F.col("n") * 2 + early.cast("long")).alias("size"))
+    shared = front.repartition("tok").sortWithinPartitions("tok", "size", "id").mapInArrow(_shared(percent), "tok long, id long, n long")
     shared = scratch.save(shared, "shared")
+    scratch.release()
     where = heads.select("id", "point")
 
     def pairs(labels: DataFrame | None) -> DataFrame:
@@ -310,10 +311,13 @@ def similarity_components(spark: SparkSession, docs: DataFrame, n: int = 5, perc
     some = scratch.save(pairs(None), "pairs")
     wanted = some.select("a").unionByName(some.select(F.col("b").alias("a"))).distinct()
     sets = scratch.save(docs.mapInArrow(_sets(n, Membership(spark, wanted)), "id long, grams binary"), "sets")
+    scratch.release()
     first = scratch.save(_verified(sets, some, percent), "verified")
+    scratch.release()
     more = scratch.save(pairs(joined(first)).join(some, ["a", "b"], "left_anti"), "pairs")
     second = scratch.save(_verified(sets, more, percent), "verified")
     scratch.drop(sets)
+    scratch.release()
     label = joined(first.unionByName(second))
     by_class = classes.join(label, "id", "left").select("n", "h1", "h2", F.coalesce("label", "id").alias("component_id"))
     return (
@@ -324,7 +328,7 @@ def similarity_components(spark: SparkSession, docs: DataFrame, n: int = 5, perc
 
 
 def _shared(percent: int):
-    """Of rows sorted by token and size, those that another row of the token can be similar to.
+    """Of rows (token, id, 2 * n + early) sorted by token and size, those that another row of the token can be similar to.
 
     A pair is looked at from its smaller set x: its token is among the first
     n - ceil(2 t n / (1 + t)) + 1 of x (``early``), and the sizes fit.
@@ -348,7 +352,8 @@ def _shared(percent: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = np.concatenate([carried, np.stack([batch.column(k).to_numpy() for k in range(4)])], axis=1)
+            tok, own, size = (batch.column(k).to_numpy() for k in range(3))
+            rows = np.concatenate([carried, np.stack([tok, own, size >> 1, size & 1])], axis=1)
             yield kept(rows, rows.shape[1] - 1)
             early = np.flatnonzero(rows[3, :-1])
             if len(early):

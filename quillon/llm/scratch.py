@@ -9,6 +9,7 @@ for a local master.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -47,6 +48,11 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def release(self) -> None:
+        """Lets go of the shuffle files behind saved tables, which Spark removes once the driver's garbage is collected."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *tables: DataFrame) -> None:
         """Deletes tables that no later plan reads."""
         for df in tables:
