@@ -5,7 +5,8 @@ into GROUPS groups they give a point of group counts. The overlap of two sets
 is at most the sum over the groups of the smaller count, and for a whole node of
 the tree at most that sum with the node's largest counts, so a search goes down
 only where the bound still reaches the overlap that the similarity asks for.
-Pairs that survive are verified on the sets.
+Pairs that survive are held against the same bound over as many groups as the
+sets have tokens, and what is left is verified on the sets.
 
 How it is dealt out:
 
@@ -49,6 +50,7 @@ from .graph import components
 from .membership import Membership
 from .rtree import CountRTree
 from .scratch import Scratch
+from .words import U64
 
 #: Coordinates of a point.
 GROUPS = 128
@@ -214,17 +216,60 @@ def _search(percent: int, first_only: bool):
     return run
 
 
-def _sets(n: int, wanted: Membership):
-    """(id, sorted shingle hashes) of the documents that the test passes."""
+def fine_groups(size: int) -> int:
+    """Groups of a document's fine point: a power of two that its set doesn't exceed."""
+    return max(GROUPS, 1 << (max(1, size) - 1).bit_length())
+
+
+def fine_point(grams: np.ndarray) -> bytes:
+    """Counts in fine_groups() groups by the leading bits of the hash, so neighbours add up to coarser ones."""
+    groups = fine_groups(len(grams))
+    at = (W.mix(grams ^ U64(0xC3C3C3C3)) >> U64(65 - groups.bit_length())).astype(np.int64)
+    counts = np.bincount(at, minlength=groups)
+    top = counts.max(initial=0)
+    return counts.astype(np.uint8 if top < 256 else np.uint32).tobytes()
+
+
+def fine_overlap(a: bytes, size_a: int, b: bytes, size_b: int) -> int:
+    """The bound on the overlap of two sets from their fine points."""
+    counts = []
+    for raw, size in ((a, size_a), (b, size_b)):
+        groups = fine_groups(size)
+        counts.append(np.frombuffer(raw, np.uint8 if len(raw) == groups else np.uint32).astype(np.int64))
+    least = min(map(len, counts))
+    x, y = (c.reshape(least, -1).sum(axis=1) for c in counts)
+    return int(np.minimum(x, y).sum())
+
+
+def _made(n: int, wanted: Membership, fine: bool):
+    """(id, n, data) of the documents that the test passes: the fine point, or the sorted shingle hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(pa.array(wanted.may(batch.column(0).to_numpy())))
-            sets = []
+            sizes, data = [], []
             for _, _, raw, off in W.text_chunks(batch.column(1)):
                 grams, at = _shingle_sets(raw, off, n)
-                sets += [grams[at[i] : at[i + 1]].tobytes() for i in range(len(at) - 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "grams"])
+                for i in range(len(at) - 1):
+                    own = grams[at[i] : at[i + 1]]
+                    sizes.append(len(own))
+                    data.append(fine_point(own) if fine else own.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(data, pa.binary())], ["id", "n", "data"])
+
+    return run
+
+
+def _bounded(percent: int):
+    """Pairs whose fine points let them be similar enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            sizes_a, sizes_b, left, right = batch.column(2).to_numpy(), batch.column(3).to_numpy(), batch.column(4), batch.column(5)
+            for i in range(batch.num_rows):
+                a, b = int(sizes_a[i]), int(sizes_b[i])
+                keep[i] = (100 + percent) * fine_overlap(left[i].as_py(), a, right[i].as_py(), b) >= percent * (a + b)
+            yield batch.select([0, 1]).filter(pa.array(keep))
 
     return run
 
@@ -233,22 +278,26 @@ def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             linked = np.zeros(batch.num_rows, bool)
-            left, right = batch.column(2), batch.column(3)
+            left, right = batch.column(4), batch.column(5)
             for i in range(batch.num_rows):
                 a, b = (np.frombuffer(x[i].as_buffer(), np.uint64) for x in (left, right))
                 both = np.concatenate([a, b])
                 both.sort()
                 same = int((both[1:] == both[:-1]).sum())
                 linked[i] = 100 * same >= percent * (len(both) - same)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked)], ["a", "b", "linked"])
+            yield batch.select([0, 1]).filter(pa.array(linked))
 
     return run
 
 
-def _verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """``pairs`` (a, b) with linked. Always by merge joins, which can split a hot document's pairs."""
-    left, right = (sets.select(F.col("id").alias(k), F.col("grams").alias(f"grams_{k}")).hint("merge") for k in "ab")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "grams_a", "grams_b").mapInArrow(_verify(percent), "a long, b long, linked boolean")
+def _with_data(pairs: DataFrame, made: DataFrame) -> DataFrame:
+    """Pairs with both sides' sizes and data. Always by merge joins, which can split a hot document's pairs."""
+    left, right = (made.select(F.col("id").alias(k), F.col("n").alias(f"n_{k}"), F.col("data").alias(f"data_{k}")).hint("merge") for k in "ab")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "data_a", "data_b")
+
+
+def _ids(pairs: DataFrame) -> DataFrame:
+    return pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct()
 
 
 def _trees(front: DataFrame, points: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, DataFrame]:
@@ -268,6 +317,7 @@ def _trees(front: DataFrame, points: DataFrame, labels: DataFrame | None) -> tup
 
 
 _TREE_KEY = ("tok", "i", "j")
+_MADE = "id long, n long, data binary"
 
 
 def similarity_components(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -303,22 +353,25 @@ def similarity_components(spark: SparkSession, docs: DataFrame, n: int = 5, perc
         fits = alone.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b").where(F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")).select("a", "b")
         return fits.unionByName(found).distinct()
 
-    def joined(verified: DataFrame) -> DataFrame:
-        edges = verified.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    def joined(links: DataFrame) -> DataFrame:
+        edges = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
         return scratch.save(components(edges, scratch).select("id", F.col("component").alias("label")), "labels")
 
-    # a class with any partner is in a pair of the first round, so its sets serve both rounds
+    def linked(some: DataFrame, fine: DataFrame) -> DataFrame:
+        """Pairs are held against fine points, a byte or two a shingle, before whole sets move."""
+        near = scratch.save(_with_data(some, fine).mapInArrow(_bounded(percent), "a long, b long"), "near")
+        sets = docs.mapInArrow(_made(n, Membership(spark, _ids(near)), False), _MADE)
+        found = scratch.save(_with_data(near, scratch.save(sets, "sets")).mapInArrow(_verify(percent), "a long, b long"), "linked")
+        scratch.release()
+        return found
+
+    # a class with any partner is in a pair of the first round, so its fine point serves both rounds
     some = scratch.save(pairs(None), "pairs")
-    wanted = some.select("a").unionByName(some.select(F.col("b").alias("a"))).distinct()
-    sets = scratch.save(docs.mapInArrow(_sets(n, Membership(spark, wanted)), "id long, grams binary"), "sets")
-    scratch.release()
-    first = scratch.save(_verified(sets, some, percent), "verified")
+    fine = scratch.save(docs.mapInArrow(_made(n, Membership(spark, _ids(some)), True), _MADE), "fine")
     scratch.release()
+    first = linked(some, fine)
     more = scratch.save(pairs(joined(first)).join(some, ["a", "b"], "left_anti"), "pairs")
-    second = scratch.save(_verified(sets, more, percent), "verified")
-    scratch.drop(sets)
-    scratch.release()
-    label = joined(first.unionByName(second))
+    label = joined(first.unionByName(linked(more, fine)))
     by_class = classes.join(label, "id", "left").select("n", "h1", "h2", F.coalesce("label", "id").alias("component_id"))
     return (
         points.select("doc_id", "n", "h1", "h2")

@@ -59,7 +59,7 @@ def combinations(histogram: np.ndarray, window: int, most: int = COMBINATIONS) -
     present[have] = True
     a, m = (v.reshape(-1) for v in np.meshgrid(have, np.arange(1, REPEATS + 1), indexing="ij"))
     b = window - a * m
-    fits = (b > 0) & ((m > 1) | (b >= a))
+    fits = (b > 0) & (b != a) & ((m > 1) | (b > a))
     fits[fits] = present[b[fits]]
     a, m, b = a[fits], m[fits], b[fits]
     even = have[(window % have == 0) & (window // have <= REPEATS)]
