@@ -173,13 +173,14 @@ def as_array(v: Column) -> Column:
 
 def member(items: Column, name: str) -> Column:
     """The members of that name of all items, flattened; for a choice element those of all its types."""
-    names = [name, *(name + t for t in CHOICE_TYPES)] if name in CHOICES else [name]
+    if name not in CHOICES:
+        return F.flatten(F.transform(items, lambda i: as_array(F.try_variant_get(i, f"$.{name}", "variant"))))
+    names = [name, *(name + t for t in CHOICE_TYPES)]
 
     def of(item: Column) -> Column:
-        found = [F.try_variant_get(item, f"$.{n}", "variant") for n in names]
-        if len(found) == 1:
-            return as_array(found[0])
-        return as_array(F.coalesce(*found))
+        members = F.try_variant_get(item, "$", "map<string,variant>")
+        own = F.map_values(F.map_filter(members, lambda k, v: k.isin(names)))
+        return F.when(members.isNull(), _none()).otherwise(F.flatten(F.transform(own, as_array)))
 
     return F.flatten(F.transform(items, of))
 

@@ -12,6 +12,7 @@ from ..plans.compiler import Compiler
 from ..plans.dataset import Dataset
 from ..plans.request import Request
 from ..registry import SearchParam
+from .cut import cut
 from .page import backward, forward
 
 
@@ -46,44 +47,34 @@ def everything(data: Dataset, resource_type: str, ids: list | None = None, since
 def document(data: Dataset, resource_type: str, ids: list, depth: int = 10) -> DataFrame:
     """(resource_type, fhir_id, depth): the anchors and all that their references lead to, by breadth.
 
-    One join a level over edges of the whole registry; what has been reached is
-    left out by an anti join, so cycles end.
+    One join a level over the edges that the level's types can have; what has
+    been reached is left out by an anti join, so cycles end. Each level is cut.
     """
     anchors = data.resources(resource_type).where(F.col("fhir_id").isin(ids))
-    front = anchors.select(F.lit(resource_type).alias("resource_type"), F.col("fhir_id").cast("string").alias("fhir_id"))
-    reached = front.withColumn("depth", F.lit(0))
-    edges = edge_list(data)
-    # how far references can lead at all: levels beyond it are empty in any data without cycles of types
-    for level in range(1, min(depth, _longest_path(data, resource_type)) + 1):
+    front = cut(anchors.select(F.lit(resource_type).alias("resource_type"), F.col("fhir_id").cast("string").alias("fhir_id")))
+    reached, types = front.withColumn("depth", F.lit(0)), {resource_type}
+    for level in range(1, depth + 1):
+        edges = edge_list(data, types)
+        if edges is None:
+            break
         after = edges.join(front, (edges["source_type"] == front["resource_type"]) & (edges["source_id"] == front["fhir_id"]), "left_semi")
         after = after.select(F.col("target_type").alias("resource_type"), F.col("target_id").alias("fhir_id")).distinct()
-        front = after.join(reached, ["resource_type", "fhir_id"], "left_anti")
+        front = cut(after.join(reached, ["resource_type", "fhir_id"], "left_anti"))
+        if not front.take(1):
+            break
         reached = reached.unionByName(front.withColumn("depth", F.lit(level)))
+        types = {t for s in types for p in data.registry.references(s) for t in p.targets}
     return reached
 
 
-def _longest_path(data: Dataset, start: str) -> int:
-    front, seen, n = {start}, {start}, 0
-    while front and n < 50:
-        after = {t for s in front for p in data.registry.references(s) for t in p.targets}
-        if not after:
-            return n
-        n += 1
-        front = after if not after <= seen else after
-        if after <= seen:
-            return 50  # types form a cycle: any depth may be needed
-        seen |= after
-    return n
-
-
-def edge_list(data: Dataset) -> DataFrame:
-    """All references as (source_type, source_id, param_name, target_type, target_id), ids as strings."""
+def edge_list(data: Dataset, types: set[str] | None = None) -> DataFrame | None:
+    """References (of some source types) as (source_type, source_id, param_name, target_type, target_id), ids as strings; None without any."""
     found = []
     for (t, name), p in sorted(data.registry.params.items()):
-        rows = data.index(t, p) if p.kind == "reference" else None
+        rows = data.index(t, p) if p.kind == "reference" and (types is None or t in types) else None
         if rows is not None:
             found.append(rows.select(F.lit(t).alias("source_type"), F.col("resource_id").cast("string").alias("source_id"), F.lit(name).alias("param_name"), "target_type", F.col("target_id").cast("string").alias("target_id")))
-    return reduce(DataFrame.union, found)
+    return reduce(DataFrame.union, found) if found else None
 
 
 def compartment(data: Dataset, owner_type: str, owner_id, target_type: str, request: Request | None = None) -> DataFrame:
