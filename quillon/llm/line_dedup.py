@@ -51,7 +51,8 @@ CROWD = 64
 #: Characters of text that are hashed at once; a longer text is hashed alone.
 CHUNK = 1 << 19
 _SPACE = " \t\n\x0b\x0c\r"
-_GAPS = np.array([ord(c) for c in _SPACE], np.uint32)
+#: Whether a code point is white space; the last entry stands for all above.
+_GAPS = np.array([chr(c) in _SPACE for c in range(34)])
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _UP = _DOWN = np.ones(1, U64)
@@ -66,6 +67,18 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _UP, _DOWN
 
 
+_SCRAMBLED: dict[int, np.ndarray] = {}
+
+
+def scrambled(c: np.ndarray, salt: int) -> np.ndarray:
+    """mix(code point + salt), from a table where all code points are of the basic plane."""
+    if len(c) and c.max() > 0xFFFF:
+        return mix(c.astype(U64) + U64(salt))
+    if salt not in _SCRAMBLED:
+        _SCRAMBLED[salt] = mix(np.arange(1 << 16, dtype=U64) + U64(salt))
+    return _SCRAMBLED[salt][c]
+
+
 def codes(line: str) -> np.ndarray:
     return np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)
 
@@ -79,7 +92,7 @@ class Lines:
         c = self.codes = codes(self.text)
         breaks = np.flatnonzero(c == 10)
         starts, ends = np.concatenate([[0], breaks + 1]), np.append(breaks, len(c))
-        solid = np.flatnonzero(~np.isin(c, _GAPS))
+        solid = np.flatnonzero(~_GAPS[np.minimum(c, 33)])
         at, past = np.searchsorted(solid, starts), np.searchsorted(solid, ends)
         some = np.flatnonzero(past > at)
         s, e = solid[at[some]], solid[past[some] - 1] + 1
@@ -90,17 +103,18 @@ class Lines:
         first = np.searchsorted(starts, begins)  # each text's first line
         own = np.searchsorted(first, line, side="right") - 1
         self.row, self.number = np.array(known, np.int64)[own] if len(known) else own, line - first[own] if len(known) else line
-        up, down = _powers(len(c) + 1)
-        self._down = down
-        self._sums = []
-        for k in (101, 202):
-            sums = np.zeros(len(c) + 1, U64)
-            np.cumsum(mix(c.astype(U64) + U64(k)) * up[: len(c)], out=sums[1:])
-            self._sums.append(sums)
+        self._up, self._down = _powers(len(c) + 1)
+        self._kept: dict[int, np.ndarray] = {}
+
+    def _sums(self, which: int) -> np.ndarray:
+        if which not in self._kept:
+            sums = self._kept[which] = np.zeros(len(self.codes) + 1, U64)
+            np.cumsum(scrambled(self.codes, (101, 202)[which]) * self._up[: len(self.codes)], out=sums[1:])
+        return self._kept[which]
 
     def part(self, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
         """Hashes of substrings."""
-        sums = self._sums[which]
+        sums = self._sums(which)
         return mix((sums[end] - sums[start]) * self._down[start] + (end - start).astype(U64))
 
     def hashes(self, which: int) -> np.ndarray:
@@ -109,7 +123,7 @@ class Lines:
     def parity(self) -> np.ndarray:
         """64 bits a line: whether each of 64 groups of characters has an odd number in it."""
         odd = np.zeros(len(self.codes) + 1, U64)
-        np.bitwise_xor.accumulate(U64(1) << (mix(self.codes.astype(U64) + U64(303)) >> U64(58)), out=odd[1:])
+        np.bitwise_xor.accumulate(U64(1) << (scrambled(self.codes, 303) >> U64(58)), out=odd[1:])
         return (odd[self.end] ^ odd[self.start]).view(np.int64)
 
 
