@@ -137,3 +137,34 @@ def bundle(data: Dataset, request: Request) -> DataFrame:
         extra = reduce(DataFrame.union, parts).distinct().join(out, ["resource_type", "fhir_id"], "left_anti")
         out = out.unionByName(extra.withColumn("mode", F.lit("include")))
     return out
+
+
+def searchset(data: Dataset, request: Request, base: str = "", pairs: list[tuple[str, str]] | None = None) -> dict:
+    """The searchset bundle of a page: entries with fullUrl, body and mode, links, and the total where it is asked for.
+
+    A page and what it includes are small; they are the answer to one request.
+    """
+    import json
+
+    from ..plans.request import page_links
+    from .project import elements, summary
+
+    known = total(data, request).first()[0] if request.total in ("accurate", "estimate") or request.summary == "count" else None
+    out: dict = {"resourceType": "Bundle", "type": "searchset"}
+    entries = []
+    if request.summary != "count":
+        found = bundle(data, request)
+        position = ordered_page(data, request).select(F.col("fhir_id").cast("string").alias("fhir_id"), "position")
+        parts = []
+        for t in sorted({request.resource_type, *data.registry.types()}) if request.include or request.revinclude else [request.resource_type]:
+            body = F.col("resource")
+            body = elements(body, list(request.elements)) if request.elements else summary(body, request.summary, t)
+            rows = data.resources(t).select(F.lit(t).alias("resource_type"), F.col("fhir_id").cast("string").alias("fhir_id"), body.alias("resource"))
+            parts.append(rows.join(found, ["resource_type", "fhir_id"]))
+        rows = reduce(DataFrame.unionByName, parts).join(position, "fhir_id", "left").orderBy(F.col("mode").desc(), "position", "resource_type", "fhir_id").collect()
+        entries = [{"fullUrl": f"{base}/{r.resource_type}/{r.fhir_id}", "resource": json.loads(r.resource), "search": {"mode": r["mode"]}} for r in rows]
+    matches = sum(e["search"]["mode"] == "match" for e in entries)
+    out["link"] = [{"relation": k, "url": v} for k, v in page_links(f"{base}/{request.resource_type}", pairs or [], request.page, request.count, matches, known).items()]
+    if known is not None:
+        out["total"] = known
+    return out | {"entry": entries} if entries else out

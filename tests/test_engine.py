@@ -188,6 +188,24 @@ def test_stored_index_gives_the_same(data, spark, tmp_path):
         assert a == b and a
 
 
+def test_searchset(data):
+    got = page.searchset(data, parse("Patient", "organization.name=acme&_include=Patient:organization&_total=accurate&_elements=name"), "http://h")
+    assert got["total"] == 1 and [(e["fullUrl"], e["search"]["mode"]) for e in got["entry"]] == [("http://h/Patient/p1", "match"), ("http://h/Organization/o1", "include")]
+    assert set(got["entry"][0]["resource"]) == {"resourceType", "id", "meta", "name"} and {x["relation"] for x in got["link"]} == {"self", "first", "last"}
+    assert page.searchset(data, parse("Patient", "_summary=count"))["total"] == 2
+
+
+def test_metrics(spark):
+    from quillon.operators import metrics
+
+    rows = spark.createDataFrame([("GET", "/Patient/12/_history/3", 200, 0.02), ("GET", "/Patient/0a1b2c3d-0000-1111-2222-333344445555/_history/4", 200, 3.0), ("GET", "/Patient/abc", 404, 0.2)], "method string, path string, status int, seconds double")
+    got = {r.path: (r.n, r["le_0.025"], r.le_5) for r in metrics.request_counts(rows).collect()}
+    assert got == {"/Patient/{id}/_history/{id}": (2, 1, 2), "/Patient/abc": (1, 0, 1)}
+    seen, watch = metrics.observed(rows, "requests")
+    seen.collect()
+    assert watch.get["rows"] == 3
+
+
 def test_guard(data):
     rows = data.index("Observation", registry().get("Observation", "combo-code")).withColumn("resource_type", F.lit("Observation"))
     assert extract.guard(rows, 3).count() == 6
