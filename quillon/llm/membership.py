@@ -21,22 +21,34 @@ def _places(ids: np.ndarray) -> np.ndarray:
     return (mix(ids.view(U64) ^ U64(0x5DEECE66D)) >> U64(64 - BITS)).astype(np.int64)
 
 
+#: Bits of a strip; a strip with few marks is sent as their places.
+_STRIP = (1 << BITS) // 64
+_FEW = _STRIP // 64
+
+
 def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A task's bits, in 64 strips; empty ones are not sent."""
-    bits = np.zeros(1 << BITS, bool)
-    for batch in batches:
-        bits[_places(batch.column(0).to_numpy())] = True
-    packed = np.packbits(bits).reshape(64, -1)
-    some = np.flatnonzero(packed.any(axis=1))
-    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([packed[k].tobytes() for k in some], pa.binary())], ["strip", "bits"])
+    """A task's marks, by strips: their places (few) or the strip's bits."""
+    found = [np.unique(_places(batch.column(0).to_numpy())) for batch in batches]
+    places = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+    cuts = np.searchsorted(places, np.arange(65) * _STRIP)
+    for k in np.flatnonzero(np.diff(cuts)):
+        own = (places[cuts[k] : cuts[k + 1]] - k * _STRIP).astype(np.uint32)
+        few = len(own) <= _FEW
+        yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([few]), pa.array([own.tobytes() if few else _bits(own).tobytes()], pa.binary())], ["strip", "few", "bits"])
+
+
+def _bits(places: np.ndarray) -> np.ndarray:
+    bits = np.zeros(_STRIP, bool)
+    bits[places] = True
+    return np.packbits(bits)
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     strips: dict[int, np.ndarray] = {}
     for batch in batches:
-        for strip, bits in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            own = np.frombuffer(bits.as_buffer(), np.uint8)
-            strips[strip] = strips[strip] | own if strip in strips else own.copy()
+        for strip, few, bits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            own = _bits(np.frombuffer(bits.as_buffer(), np.uint32)) if few else np.frombuffer(bits.as_buffer(), np.uint8)
+            strips[strip] = strips[strip] | own if strip in strips else own
     if strips:
         yield pa.RecordBatch.from_arrays([pa.array(list(strips), pa.int64()), pa.array([x.tobytes() for x in strips.values()], pa.binary())], ["strip", "bits"])
 
@@ -46,7 +58,7 @@ class Membership:
 
     def __init__(self, spark: SparkSession, ids: DataFrame):
         """``ids``: one long column, without nulls."""
-        strips = ids.mapInArrow(_marked, "strip long, bits binary").repartition("strip").mapInArrow(_joined, "strip long, bits binary").collect()
+        strips = ids.mapInArrow(_marked, "strip long, few boolean, bits binary").repartition("strip").mapInArrow(_joined, "strip long, bits binary").collect()
         packed = np.zeros((64, (1 << BITS) // 512), np.uint8)
         for strip, bits in strips:
             packed[strip] = np.frombuffer(bits, np.uint8)

@@ -58,6 +58,8 @@ GROUPS = 128
 SKETCH_BITS = 18
 #: A cell is crowded with this many times the mean count.
 CROWDED = 4.0
+#: Rows with a text or a set in them that Python gets at once.
+WIDE = 500
 #: Members of a tree in one task.
 BLOCK = 4096
 
@@ -332,7 +334,7 @@ def similarity_components(spark: SparkSession, docs: DataFrame, n: int = 5, perc
     docs = one_row_each(docs, docs.select("doc_id"))
     crowded = crowded_cells(docs, n)
     points = docs.mapInArrow(_points(n, percent, crowded), "doc_id long, n long, h1 long, h2 long, point binary, front array<bigint>")
-    points = scratch.save(points, "points")
+    points = scratch.save(points, "points", WIDE)
     classes = points.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("id"))
     classes = scratch.save(classes, "classes")
     heads = points.join(classes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "n", "point", "front")
@@ -359,15 +361,15 @@ def similarity_components(spark: SparkSession, docs: DataFrame, n: int = 5, perc
 
     def linked(some: DataFrame, fine: DataFrame) -> DataFrame:
         """Pairs are held against fine points, a byte or two a shingle, before whole sets move."""
-        near = scratch.save(_with_data(some, fine).mapInArrow(_bounded(percent), "a long, b long"), "near")
+        near = scratch.save(_with_data(some, fine).mapInArrow(_bounded(percent), "a long, b long"), "near", WIDE)
         sets = docs.mapInArrow(_made(n, Membership(spark, _ids(near)), False), _MADE)
-        found = scratch.save(_with_data(near, scratch.save(sets, "sets")).mapInArrow(_verify(percent), "a long, b long"), "linked")
+        found = scratch.save(_with_data(near, scratch.save(sets, "sets", WIDE)).mapInArrow(_verify(percent), "a long, b long"), "linked", WIDE)
         scratch.release()
         return found
 
     # a class with any partner is in a pair of the first round, so its fine point serves both rounds
     some = scratch.save(pairs(None), "pairs")
-    fine = scratch.save(docs.mapInArrow(_made(n, Membership(spark, _ids(some)), True), _MADE), "fine")
+    fine = scratch.save(docs.mapInArrow(_made(n, Membership(spark, _ids(some)), True), _MADE), "fine", WIDE)
     scratch.release()
     first = linked(some, fine)
     more = scratch.save(pairs(joined(first)).join(some, ["a", "b"], "left_anti"), "pairs")

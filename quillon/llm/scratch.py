@@ -42,10 +42,16 @@ class Scratch:
         self._n += 1
         return f"{self.root}/{self._n:02d}-{name}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """``df`` written and read again, with its own schema."""
-        path = self.path(name)
-        df.write.parquet(path)
+    def save(self, df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+        """``df`` written and read again, with its own schema. ``batch_rows``: rows that Python gets at once here, where rows are wide."""
+        path, key = self.path(name), "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = self.spark.conf.get(key)
+        if batch_rows:
+            self.spark.conf.set(key, min(batch_rows, int(before)) if int(before) > 0 else batch_rows)
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(key, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def release(self) -> None:
