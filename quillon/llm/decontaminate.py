@@ -1,27 +1,34 @@
 r"""Benchmark decontamination by templates, in DataFrame functions only.
 
-Texts are brought to templates: numbers, units and names become typed
-placeholders, other words are lower-cased and lose what isn't a letter. Windows
-of WINDOW template tokens of the benchmark are hash-joined with those of the
-documents; matches at consecutive places of one item and one document make runs.
-A run with placeholders must be consistent in its slots: equal values of the item
-stand for equal values of the document and different for different, so an item
-with other numbers or names is caught and a mere list of numbers isn't. An item
-counts as leaked into a document with a run of MIN_RUN tokens, or of the whole
-item where that is shorter.
-
-A window must hold MIN_WORDS different plain words to stand for its item. The
-windows of the benchmark are broadcast only when their counted number is at most
-BROADCAST_WINDOWS; beyond it both sides are shuffled by the hash.
-
-Defined cases: a null text is an empty one; an item or document of fewer tokens
-than a window matches nothing; repeated rows of a doc_id or item_id are looked
+Texts are brought to three templates after white space is made single spaces. In
+two of them numbers, units and names become typed placeholders and other words are
+lower-cased and lose what isn't a letter; a capitalised word at the start of a
+sentence, line or text is a plain word in the first and a name in the second. The
+third has case-folded words and no placeholders. Windows of WINDOW tokens of the
+benchmark are hash-joined with those of the documents, template by template;
+matches at consecutive places of one item and one document make runs. A run with
+placeholders must be consistent in its slots: equal values of the item stand for
+equal values of the document and different for different, so an item with other
+numbers or names is caught and a mere list of numbers isn't. An item counts as
+leaked into a document with a run of MIN_RUN tokens, or of the whole item where
+that is shorter; items shorter than a window are looked up by their whole template.
+
+A run must hold MIN_WORDS different plain words, or one in the third template. This
+is asked of the finished run. Windows without a plain word aren't looked up; they
+are compared where another window of their item matches, so runs go on over them.
+The windows of the benchmark are broadcast only when their counted number is at
+most BROADCAST_WINDOWS; beyond it both sides are shuffled by the hash.
+
+Defined cases: a null text is an empty one; an item without a plain word
+matches nothing; repeated rows of a doc_id or item_id are looked
 at as one id's texts and give one row; rows with a null id are left out; other
 columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,57 +42,127 @@ BROADCAST_WINDOWS = 1_000_000
 
 #: Placeholders (private-use characters) and the units that follow a number.
 NUMBER, UNIT, NAME = "", "", ""
+#: Marks around a name at the start of a sentence, line or text, which may be a plain word as well.
+FIRST, END = "\ue004", "\ue005"
+#: The templates: first words are plain; all capitalised words are names; case-folded words and no placeholders.
+KINDS = (0, 1, 2)
+LITERAL = 2
+#: White space but the plain space.
+_GAPS = r"\t-\r\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 UNITS = "km|cm|mm|m|kg|mg|g|lb|lbs|oz|l|ml|h|hr|hrs|hours?|min|mins|minutes?|s|sec|seconds?|days?|weeks?|months?|years?|miles?|feet|ft|inch|inches|meters?|metres?|kilometers?|grams?|dollars?|euros?|cents?|percent|mph|kmh"
 
 
-def template(text: Column) -> Column:
-    """The template tokens of a text, one for each white-space-separated word that holds a letter or digit."""
-    named = F.regexp_replace(text, r"(?<=[\p{L}\p{N},;][ ])\p{Lu}\p{Ll}+(?![\p{L}\p{N}])", NAME)
-    numbered = F.regexp_replace(named, r"\p{N}+(?:[.,:/]\p{N}+)*", NUMBER)
-    united = F.regexp_replace(numbered, rf"(?<={NUMBER})( ?)(?i:{UNITS})(?![\p{{L}}\p{{N}}])", rf"$1{UNIT}")
-    plain = F.lower(F.regexp_replace(united, rf"[^\p{{L}}{NUMBER}-{NAME} \t-\r]+", ""))
-    return F.filter(F.split(plain, r"[ \t-\r]+"), lambda t: t != "")
+def _spaced(text: Column) -> Column:
+    """The text with single spaces for all white space, so that wrapping makes no difference."""
+    return F.regexp_replace(text, f"[ {_GAPS}]{{2,}}|[{_GAPS}]", " ")
+
+
+def _split(text: Column) -> Column:
+    return F.filter(F.split(text, " +"), lambda t: t != "")
+
+
+def _marked(spaced: Column) -> Column:
+    """Tokens with placeholders, one for each word that holds a letter or digit; a name that may be a plain first word stands between marks."""
+    numbered = F.regexp_replace(spaced, r"\p{N}+(?:[.,:/]\p{N}+)*", NUMBER)
+    united = F.regexp_replace(numbered, rf"{NUMBER}( ?)(?i:{UNITS})(?![\p{{L}}{NUMBER}])", rf"{NUMBER}$1{UNIT}")
+    named = F.regexp_replace(united, rf"\p{{Lu}}(?<=[\p{{L}}{NUMBER}{UNIT},;][ ].)\p{{Ll}}+(?![\p{{L}}{NUMBER}])", NAME)
+    first = F.regexp_replace(named, rf"(\p{{Lu}}(?<![\p{{L}}{NUMBER}-{NAME}].)\p{{Ll}}+)(?![\p{{L}}{NUMBER}])", rf"{FIRST}$1{END}")
+    return _split(F.lower(F.regexp_replace(first, rf"[^\p{{L}}{NUMBER}-{END} ]+", "")))
+
+
+def _literal(spaced: Column) -> Column:
+    """Case-folded words, at the same places as _marked() has them."""
+    return _split(F.lower(F.upper(F.regexp_replace(spaced, r"[^\p{L}\p{N} ]+", ""))))
+
+
+def _templates(table: DataFrame, key: str, made: Callable[[Column], Column] = lambda t: t) -> DataFrame:
+    """(key, t0, t1, t2): the tokens of the three templates, each token by ``made``."""
+    parts = table.select(key, _spaced(F.col("text")).alias("text")).select(key, _marked(F.col("text")).alias("marked"), _literal(F.col("text")).alias("literal"))
+    plain = lambda t: F.when(t.contains(FIRST), F.translate(t, FIRST + END, "")).otherwise(t)
+    name = lambda t: F.when(t.contains(FIRST), F.regexp_replace(t, f"{FIRST}[^{END}]*{END}", NAME)).otherwise(t)
+    return parts.select(key, F.transform("marked", lambda t: made(plain(t))).alias("t0"), F.transform("marked", lambda t: made(name(t))).alias("t1"), F.transform("literal", lambda t: made(t)).alias("t2"))
 
 
 def words(text: Column) -> Column:
-    """The raw words, at the same places as template() has theirs."""
-    return F.filter(F.split(text, r"[ \t-\r]+"), lambda t: t.rlike(r"[\p{L}\p{N}]"))
+    """The raw words, at the same places as the templates have theirs."""
+    return F.filter(F.split(_spaced(text), " "), lambda t: t.rlike(r"[\p{L}\p{N}]"))
+
+
+def _plain_words(tokens: Column) -> Column:
+    """How many different tokens without a placeholder or digit there are."""
+    return F.size(F.array_distinct(F.filter(tokens, lambda t: ~t.rlike(rf"[\p{{N}}{NUMBER}-{NAME}]"))))
 
 
 def _texts(table: DataFrame, key: str) -> DataFrame:
     return table.select(table[key].cast("long").alias(key), F.coalesce(table["text"].cast("string"), F.lit("")).alias("text")).where(F.col(key).isNotNull())
 
 
-def _paired(hashes: str, step: int) -> Column:
-    """Hash of each window of twice ``step`` tokens from the hashes of those of ``step``."""
+def _paired(hashes: str, step: int, kind: int) -> Column:
+    """Hash of each window of twice ``step`` tokens from the hashes of those of ``step``; other kinds, other hashes."""
     n = F.greatest(F.size(hashes) - step, F.lit(0))
-    return F.zip_with(F.slice(hashes, 1, n), F.slice(hashes, F.lit(1 + step), n), lambda a, b: F.xxhash64(a, b))
+    salt = [F.lit(kind)] if 2 * step == WINDOW else []
+    return F.zip_with(F.slice(hashes, 1, n), F.slice(hashes, F.lit(1 + step), n), lambda a, b: F.xxhash64(a, b, *salt))
 
 
-def _windows(table: DataFrame, key: str) -> DataFrame:
-    """(key, at, hash) for each window of WINDOW (8) template tokens: words are paired three times."""
-    hashed = table.select(key, F.transform(template(F.col("text")), lambda t: F.xxhash64(t)).alias("w"))
-    for step in (1, 2, 4):
-        hashed = hashed.select(key, _paired("w", step).alias("w"))
+def _slid(hashes: str, n: Column, size: int, kind: int) -> Column:
+    """Hash of each window of ``size`` tokens; other kinds, other hashes."""
+    return F.transform(F.slice(hashes, F.lit(1), n), lambda _, i: F.xxhash64(F.slice(F.col(hashes), i + 1, size), F.lit(kind)))
+
+
+def _windows(table: DataFrame, key: str, size: int = WINDOW) -> DataFrame:
+    """(key, n, place, hash) for each window of ``size`` tokens of each template: WINDOW (8) is made by pairing three times."""
+    kinds = [f"t{k}" for k in KINDS]
+    hashed = _templates(table, key, lambda t: F.xxhash64(t))
+    if size == WINDOW:
+        for step in (1, 2, 4):
+            hashed = hashed.select(key, *(_paired(t, step, k).alias(t) for k, t in enumerate(kinds)))
+    else:
+        n = F.greatest(F.size("t0") - (size - 1), F.lit(0))
+        hashed = hashed.select(key, *(_slid(t, n, size, k).alias(t) for k, t in enumerate(kinds)))
     # the outer form: for the inner one the optimiser adds a filter that works out the windows once more
-    return hashed.select(key, F.posexplode_outer("w").alias("at", "hash")).where(F.col("hash").isNotNull())
+    return hashed.select(key, F.size("t0").alias("n"), F.posexplode_outer(F.concat(*kinds)).alias("place", "hash")).where(F.col("hash").isNotNull())
+
+
+def _placed(windows: DataFrame, at: str) -> DataFrame:
+    """With kind and place in the text instead of the place among the windows of all kinds."""
+    return windows.withColumn("kind", F.expr("cast(place div n as int)")).withColumn(at, F.expr("cast(place % n as int)")).drop("n", "place")
+
+
+def _item_templates(benchmark: DataFrame) -> DataFrame:
+    """(item_id, kind, tokens, n), three rows an item."""
+    made = _templates(benchmark, "item_id").select("item_id", F.posexplode(F.array("t0", "t1", "t2")).alias("kind", "tokens"))
+    return made.withColumn("n", F.size("tokens")).distinct()
+
+
+def _silent(templates: DataFrame) -> DataFrame:
+    """(item_id, kind, item_at, part): windows without a plain word. They are not looked up but compared where another window of the item matches."""
+    places = templates.where(F.col("n") >= WINDOW).select("item_id", "kind", "tokens", F.explode(F.sequence(F.lit(0), F.col("n") - WINDOW)).alias("item_at"))
+    parts = places.select("item_id", "kind", "item_at", F.slice("tokens", F.col("item_at") + 1, WINDOW).alias("part"))
+    return parts.where(_plain_words(F.col("part")) == 0).distinct()
+
+
+def _few_words(templates: DataFrame) -> DataFrame:
+    """(item_id, kind, item_at): windows of fewer than MIN_WORDS plain words."""
+    places = templates.where(F.col("n") >= WINDOW).select("item_id", "kind", "tokens", F.explode(F.sequence(F.lit(0), F.col("n") - WINDOW)).alias("item_at"))
+    return places.where(_plain_words(F.slice("tokens", F.col("item_at") + 1, WINDOW)) < MIN_WORDS).select("item_id", "kind", "item_at").distinct()
 
 
-def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """The windows of the items that hold enough plain words to stand for them."""
-    items = benchmark.select("item_id", template(F.col("text")).alias("t"))
-    plain = lambda part: F.size(F.array_distinct(F.filter(part, lambda t: ~t.rlike(f"[{NUMBER}-{NAME}]"))))
-    places = items.where(F.size("t") >= WINDOW).select("item_id", "t", F.explode(F.sequence(F.lit(0), F.size("t") - WINDOW)).alias("at"))
-    telling = places.where(plain(F.slice("t", F.col("at") + 1, WINDOW)) >= MIN_WORDS).select("item_id", "at")
-    return _windows(benchmark, "item_id").join(telling, ["item_id", "at"], "left_semi").distinct()
+def _filled(matches: DataFrame, silent: DataFrame, docs: DataFrame) -> DataFrame:
+    """Matches of the silent windows on the diagonals that have a match."""
+    lines = matches.select("doc_id", "item_id", "kind", (F.col("doc_at") - F.col("item_at")).alias("shift")).distinct()
+    asked = lines.join(silent, ["item_id", "kind"]).withColumn("doc_at", F.col("item_at") + F.col("shift")).where("doc_at >= 0")
+    texts = docs.join(asked.select("doc_id").distinct(), "doc_id", "left_semi")
+    tokens = _templates(texts, "doc_id").select("doc_id", F.array("t0", "t1", "t2").alias("t"))
+    held = asked.join(tokens, "doc_id").where(F.slice(F.col("t")[F.col("kind")], F.col("doc_at") + 1, WINDOW) == F.col("part"))
+    return held.select(*matches.columns)
 
 
 def _runs(matches: DataFrame) -> DataFrame:
-    """Maximal runs of matched windows: doc_id, item_id, doc_at, item_at, n_tokens."""
-    line = Window.partitionBy("doc_id", "item_id", "shift").orderBy("doc_at")
+    """Maximal runs of matched windows: doc_id, item_id, kind, doc_at, item_at, n_tokens."""
+    line = Window.partitionBy("doc_id", "item_id", "kind", "shift").orderBy("doc_at")
     numbered = matches.withColumn("shift", F.col("doc_at") - F.col("item_at")).withColumn("run", F.col("doc_at") - F.row_number().over(line))
-    runs = numbered.groupBy("doc_id", "item_id", "shift", "run").agg(F.min("doc_at").alias("doc_at"), F.min("item_at").alias("item_at"), F.count("*").alias("n"))
-    return runs.select("doc_id", "item_id", "doc_at", "item_at", (F.col("n") + (WINDOW - 1)).cast("int").alias("n_tokens"))
+    runs = numbered.groupBy("doc_id", "item_id", "kind", "shift", "run").agg(F.min("doc_at").alias("doc_at"), F.min("item_at").alias("item_at"), F.count("*").alias("n"))
+    return runs.select("doc_id", "item_id", "kind", "doc_at", "item_at", (F.col("n") + (WINDOW - 1)).cast("int").alias("n_tokens"))
 
 
 def _consistent(item: str, doc: str, kinds: str) -> Column:
@@ -105,17 +182,37 @@ def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) ->
     """
     scratch = Scratch(spark, "decontaminate")
     docs, benchmark = _texts(docs, "doc_id"), _texts(benchmark, "item_id")
-    items = scratch.save(benchmark_windows(benchmark), "windows")
-    wanted = items.select("hash", "item_id", F.col("at").alias("item_at"))
-    if items.count() <= BROADCAST_WINDOWS:
-        wanted = F.broadcast(wanted)
-    matches = _windows(docs, "doc_id").withColumnRenamed("at", "doc_at").join(wanted, "hash").select("doc_id", "doc_at", "item_id", "item_at")
-    runs = _runs(scratch.save(matches, "matches").distinct())
-
-    item_words = benchmark.select("item_id", template(F.col("text")).alias("kinds"), words(F.col("text")).alias("item_words")).withColumn("item_tokens", F.size("kinds"))
-    shown = runs.join(item_words, "item_id").where(F.col("n_tokens") >= F.least(F.lit(MIN_RUN), F.col("item_tokens")))
+    templates = scratch.save(_item_templates(benchmark), "templates")
+    silent = scratch.save(_silent(templates), "silent")
+
+    def matched(items: DataFrame, size: int, name: str) -> DataFrame:
+        wanted = items.select("hash", "item_id", "item_at")
+        if items.count() <= BROADCAST_WINDOWS:
+            wanted = F.broadcast(wanted)
+        met = _windows(docs, "doc_id", size).join(wanted, "hash")  # one long key: the kind is in the hash
+        return scratch.save(_placed(met, "doc_at").select("doc_id", "doc_at", "item_id", "item_at", "kind"), name).distinct()
+
+    items = _placed(_windows(benchmark, "item_id"), "item_at").distinct()
+    items = scratch.save(items.join(silent, ["item_id", "kind", "item_at"], "left_anti"), "windows")
+    matches = matched(items, WINDOW, "matches")
+    weak = _few_words(templates)
+    strong = matches.join(weak, ["item_id", "kind", "item_at"], "left_anti")
+    if silent.limit(1).count():
+        matches = matches.unionByName(_filled(matches, silent, docs))
+    # a run that fails as a whole may hold one that stands by its wordy windows alone
+    runs = _runs(matches).unionByName(_runs(strong)).distinct()
+    for size in [r.n for r in templates.where(f"n between 1 and {WINDOW - 1}").select("n").distinct().orderBy("n").collect()]:
+        of_size = templates.where((F.col("n") == size) & (_plain_words(F.col("tokens")) > 0))
+        short = scratch.save(_placed(_windows(benchmark, "item_id", size), "item_at").distinct().join(of_size, ["item_id", "kind"], "left_semi").where("item_at = 0"), f"windows-{size}")
+        whole = matched(short, size, f"matches-{size}").withColumn("n_tokens", F.lit(size))
+        runs = runs.unionByName(whole.select(*runs.columns))
+
+    raw = benchmark.select("item_id", words(F.col("text")).alias("item_words"))
+    item_words = templates.withColumnRenamed("tokens", "kinds").withColumnRenamed("n", "item_tokens").join(raw, "item_id").where(F.size("item_words") == F.col("item_tokens"))
+    shown = runs.join(item_words, ["item_id", "kind"]).where(F.col("n_tokens") >= F.least(F.lit(MIN_RUN), F.col("item_tokens")))
     part = lambda column, at: F.slice(column, F.col(at) + 1, F.col("n_tokens"))
-    shown = shown.select("doc_id", "item_id", "doc_at", "n_tokens", "item_tokens", part("kinds", "item_at").alias("kinds"), part("item_words", "item_at").alias("item_words"))
+    shown = shown.select("doc_id", "item_id", "kind", "doc_at", "n_tokens", "item_tokens", part("kinds", "item_at").alias("kinds"), part("item_words", "item_at").alias("item_words"))
+    shown = shown.where(_plain_words(F.col("kinds")) >= F.when(F.col("kind") == LITERAL, 1).otherwise(MIN_WORDS))
     shown = shown.withColumn("n_slots", F.size(F.filter("kinds", lambda t: t.rlike(f"[{NUMBER}-{NAME}]"))))
     shown = scratch.save(shown, "runs")
     sure = shown.where("n_slots = 0").select("doc_id", "item_id", "n_tokens", "item_tokens", "n_slots")

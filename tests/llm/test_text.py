@@ -255,3 +255,23 @@ def test_html_cases(spark):
     got = html_density.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert sorted(r.text for r in got) == ["", "text", "text", "x"]
     assert html_density.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+MATHS = "What is 15 percent of 240 plus 30 percent of 90?"
+LIST = "3 8 5 9 2 7 4 6 1 11 are the numbers to add up and halve"
+
+
+def test_decontaminate_items_rich_in_slots(spark):
+    """Runs go on over windows of few plain words, and items shorter than a window count as a whole."""
+    texts = [
+        (1, "So: " + MATHS + " Say it."),
+        (2, "So: " + MATHS.replace("15", "25").replace("240", "80").replace("30 ", "40 ").replace("90", "60")),
+        (3, "Here " + LIST + " now"),
+        (4, "Here " + LIST.replace("11", "12").replace("3 8", "8 3") + " now"),
+        (5, "we say: name the capital of France! or not"),
+        (6, "3 8 5 9 2 7 4 6 1 11 15 240 30 90 3 8 5 9 2 7 4 6 1 11"),
+        (7, "A name, a capital and what is of note."),
+    ]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    items = spark.createDataFrame([(1, MATHS), (2, LIST), (3, "Name the capital of France"), (4, "15 240 30 90")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.decontaminate(spark, docs, items).collect()}
+    assert got == {(1, 1), (2, 1), (3, 2), (4, 2), (5, 3)}
