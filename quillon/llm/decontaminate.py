@@ -47,8 +47,8 @@ FIRST, END = "\ue004", "\ue005"
 #: The templates: first words are plain; all capitalised words are names; case-folded words and no placeholders.
 KINDS = (0, 1, 2)
 LITERAL = 2
-#: White space but the plain space.
-_GAPS = r"\t-\r\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+#: White space but the plain space, and the characters that stand for placeholders here.
+_GAPS = r"\t-\r\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{E001}-\x{E005}"
 UNITS = "km|cm|mm|m|kg|mg|g|lb|lbs|oz|l|ml|h|hr|hrs|hours?|min|mins|minutes?|s|sec|seconds?|days?|weeks?|months?|years?|miles?|feet|ft|inch|inches|meters?|metres?|kilometers?|grams?|dollars?|euros?|cents?|percent|mph|kmh"
 
 

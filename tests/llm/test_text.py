@@ -275,3 +275,22 @@ def test_decontaminate_items_rich_in_slots(spark):
     items = spark.createDataFrame([(1, MATHS), (2, LIST), (3, "Name the capital of France"), (4, "15 240 30 90")], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontaminate.decontaminate(spark, docs, items).collect()}
     assert got == {(1, 1), (2, 1), (3, 2), (4, 2), (5, 3)}
+
+
+STORY = "Alice has 3 apples. Bob has 5 apples. How many apples do they have in total?"
+TALK = "The red boat and Bob sail past seven old mills until the wind turns at night"
+
+
+def test_decontaminate_sees_through_names_case_and_wrapping(spark):
+    texts = [
+        (1, "Clara has 4 apples. Dave has 9 apples. How many apples do they have in total?"),
+        (2, STORY.upper()),
+        (3, STORY.lower()),
+        (4, TALK.replace("and Bob", "and\nBob").replace("at night", "at  night")),
+        (5, TALK.upper()),
+        (6, "Clara has 4 pears. Dave has 9 plums. How few apples do we have in hand?"),
+    ]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    items = spark.createDataFrame([(1, STORY), (2, TALK)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.decontaminate(spark, docs, items).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 2), (5, 2)}
