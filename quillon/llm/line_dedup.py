@@ -19,8 +19,8 @@ Rows also carry 64 parity bits of the line's characters, of which an edit turns
 at most; lines of one group whose bits differ in more than 2 * threshold places
 are no pair. A task drops repeats of a line before it sends segments, and equal
 lines lie side by side in a group and are skipped there, so copies of a line cost
-no pairs. A group of more than CROWD pairs gives each line's first partner only;
-when these have made classes, the group is gone through again for the partners in
+no pairs. A group of more than CROWD pairs gives each line's first partner only,
+of probing and of indexed lines; when these have made classes, the group is gone through again for the partners in
 other classes, so its pairs stay linear while no link between classes is lost.
 
 Defined cases: a null text has no lines (n_lines 0); an empty text has one empty
@@ -264,6 +264,19 @@ def _split(x: dict[str, np.ndarray]) -> Iterator[dict[str, np.ndarray]]:
             yield {c: v[lo:hi] for c, v in x.items()}
 
 
+def _first_partners(found: list[tuple[np.ndarray, np.ndarray]], rows: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of the pairs of a group, the first of each row on either side, so that no row with a partner is left out."""
+    met, out = np.zeros(rows, bool), []
+    for i, j in found:
+        keep = np.zeros(len(i), bool)
+        keep[np.unique(i, return_index=True)[1]] = True
+        first = np.unique(j, return_index=True)[1]
+        keep[first[~met[j[first]]]] = True
+        met[j] = True
+        out.append((i[keep], j[keep]))
+    return out
+
+
 def _met(threshold: int):
     """Pairs (a, b) of the groups; rows of crowded groups come along, with b null."""
 
@@ -275,7 +288,7 @@ def _met(threshold: int):
                 found = list(_near(g, 2 * threshold))
                 if sum(len(i) for i, _ in found) > CROWD:
                     crowds.append(g)
-                    found = [(i[f], j[f]) for i, j in found for f in [np.unique(i, return_index=True)[1]]]
+                    found = _first_partners(found, len(g["key"]))
                 a += [g["line"][i] for i, _ in found]
                 b += [g["line"][j] for _, j in found]
             if a:
@@ -398,7 +411,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, threshold: int = THRESHOLD)
     met = scratch.save(sent.repartition("key").sortWithinPartitions("key", "side", "line").mapInArrow(_met(threshold), _MET), "met")
     scratch.release()
 
-    # a line with any partner is in a pair of the first round, so its text serves both rounds
+    # a line with any partner, on either side, is in a pair of the first round, so its text serves both rounds
     some = scratch.save(met.where("b is not null").select("a", "b").distinct(), "pairs")
     wanted = some.select("a").unionByName(some.select(F.col("b").alias("a"))).distinct()
     texts = docs.mapInArrow(_texts_of(Membership(spark, wanted)), "line long, text string").dropDuplicates(["line"])

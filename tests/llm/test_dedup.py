@@ -79,6 +79,21 @@ def test_line_dedup(spark, docs, rows, monkeypatch, crowd):
     assert by_id(line_dedup.digest(line_dedup.line_dedup(spark, docs))) == brute.line_dedup(rows)
 
 
+def test_line_dedup_keeps_links_of_indexed_lines(spark, monkeypatch):
+    """In crowded groups a line that is only ever another's second partner is still linked."""
+    import random
+
+    monkeypatch.setattr(line_dedup, "CROWD", 0)
+    rng, letters, rows = random.Random(5), "abcdefghijklmnopqrstuvwxyz", []
+    for k in range(30):
+        p = "".join(rng.choice(letters) for _ in range(30))
+        # two edits from p each, four from each other; all three share the last segment only
+        for m, places in enumerate([(), (1, 12), (6, 17)]):
+            rows.append((3 * k + m, "".join(c.upper() if at in places else c for at, c in enumerate(p))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert by_id(line_dedup.digest(line_dedup.line_dedup(spark, docs))) == brute.line_dedup(rows)
+
+
 def test_line_dedup_cases(spark, none, repeated):
     assert line_dedup.line_dedup(spark, none).count() == 0
     assert {k: v[:2] for k, v in by_id(line_dedup.line_dedup(spark, repeated)).items()} == {1: (1, 0), 2: (1, 1)}
