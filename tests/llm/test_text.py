@@ -294,3 +294,18 @@ def test_decontaminate_sees_through_names_case_and_wrapping(spark):
     items = spark.createDataFrame([(1, STORY), (2, TALK)], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontaminate.decontaminate(spark, docs, items).collect()}
     assert got == {(1, 1), (2, 1), (3, 1), (4, 2), (5, 2)}
+
+
+PROSE = "The river rose again last night, and by morning the whole of the lower town stood under water."
+WRAPPED = [
+    f"<body><div class='has-sidebar'><article><p>{PROSE}</p></article><div class='sidebar'>Other news</div></div></body>",
+    f"<body><div class='no-sidebar'><p>{PROSE}</p></div></body>",
+    f"<body><form action='x'><nav>Home</nav><div><p>{PROSE}</p></div></form></body>",
+    f"<body><div class='with-comments'><div class='text'><p>{PROSE}</p></div><div class='comments'><p>Nice.</p></div></div></body>",
+    f"<body><div class='sidebar'><article>A card</article></div><main><p>{PROSE}</p><form>Search</form></main></body>",
+]
+
+
+@pytest.mark.parametrize("page", WRAPPED)
+def test_html_keeps_wrapped_articles(page):
+    assert html_density.extract(page) == PROSE
