@@ -25,9 +25,20 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts (operator 4)."""
-    gone = exact_dedup.exact_dedup(spark, docs).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of equal texts (operator 4), also where a doc_id is repeated with this or another text."""
+    scratch = Scratch(spark, "exact-copies")
+    marked = scratch.save(exact_dedup.exact_dedup(spark, docs).select("doc_id", "text_sha256", "kept"), "marked")
+    hashed = docs.withColumn("text_hash", F.sha2(exact_dedup.normalised(docs["text"].cast("string")).cast("binary"), 256))
+
+    def among(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        keys = keys.select(F.col("doc_id").alias("key_id"), F.col("text_sha256").alias("key_hash"))
+        return rows.join(keys, (rows["text_hash"] == keys["key_hash"]) & rows["doc_id"].eqNullSafe(keys["key_id"]), how)
+
+    left = among(hashed, marked.where("not kept"), "left_anti")
+    tied = scratch.save(marked.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1"), "tied")
+    if tied.limit(1).count():
+        left = among(left, tied, "left_anti").unionByName(among(left, tied, "left_semi").dropDuplicates(["doc_id", "text_hash"]))
+    return left.select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,3 +34,10 @@ def test_stages_take_any_rows(spark, k):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     corpus_pipeline.STAGES[k][1](spark, docs, SMALL).collect()
     corpus_pipeline.STAGES[k][1](spark, docs.limit(0), SMALL).collect()
+
+
+def test_exact_copies_with_repeated_ids(spark):
+    rows = [(5, "first text"), (9, "first text"), (5, "other text"), (7, "Twice"), (7, "twice"), (None, "other text"), (8, "alone")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.text.lower()) for r in corpus_pipeline.exact_copies(spark, docs, SMALL).collect()]
+    assert sorted(got, key=str) == [(5, "other text"), (7, "twice"), (8, "alone"), (9, "first text")]
