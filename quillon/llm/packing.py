@@ -208,18 +208,21 @@ def _tokenised(tokenizer: str, end_id: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, end = encoder(tokenizer, False).encode, int(end_id).to_bytes(4, "little")
+        column, end = encoder(tokenizer).column, int(end_id).to_bytes(4, "little")
         part, before, step = TaskContext.get().partitionId(), 0, 4 * window
         names = ["doc_id", "doc_tokens", "doc_crc", "whole", "tail", "tail_crc", "part", "before"]
         types = [pa.int64()] * 3 + [pa.list_(pa.int64()), pa.int32(), pa.int64(), pa.int32(), pa.int64()]
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode(text.as_py()) + end
-                n = len(ids) // 4
-                cut = n // window * step
-                rows.append((doc_id, n, zlib.crc32(ids), [zlib.crc32(ids[k : k + step]) for k in range(0, cut, step)], n % window, zlib.crc32(ids[cut:]), part, before))
-                before += n // window
+            rows, doc_ids = [], batch.column(0).to_pylist()
+            for first, last, made, at in column(batch.column(1)):
+                for k in range(first, last):
+                    ids = made[at[k - first] : at[k - first + 1]].tobytes() + end
+                    n = len(ids) // 4
+                    cut = n // window * step
+                    whole = [zlib.crc32(ids[b : b + step]) for b in range(0, cut, step)]
+                    tail = zlib.crc32(ids[cut:])
+                    rows.append((doc_ids[k], n, zlib.crc32(ids) if cut else tail, whole, n % window, tail, part, before))
+                    before += n // window
             columns = zip(*rows, strict=True) if rows else [[]] * 8
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names)
 
@@ -259,13 +262,14 @@ def _placed(plan: Plan, ranks: dict[tuple[int, int], int]):
 
 def _crcs(tokenizer: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(tokenizer, False).encode, int(end_id).to_bytes(4, "little")
+        column, end = encoder(tokenizer).column, int(end_id).to_bytes(4, "little")
         for batch in batches:
-            rows = []
-            for doc_id, text, pieces in zip(*(batch.column(k) for k in range(3)), strict=True):
-                ids = encode(text.as_py()) + end
-                whole = zlib.crc32(ids)
-                rows += [(doc_id.as_py(), p["start"], p["length"], zlib.crc32(ids[4 * p["start"] : 4 * (p["start"] + p["length"])]), p["doc_tokens"], p["sequence_id"], p["offset"]) for p in pieces.as_py() if p["doc_crc"] == whole and 4 * p["doc_tokens"] == len(ids)]
+            rows, doc_ids, pieces = [], batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            for first, last, made, at in column(batch.column(1)):
+                for k in range(first, last):
+                    ids = made[at[k - first] : at[k - first + 1]].tobytes() + end
+                    whole = zlib.crc32(ids)
+                    rows += [(doc_ids[k], p["start"], p["length"], zlib.crc32(ids[4 * p["start"] : 4 * (p["start"] + p["length"])]), p["doc_tokens"], p["sequence_id"], p["offset"]) for p in pieces[k] if p["doc_crc"] == whole and 4 * p["doc_tokens"] == len(ids)]
             columns = zip(*rows, strict=True) if rows else [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], [f.split()[0] for f in _PIECE.split(", ")])
 

@@ -184,7 +184,7 @@ def _write(folder: str, tokenizer: str, end_id: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode = encoder(tokenizer, True, "H" if width == 2 else "I").encode
+        column, kind = encoder(tokenizer).column, "<u2" if width == 2 else "<u4"
         end = int(end_id).to_bytes(width, "little")
         system, root = _file_system(folder)
         number = TaskContext.get().partitionId()
@@ -192,14 +192,17 @@ def _write(folder: str, tokenizer: str, end_id: int, width: int):
         n_docs = n_ids = 0
         first = out = writer = None
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if writer is None:
-                    system.create_dir(root, recursive=True)
-                    out = system.open_output_stream(own, compression=None)
-                    writer, first = ShardWriter(out, width), doc_id
-                value = encode(text.as_py()) + end
-                writer.add(key_of(doc_id), value)
-                n_docs, n_ids = n_docs + 1, n_ids + len(value) // width
+            doc_ids = batch.column(0).to_pylist()
+            if writer is None and doc_ids:
+                system.create_dir(root, recursive=True)
+                out = system.open_output_stream(own, compression=None)
+                writer, first = ShardWriter(out, width), doc_ids[0]
+            for begin, last, made, at in column(batch.column(1)):
+                ids = made.astype(kind)
+                for k in range(begin, last):
+                    value = ids[at[k - begin] : at[k - begin + 1]].tobytes() + end
+                    writer.add(key_of(doc_ids[k]), value)
+                    n_docs, n_ids = n_docs + 1, n_ids + len(value) // width
         if writer is not None:
             writer.close()
             out.close()

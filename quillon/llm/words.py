@@ -48,7 +48,7 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers
 
 
-def text_chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_chunks(column: pa.Array, chunk: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, byte offset of each row and of the end) for runs of rows.
 
     A null text is an empty one.
@@ -65,7 +65,7 @@ def text_chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
     raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     row = 0
     while row < len(column):
-        end = max(row + 1, int(np.searchsorted(off, off[row] + CHUNK, side="right")) - 1)
+        end = max(row + 1, int(np.searchsorted(off, off[row] + chunk, side="right")) - 1)
         end = min(end, len(column))
         yield row, end, raw[off[row] : off[end]], off[row : end + 1] - off[row]
         row = end

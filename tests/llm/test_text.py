@@ -1,9 +1,11 @@
+import random
 import struct
 import zlib
 from collections import defaultdict
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quillon.llm import decontaminate, html_density, packing, quality_crf, secret_ledger, sstable, tokens
@@ -15,7 +17,6 @@ def ids_of(name, text):
     from tokenizers import Tokenizer
 
     t = ids_of.kept.setdefault(name, Tokenizer.from_file(tokens.public_path(name)))
-    t.encode_special_tokens = True
     return [*t.encode(text or "", add_special_tokens=False).ids, 2]
 
 
@@ -26,12 +27,25 @@ def crc(ids):
     return zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))
 
 
-@pytest.mark.parametrize("name,space", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
-def test_encoder(rows, name, space):
-    odd = ["  a  b\n\n c", "don't stop'll 12,345 x.y, éa ÉCOLE İstanbul ΣΑΣ ſ", "a\tb c d  ", "\n\nab\n c ", "日本語 text, fine. 123abc!!", "<|endoftext|> x", "a .b , c! !", "ǅ Ǆ ŉ ß ẞ\x1c x\x85y z", "'s 't it's ' s"]
-    encoder = tokens.Encoder(tokens.public_path(name), space, "I")
-    for text in [*odd, *(t for _, t in rows)]:
-        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == ids_of(name, text)[:-1]
+#: What split patterns, normal forms and special tokens could trip over.
+PIECES = [*" \n\t\r\x0b\x1c\x85\u00a0\u1680\u2003\u2028\u3000aAbBéÉßİΣςſKñŉǅ日本語١2½'’“—….,;:!?-()<>|_/~`´", "  ", "\n\n", " ", " ", " ", "\u0301", "\u0338", "e\u0301", "'s", "'t", "'ll", "n't", "hello", "World", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "|>", "3.14", "😀", "\u200b", "ﬁ"]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoder(rows, name, monkeypatch):
+    odd = ["  a  b\n\n c", " hello world", " hello, world", " Hello\nworld", "a <|endoftext|> b", "x<|startoftext|>y", "a\tb c d  ", "\n\nab\n c ", "日本語 text, fine. 123abc!!", "'s 't it's ' s", "ends ", ""]
+    rng = random.Random(7)
+    fuzz = ["".join(rng.choice(PIECES) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
+    texts = [*odd, *fuzz, *(t for _, t in rows)]
+    want = [ids_of(name, t)[:-1] for t in texts]
+    monkeypatch.setattr(tokens, "KEPT", 500)  # so that parts beyond the table occur
+    monkeypatch.setattr(tokens, "CHUNK", 3000)
+    encoder = tokens.Encoder(tokens.public_path(name))
+    got = []
+    for first, end, ids, at in encoder.column(pa.array(texts, pa.string())):
+        got += [ids[at[k] : at[k + 1]].tolist() for k in range(end - first)]
+    assert got == want
+    assert encoder.encode(None).tolist() == [] and encoder.encode("ab cd").tolist() == ids_of(name, "ab cd")[:-1]
 
 
 def test_token_shards(spark, docs, rows):
