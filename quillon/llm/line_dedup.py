@@ -42,7 +42,7 @@ from .documents import id_and_text, one_row_each
 from .graph import components
 from .membership import Membership
 from .scratch import Scratch
-from .words import mix
+from .words import mix, places
 
 THRESHOLD = 2
 MIN_CHARS = 20
@@ -103,22 +103,30 @@ class Lines:
         first = np.searchsorted(starts, begins)  # each text's first line
         own = np.searchsorted(first, line, side="right") - 1
         self.row, self.number = np.array(known, np.int64)[own] if len(known) else own, line - first[own] if len(known) else line
-        self._up, self._down = _powers(len(c) + 1)
-        self._kept: dict[int, np.ndarray] = {}
-
-    def _sums(self, which: int) -> np.ndarray:
-        if which not in self._kept:
-            sums = self._kept[which] = np.zeros(len(self.codes) + 1, U64)
-            np.cumsum(scrambled(self.codes, (101, 202)[which]) * self._up[: len(self.codes)], out=sums[1:])
-        return self._kept[which]
-
-    def part(self, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
-        """Hashes of substrings."""
-        sums = self._sums(which)
+        self._sums = self._down = None
+        self._lines: dict[int, np.ndarray] = {}
+
+    def part(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of substrings, by powers of a base: different ones that are equal cost a comparison of their lines."""
+        if self._sums is None:
+            self._sums = np.zeros(len(self.codes) + 1, U64)
+            up, self._down = _powers(len(self.codes) + 1)
+            np.cumsum(scrambled(self.codes, 101) * up[: len(self.codes)], out=self._sums[1:])
+        sums = self._sums
         return mix((sums[end] - sums[start]) * self._down[start] + (end - start).astype(U64))
 
     def hashes(self, which: int) -> np.ndarray:
-        return self.part(self.start, self.end, which).view(np.int64)
+        """Hashes of the lines; each place in a line has a random value of its own."""
+        if which not in self._lines:
+            begin = np.zeros(len(self.codes) + 1, np.int64)
+            begin[self.start] = self.start
+            np.maximum.accumulate(begin, out=begin)
+            size = self.end - self.start
+            at = np.minimum(np.arange(len(self.codes)) - begin[:-1], size.max(initial=0))
+            sums = np.zeros(len(self.codes) + 1, U64)
+            np.cumsum(scrambled(self.codes, (101, 202)[which]) * places(at), out=sums[1:])
+            self._lines[which] = mix(sums[self.end] - sums[self.start] + size.astype(U64)).view(np.int64)
+        return self._lines[which]
 
     def parity(self) -> np.ndarray:
         """64 bits a line: whether each of 64 groups of characters has an odd number in it."""

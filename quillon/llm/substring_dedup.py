@@ -103,8 +103,9 @@ def _runs(window: int):
                 s, a, row = at[cut], a[cut], row[cut]
                 length = np.diff(np.append(cut, len(at)))
                 stop = s + length + window - 1  # the word after the last full window
-                place = np.cumsum(np.concatenate([[np.uint64(0)], h * W._power(len(h) + 1)[0][: len(h)]]), dtype=np.uint64)
-                whole = W.mix((place[stop] - place[s]) * W._power(len(h) + 1)[1][s] + W.mix(((a - s) * 4096 + length).astype(np.uint64)))
+                up, down = W.powers(len(h))
+                place = np.cumsum(np.concatenate([[np.uint64(0)], h * up[: len(h)]]), dtype=np.uint64)
+                whole = W.mix((place[stop] - place[s]) * down[s] + W.mix(((a - s) * 4096 + length).astype(np.uint64)))
                 grown = W.windows(h, 2 * short)
                 right = grown[np.minimum(a, len(grown) - 1)] >> np.uint64(32)
                 left = grown[np.maximum(a - short, 0)] >> np.uint64(32)

@@ -1,9 +1,11 @@
 """Word hashes of whole Arrow batches, without a Python object per word.
 
-A word is ``[^\\x20\\x09-\\x0D]+`` over the UTF-8 bytes of a text. Its hash is a
-polynomial over a table of random 64-bit values, taken from prefix sums, so a
-batch costs a few passes of NumPy over its bytes. Two seeds give two
-independent hashes where 128 bits are wanted.
+A word is ``[^\\x20\\x09-\\x0D]+`` over the UTF-8 bytes of a text. Its hash is the
+sum over its bytes of a random 64-bit value of the byte times a random odd one of
+the place in the word, scrambled at the end. The places' values are independent,
+not powers of a base, for which there are words that collide in any table. The sums
+come from prefix sums, so a batch costs a few passes of NumPy over its bytes. Two seeds
+give two independent hashes where 128 bits are wanted.
 """
 
 from __future__ import annotations
@@ -21,7 +23,9 @@ _LOWER = np.arange(256)
 _LOWER[65:91] += 32
 _GAP = np.zeros(256, bool)
 _GAP[[32, 9, 10, 11, 12, 13]] = True
-_powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, U64), np.ones(1, U64))
+#: The odd value of each place in a word, up to the longest word seen or _PLACES; those beyond are worked out each time.
+_PLACES = 1 << 20
+_odd = np.ones(0, U64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -38,14 +42,20 @@ def byte_table(seed: int, lower: bool) -> np.ndarray:
     return table[_LOWER] if lower else table
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, for n bytes at least."""
-    global _powers
-    if len(_powers[0]) < n:
-        size = max(n, CHUNK + 1)
-        inverse = pow(_BASE, -1, 1 << 64)
-        _powers = tuple(np.concatenate([np.ones(1, U64), np.cumprod(np.full(size - 1, b, U64))]) for b in (_BASE, inverse))
-    return _powers
+def places(at: np.ndarray) -> np.ndarray:
+    """The odd values of places."""
+    global _odd
+    top = int(at.max(initial=0)) + 1
+    if len(_odd) < min(top, _PLACES):
+        _odd = mix(np.arange(1, 1 + min(_PLACES, 2 * max(top, 128)), dtype=U64) * U64(0xA0761D6478BD642F)) | U64(1)
+    if top <= len(_odd):
+        return _odd[at]
+    return np.where(at < len(_odd), _odd[np.minimum(at, len(_odd) - 1)], mix((at.astype(U64) + U64(1)) * U64(0xA0761D6478BD642F)) | U64(1))
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse modulo 2**64: for sums over a few dozen hashes at the most, as longer ones can collide whatever the hashes are."""
+    return tuple(np.concatenate([np.ones(1, U64), np.cumprod(np.full(n, b, U64))]) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
 
 
 def text_chunks(column: pa.Array, chunk: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -88,11 +98,14 @@ def word_spans(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray) -> np.ndarray:
     if not len(starts):
         return np.zeros(0, U64)
-    up, down = _power(len(raw) + 1)
+    begin = np.zeros(len(raw), np.int64)
+    begin[starts] = starts
+    np.maximum.accumulate(begin, out=begin)
+    at = np.minimum(np.arange(len(raw)) - begin, (ends - starts).max())  # bytes of gaps count for nothing
     sums = np.empty(len(raw) + 1, U64)
     sums[0] = 0
-    np.cumsum(table[raw] * up[: len(raw)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64))
+    np.cumsum(table[raw] * places(at), out=sums[1:])
+    return mix(sums[ends] - sums[starts] + (ends - starts).astype(U64))
 
 
 def windows(hashes: np.ndarray, n: int) -> np.ndarray:
