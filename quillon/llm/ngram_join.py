@@ -5,8 +5,8 @@ into GROUPS groups they give a point of group counts. The overlap of two sets
 is at most the sum over the groups of the smaller count, and for a whole node of
 the tree at most that sum with the node's largest counts, so a search goes down
 only where the bound still reaches the overlap that the similarity asks for.
-Pairs that survive are held against the same bound over as many groups as the
-sets have tokens, and what is left is verified on the sets.
+Pairs that survive are held against a finer bound that travels with the point, and
+what is left is verified on the sets.
 
 How it is dealt out:
 
@@ -19,13 +19,14 @@ How it is dealt out:
   unless a row of a fitting size is there to meet it. The order puts
   tokens last whose cell of a fixed-size count sketch of all tokens is crowded,
   then goes by hash, so that trees stay small and no token is left out.
-* Trees that hold the same classes are built once; those of two classes need no
-  tree. A tree too large for one task is cut into blocks and searched block
-  against block, each pair of blocks a task.
-* Two rounds keep the pairs linear in groups of copies. In the first, every
-  class gives its smallest surviving partner in each tree; verified links make
-  components. The second gives all surviving pairs that lie in different
-  components, so no link between components is lost.
+* Trees that hold the same classes are built once. One of more than BLOCK points
+  is cut into blocks of points, each searched by a task.
+* Two searches keep the pairs linear in groups of copies. In the first, every
+  class gives its smallest and its nearest surviving partner in each tree, of a
+  large tree among a few pivots; verified links make components. The second gives
+  all surviving pairs that lie in different components, so no link between
+  components is lost. There only classes outside a tree's main component ask, and
+  go to all of its blocks.
 
 Defined cases: a null text has no words; a document without words has no
 shingles and links with nothing, nor with another empty one; with fewer words
@@ -39,7 +40,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,12 +48,9 @@ from . import words as W
 from .documents import id_and_text, one_row_each
 from .graph import components
 from .membership import Membership
-from .rtree import CountRTree
 from .scratch import Scratch
-from .words import U64
+from .tree_search import GROUPS, pack, parity, search
 
-#: Coordinates of a point.
-GROUPS = 128
 #: Bits of the count sketch: 2**SKETCH_BITS cells whatever the input's size.
 SKETCH_BITS = 18
 #: A cell is crowded with this many times the mean count.
@@ -128,13 +125,13 @@ def crowded_cells(docs: DataFrame, n: int) -> np.ndarray:
 
 
 def _points(n: int, percent: int, packed: np.ndarray):
-    """For each document its set's size and 128-bit hash, its point, and its front tokens."""
+    """For each document its set's size and 128-bit hash, its point, its parity vector, and its front tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crowded = np.unpackbits(packed).astype(bool)
         for batch in batches:
             ids = batch.column(0)
-            sizes, hash1, hash2, points, fronts = [], [], [], [], []
+            sizes, hash1, hash2, points, bits, fronts = [], [], [], [], [], []
             for _, _, raw, off in W.text_chunks(batch.column(1)):
                 grams, at = _shingle_sets(raw, off, n)
                 late = crowded[_cells(grams)]
@@ -154,97 +151,14 @@ def _points(n: int, percent: int, packed: np.ndarray):
                         own = own[np.argsort(late[at[i] : at[i + 1]], kind="stable")]
                     fronts.append(W.signed(own[:front]))
                     points.append(pack(counts[i]))
-            yield pa.RecordBatch.from_arrays([ids, *(pa.array(np.concatenate(x).astype(np.uint64).view(np.int64) if x else np.zeros(0, np.int64)) for x in (sizes, hash1, hash2)), pa.array(points, pa.binary()), pa.array(fronts, pa.list_(pa.int64()))], ["doc_id", "n", "h1", "h2", "point", "front"])
+                    bits.append(parity(grams[at[i] : at[i + 1]]))
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array(np.concatenate(x).astype(np.uint64).view(np.int64) if x else np.zeros(0, np.int64)) for x in (sizes, hash1, hash2)), pa.array(points, pa.binary()), pa.array(bits, pa.binary()), pa.array(fronts, pa.list_(pa.int64()))], ["doc_id", "n", "h1", "h2", "point", "bits", "front"])
 
     return run
 
 
-def pack(counts: np.ndarray) -> bytes:
-    """A point in the narrowest of three widths; unpack() tells them by length."""
-    top = counts.max(initial=0)
-    return counts.astype(np.uint8 if top < 256 else np.uint16 if top < 65536 else np.uint32).tobytes()
-
-
-def unpack(points: list[bytes]) -> np.ndarray:
-    kinds = {GROUPS: np.uint8, 2 * GROUPS: np.uint16, 4 * GROUPS: np.uint32}
-    return np.stack([np.frombuffer(p, kinds[len(p)]).astype(np.int32) for p in points])
-
-
-def _search(percent: int, first_only: bool):
-    """Rows sorted by tree (token, block, block): the pairs of classes that survive in the tree."""
-
-    def tree_pairs(x: pd.DataFrame, two_blocks: bool):
-        ids, sizes, points = x["id"].to_numpy(), x["n"].to_numpy(), unpack(list(x["point"]))
-        order = np.argsort(ids, kind="stable")
-        ids, sizes, points = ids[order], sizes[order], points[order]
-        label, side = x["label"].to_numpy()[order], x["side"].to_numpy()[order]
-        tree = CountRTree(points, sizes, percent)
-        for asked in np.array_split(np.arange(len(ids)), max(1, len(ids) // 64)):
-            who, other = tree.search(points[asked], sizes[asked])
-            who = asked[who]
-            keep = (ids[who] != ids[other]) & (label[who] != label[other])
-            if two_blocks:
-                keep &= side[who] != side[other]
-            who, other = who[keep], other[keep]
-            if first_only:  # other comes in ascending order for each who
-                _, at = np.unique(who, return_index=True)
-                who, other = who[at], other[at]
-            else:
-                low = who < other
-                who, other = who[low], other[low]
-            yield np.minimum(ids[who], ids[other]), np.maximum(ids[who], ids[other])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: list[pd.DataFrame] = []
-
-        def pairs(x: pd.DataFrame):
-            for (_, i, j), part in x.groupby(["tok", "i", "j"], sort=False):
-                for a, b in tree_pairs(part, i != j):
-                    if len(a):
-                        yield pd.DataFrame({"a": a, "b": b})
-
-        for batch in batches:
-            if not len(batch):
-                continue
-            end = batch[["tok", "i", "j"]].to_numpy()
-            last = int(np.flatnonzero((end != end[-1]).any(axis=1))[-1]) + 1 if (end != end[-1]).any() else 0
-            if last or (kept and tuple(kept[-1][["tok", "i", "j"]].iloc[-1]) != tuple(end[-1])):
-                yield from pairs(pd.concat([*kept, batch.iloc[:last]]))
-                kept = []
-            kept.append(batch.iloc[last:])
-        if kept:
-            yield from pairs(pd.concat(kept))
-
-    return run
-
-
-def fine_groups(size: int) -> int:
-    """Groups of a document's fine point: a power of two that its set doesn't exceed."""
-    return max(GROUPS, 1 << (max(1, size) - 1).bit_length())
-
-
-def fine_point(grams: np.ndarray) -> bytes:
-    """Counts in fine_groups() groups by the leading bits of the hash, so neighbours add up to coarser ones."""
-    groups = fine_groups(len(grams))
-    at = (W.mix(grams ^ U64(0xC3C3C3C3)) >> U64(65 - groups.bit_length())).astype(np.int64)
-    counts = np.bincount(at, minlength=groups)
-    top = counts.max(initial=0)
-    return counts.astype(np.uint8 if top < 256 else np.uint32).tobytes()
-
-
-def fine_overlap(a: bytes, size_a: int, b: bytes, size_b: int) -> int:
-    """The bound on the overlap of two sets from their fine points."""
-    counts = []
-    for raw, size in ((a, size_a), (b, size_b)):
-        groups = fine_groups(size)
-        counts.append(np.frombuffer(raw, np.uint8 if len(raw) == groups else np.uint32).astype(np.int64))
-    least = min(map(len, counts))
-    x, y = (c.reshape(least, -1).sum(axis=1) for c in counts)
-    return int(np.minimum(x, y).sum())
-
-
-def _made(n: int, wanted: Membership, fine: bool):
-    """(id, n, data) of the documents that the test passes: the fine point, or the sorted shingle hashes."""
+def _sets(n: int, wanted: Membership):
+    """(id, n, data) of the documents that the test passes; data: the sorted shingle hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -255,27 +169,12 @@ def _made(n: int, wanted: Membership, fine: bool):
                 for i in range(len(at) - 1):
                     own = grams[at[i] : at[i + 1]]
                     sizes.append(len(own))
-                    data.append(fine_point(own) if fine else own.tobytes())
+                    data.append(own.tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(data, pa.binary())], ["id", "n", "data"])
 
     return run
 
 
-def _bounded(percent: int):
-    """Pairs whose fine points let them be similar enough."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            sizes_a, sizes_b, left, right = batch.column(2).to_numpy(), batch.column(3).to_numpy(), batch.column(4), batch.column(5)
-            for i in range(batch.num_rows):
-                a, b = int(sizes_a[i]), int(sizes_b[i])
-                keep[i] = (100 + percent) * fine_overlap(left[i].as_py(), a, right[i].as_py(), b) >= percent * (a + b)
-            yield batch.select([0, 1]).filter(pa.array(keep))
-
-    return run
-
-
 def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -298,28 +197,26 @@ def _with_data(pairs: DataFrame, made: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "data_a", "data_b")
 
 
-def _ids(pairs: DataFrame) -> DataFrame:
-    return pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct()
+def _trees(front: DataFrame, points: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The rows of all trees: tok, block, id, n, label, kind, point, bits.
 
-
-def _trees(front: DataFrame, points: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """The tokens' groups as (pairs of classes alone in theirs, rows of trees).
-
-    Of groups with the same classes one is kept. A group over BLOCK is cut.
+    Of groups with the same classes one is kept, and none whose classes are all of
+    one label. A group over BLOCK is cut; its first two classes (first search) or
+    those outside its main label (second) go to all its blocks.
     """
-    rows = front if labels is None else front.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    rows = rows if labels is not None else rows.withColumn("label", F.col("id"))
-    kinds = rows.groupBy("tok").agg(F.count("*").alias("k"), F.min("id").alias("a"), F.max("id").alias("b"), F.expr("bit_xor(xxhash64(id))").alias("x1"), F.sum(F.xxhash64("id", F.lit(7)).cast("decimal(38,0)")).alias("x2"), F.min("label").alias("l1"), F.max("label").alias("l2")).where("k > 1 and l1 <> l2")
-    alone = kinds.where("k = 2").select("a", "b").distinct()
-    kept = kinds.where("k > 2").groupBy("k", "x1", "x2").agg(F.min("tok").alias("tok"))
-    blocks = F.ceil(F.col("k") / BLOCK).cast("int")
-    members = rows.join(kept.select("tok", "k"), "tok").withColumn("nb", blocks).withColumn("own", F.expr("cast(pmod(xxhash64(id, 3), nb) as int)"))
-    members = members.withColumn("with", F.explode(F.expr("sequence(0, nb - 1)"))).select("tok", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "id", "n", "label", F.col("own").alias("side"))
-    return alone, members.join(points, "id").select("tok", "i", "j", "id", "n", "label", "side", "point")
-
-
-_TREE_KEY = ("tok", "i", "j")
-_MADE = "id long, n long, data binary"
+    rows = front.withColumn("label", F.col("id")) if labels is None else front.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    marks = [F.expr("bit_xor(xxhash64(id))").alias("x1"), F.sum(F.xxhash64("id", F.lit(7)).cast("decimal(38,0)")).alias("x2")]
+    if labels is None:
+        kinds = rows.groupBy("tok").agg(F.count("*").alias("k"), *marks, F.min("id").alias("one"), F.max("id").alias("two"), F.count("*").alias("labels"))
+    else:
+        own = rows.groupBy("tok", "label").agg(F.count("*").alias("k"), *marks)
+        kinds = own.groupBy("tok").agg(F.sum("k").alias("k"), F.expr("bit_xor(x1)").alias("x1"), F.sum("x2").alias("x2"), F.expr("max_by(label, struct(k, label))").alias("one"), F.lit(None).cast("long").alias("two"), F.count("*").alias("labels"))
+    kept = kinds.where("k > 1 and labels > 1").groupBy("k", "x1", "x2").agg(F.min(F.struct("tok", "one", "two")).alias("t")).select("t.*", "k")
+    asks = "id in (one, two)" if labels is None else "label <> one"
+    members = rows.join(kept, "tok").withColumn("nb", F.ceil(F.col("k") / BLOCK).cast("int")).withColumn("own", F.expr("cast(pmod(xxhash64(id, 3), nb) as int)")).withColumn("asks", F.expr(asks))
+    members = members.withColumn("block", F.explode(F.expr("if(asks and nb > 1, sequence(0, nb - 1), array(own))")))
+    kind = F.when(F.col("block") != F.col("own"), 2).otherwise(F.col("asks").cast("int"))
+    return members.select("tok", "block", "id", "n", "label", kind.alias("kind")).join(points, "id").select("tok", "block", "id", "n", "label", "kind", "point", "bits")
 
 
 def similarity_components(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -333,11 +230,11 @@ def similarity_components(spark: SparkSession, docs: DataFrame, n: int = 5, perc
     docs = id_and_text(docs)
     docs = one_row_each(docs, docs.select("doc_id"))
     crowded = crowded_cells(docs, n)
-    points = docs.mapInArrow(_points(n, percent, crowded), "doc_id long, n long, h1 long, h2 long, point binary, front array<bigint>")
+    points = docs.mapInArrow(_points(n, percent, crowded), "doc_id long, n long, h1 long, h2 long, point binary, bits binary, front array<bigint>")
     points = scratch.save(points, "points", WIDE)
     classes = points.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("id"))
     classes = scratch.save(classes, "classes")
-    heads = points.join(classes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "n", "point", "front")
+    heads = points.join(classes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "n", "point", "bits", "front")
 
     # of the tokens' rows only those stay whose token has another class's row
     front = heads.select(F.posexplode("front").alias("at", "tok"), "id", "n")
@@ -346,34 +243,28 @@ def similarity_components(spark: SparkSession, docs: DataFrame, n: int = 5, perc
     shared = front.repartition("tok").sortWithinPartitions("tok", "size", "id").mapInArrow(_shared(percent), "tok long, id long, n long")
     shared = scratch.save(shared, "shared")
     scratch.release()
-    where = heads.select("id", "point")
+    where = heads.select("id", "point", "bits")
 
     def pairs(labels: DataFrame | None) -> DataFrame:
-        alone, members = _trees(shared, where, labels)
-        found = members.repartition(*_TREE_KEY).sortWithinPartitions(*_TREE_KEY).mapInPandas(_search(percent, labels is None), "a long, b long")
-        sizes = heads.select("id", "n")
-        fits = alone.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b").where(F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")).select("a", "b")
-        return fits.unionByName(found).distinct()
+        rows = _trees(shared, where, labels).repartition("tok", "block").sortWithinPartitions("tok", "block")
+        return scratch.save(rows.mapInArrow(search(percent, labels is None), "a long, b long").distinct(), "pairs", WIDE)
 
     def joined(links: DataFrame) -> DataFrame:
         edges = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
         return scratch.save(components(edges, scratch).select("id", F.col("component").alias("label")), "labels")
 
-    def linked(some: DataFrame, fine: DataFrame) -> DataFrame:
-        """Pairs are held against fine points, a byte or two a shingle, before whole sets move."""
-        near = scratch.save(_with_data(some, fine).mapInArrow(_bounded(percent), "a long, b long"), "near", WIDE)
-        sets = docs.mapInArrow(_made(n, Membership(spark, _ids(near)), False), _MADE)
-        found = scratch.save(_with_data(near, scratch.save(sets, "sets", WIDE)).mapInArrow(_verify(percent), "a long, b long"), "linked", WIDE)
+    def linked(some: DataFrame) -> DataFrame:
+        scratch.release()
+        ids = some.select("a").unionByName(some.select(F.col("b").alias("a"))).distinct()
+        sets = scratch.save(docs.mapInArrow(_sets(n, Membership(spark, ids)), "id long, n long, data binary"), "sets", WIDE)
+        found = scratch.save(_with_data(some, sets).mapInArrow(_verify(percent), "a long, b long"), "linked", WIDE)
         scratch.release()
         return found
 
-    # a class with any partner is in a pair of the first round, so its fine point serves both rounds
-    some = scratch.save(pairs(None), "pairs")
-    fine = scratch.save(docs.mapInArrow(_made(n, Membership(spark, _ids(some)), True), _MADE), "fine", WIDE)
-    scratch.release()
-    first = linked(some, fine)
-    more = scratch.save(pairs(joined(first)).join(some, ["a", "b"], "left_anti"), "pairs")
-    label = joined(first.unionByName(linked(more, fine)))
+    some = pairs(None)
+    first = linked(some)
+    more = pairs(joined(first)).join(some, ["a", "b"], "left_anti")
+    label = joined(first.unionByName(linked(scratch.save(more, "more"))))
     by_class = classes.join(label, "id", "left").select("n", "h1", "h2", F.coalesce("label", "id").alias("component_id"))
     return (
         points.select("doc_id", "n", "h1", "h2")

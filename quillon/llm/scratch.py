@@ -15,6 +15,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of wide rows that Python gets at once, about.
+BATCH_BYTES = 8 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as a URI without a slash at its end."""
@@ -43,15 +46,17 @@ class Scratch:
         return f"{self.root}/{self._n:02d}-{name}"
 
     def save(self, df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
-        """``df`` written and read again, with its own schema. ``batch_rows``: rows that Python gets at once here, where rows are wide."""
-        path, key = self.path(name), "spark.sql.execution.arrow.maxRecordsPerBatch"
-        before = self.spark.conf.get(key)
+        """``df`` written and read again, with its own schema. ``batch_rows``: rows that Python gets at once here, where rows are wide; then a batch ends at BATCH_BYTES too."""
+        path, keys = self.path(name), ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+        before = [self.spark.conf.get(key) for key in keys]
         if batch_rows:
-            self.spark.conf.set(key, min(batch_rows, int(before)) if int(before) > 0 else batch_rows)
+            self.spark.conf.set(keys[0], min(batch_rows, int(before[0])) if int(before[0]) > 0 else batch_rows)
+            self.spark.conf.set(keys[1], BATCH_BYTES)
         try:
             df.write.parquet(path)
         finally:
-            self.spark.conf.set(key, before)
+            for key, value in zip(keys, before, strict=True):
+                self.spark.conf.set(key, value)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def release(self) -> None:

@@ -27,11 +27,11 @@ import pyarrow as pa
 
 from .words import text_chunks
 
-KEPT = 400_000
+KEPT = 300_000
 #: Longer parts don't go into the table.
 ALONE = 64
 #: Bytes of text that are encoded at once; a longer text is encoded alone.
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 
 _ASCII = np.zeros(256, bool)
 _ASCII[0x21:0x7F] = True

@@ -1,4 +1,8 @@
+import random
+
 import brute
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from quillon.llm import exact_dedup, graph, line_dedup, ngram_join, substring_dedup
@@ -28,6 +32,89 @@ def test_ngram_join_in_blocks_and_stars(spark, monkeypatch):
     assert by_id(ngram_join.similarity_components(spark, docs, 3, 90)) == brute.jaccard_components(rows)
 
 
+def test_ngram_join_in_large_trees(spark, monkeypatch):
+    """Hubs, chains and borderline copies in trees of several leaves, with pivots and in blocks."""
+    from quillon.llm import tree_search
+
+    rng = random.Random(5)
+    base, rows = [f"b{k}" for k in range(120)], []
+    for i in range(160):
+        words = list(base)
+        for _ in range(rng.choice([0, 1, 2, 3, 4, 6])):
+            words[rng.randrange(120)] = f"x{i}y{rng.random()}"
+        rows.append((i * 7 % 160, " ".join(words)))
+    chain = [f"c{k}" for k in range(100)]
+    for i in range(30):
+        chain[3 * i % 100] = f"z{i}"
+        rows.append((1000 - i, " ".join(chain)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute.jaccard_components(rows, 5, 80)
+    monkeypatch.setattr(ngram_join, "BLOCK", 25)
+    assert by_id(ngram_join.similarity_components(spark, docs)) == want
+    assert len({c for _, c in want.values()}) > 3
+
+
+@pytest.mark.parametrize("leaf,dense", [(4, 12), (4, 512), (64, 512)])
+def test_searches_lose_no_pair(monkeypatch, leaf, dense):
+    from quillon.llm import tree_search as T
+
+    for name, value in (("LEAF", leaf), ("DENSE", dense), ("PIVOTS", 2), ("PAIRS", 50)):
+        monkeypatch.setattr(T, name, value)
+    rng = np.random.default_rng(leaf)
+    sets = []
+    for _ in range(3):
+        base = rng.integers(0, 1 << 62, 300).astype(np.uint64)
+        sets += [np.unique(np.where(rng.random(300) < rng.choice([0, 0.03, 0.1]), rng.integers(0, 1 << 62, 300).astype(np.uint64), base)) for _ in range(25)]
+    order = rng.permutation(len(sets))
+    sets = [sets[k] for k in order]
+    n = len(sets)
+
+    def found(first, tok, label, kind):
+        by = np.argsort(tok, kind="stable")
+        columns = [tok, np.zeros(n, np.int32), np.arange(n), np.array([len(s) for s in sets]), label, np.array(kind, np.int32)]
+        points = [[T.pack(np.bincount((s % np.uint64(T.GROUPS)).astype(int), minlength=T.GROUPS)) for s in sets], [T.parity(s) for s in sets]]
+        batch = pa.RecordBatch.from_arrays([pa.array(c[by]) for c in columns] + [pa.array([p[k] for k in by], pa.binary()) for p in points], list("abcdefgh"))
+        out = [(a, b) for r in T.search(80, first)(iter([batch.slice(k, 10) for k in range(0, n, 10)])) for a, b in zip(r.column(0).to_pylist(), r.column(1).to_pylist(), strict=True)]
+        return set(out)
+
+    linked = {(x, y) for x in range(n) for y in range(x + 1, n) if 100 * len(np.intersect1d(sets[x], sets[y])) >= 80 * len(np.union1d(sets[x], sets[y]))}
+    tok, label, ask = np.arange(n) % 2, np.arange(n), np.arange(n) % 3 > 0
+    want = {(x, y) for x, y in linked if tok[x] == tok[y] and (ask[x] or ask[y])}
+    got = found(False, tok, label, ask.astype(int))
+    assert want <= got and len(got) < 2 * len(want) + 20
+    first = found(True, np.zeros(n, int), label, np.zeros(n, int))
+    assert {i for p in linked for i in p} <= {i for p in first for i in p} or dense < n
+    assert len(first) <= 2 * n
+
+
+def test_parity_bounds_the_difference():
+    from quillon.llm import tree_search as T
+
+    rng = np.random.default_rng(3)
+    for a, b in ((100, 120), (300, 400), (30, 2500)):
+        pool = rng.integers(0, 1 << 63, a + b, np.int64).view(np.uint64)
+        sets = [np.unique(pool[:a]), np.unique(pool[a // 2 : a // 2 + b])]
+        rows = pa.RecordBatch.from_arrays([pa.array([1, 1]), pa.array([0, 0], pa.int32()), pa.array([1, 2]), pa.array([len(s) for s in sets]), pa.array([1, 2]), pa.array([0, 0], pa.int32()), pa.array([T.pack(np.bincount((s % np.uint64(T.GROUPS)).astype(int), minlength=T.GROUPS)) for s in sets]), pa.array([T.parity(s) for s in sets])], list("abcdefgh"))
+        apart = len(np.setxor1d(*sets))
+        found = T.Points(rows, 80).distance(np.array([0]), np.array([1]))[0]
+        assert found <= apart and (apart - found) % 2 == 0 and (apart > 400 or found > 0.8 * apart)
+
+
+def thue_morse(letters, n=4096):
+    return "".join(letters[bin(k).count("1") & 1] for k in range(n))
+
+
+def test_hashes_tell_thue_morse_words_apart(spark):
+    """Words that agree in any polynomial hash modulo 2**64."""
+    a, b = thue_morse("ab"), thue_morse("ba")
+    rest = [f"w{k}" for k in range(19)]
+    rows = [(1, " ".join([a, *rest])), (2, " ".join([b, *rest])), (3, a + "\n" + b)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert by_id(substring_dedup.digest(substring_dedup.substring_dedup(spark, docs))) == brute.substring_dedup(rows)
+    assert by_id(ngram_join.similarity_components(spark, docs, 3, 90)) == brute.jaccard_components(rows)
+    assert by_id(line_dedup.digest(line_dedup.line_dedup(spark, docs)))[3][1] == 0
+
+
 def test_ngram_join_cases(spark, none, repeated):
     assert ngram_join.similarity_components(spark, none).count() == 0
     assert by_id(ngram_join.similarity_components(spark, repeated, 3, 90)) == {1: (7, 1), 2: (7, 1)}
