@@ -3,20 +3,22 @@
 The page is read into a tree the way browsers do it (void elements, implied ends
 of paragraphs, list items and table parts, raw text of scripts and styles).
 Elements whose tag or role says that they are no article text fall out, and so do
-forms and elements of a class or id with such a word, but those that hold the
+forms and boxes of a class or id with such a word, but those that hold the
 page's longest article or main or, on a page without one, most of the text.
 For each node of the rest, with C characters and T tags under it, LC and LT of
 them in links, and Cb, LCb of the body, the composite density is
 
     C/T * log(C/LC * T/LT) / log(ln(C/(C-LC) * LC + LCb/Cb * C + e))
 
-(Sun, Song and Liao, 2011; quotients with a zero below count as over one). The
-sum of its children's densities makes a node's density sum. Going down from the
-body to the node of the largest sum, the first article or main on it is taken whole. If
-there is none, the body is taken, or while one child on the path holds 90 % of the
-characters, that child. The least density on the path is worked out as a threshold
-but every node of the path reaches it, so it cuts nothing: boilerplate of unlisted
-class names with over 10 % of the characters stays. Its text is taken block by block.
+(Sun, Song and Liao, 2011; quotients with a zero below count as over one, and one
+is added under the last logarithm so that it isn't zero). The sum of the densities
+of its children, its own runs of text among them, makes a node's density sum.
+
+The node of the largest sum is content, and the least density on its path to the
+body is the threshold. A node that reaches the threshold adds the node of the
+largest sum under it, and so on down. The text is that of the smallest node which
+holds SHARE of the characters found so (those in links aside), or of the article or main around it. Lists
+of links below the threshold are left out of it; its text is taken block by block.
 
 Defined cases: a null or empty page, or one without text, gives an empty string;
 markup that doesn't end, or ends twice, is read as far as it goes; repeated rows
@@ -29,13 +31,16 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)", re.S)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+#: What follows a tag's name, up to its end.
+_REST = re.compile(r"[^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*+>")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 #: White space of HTML and of Unicode, the joiners aside.
 _SPACE = re.compile(r"\s+")
@@ -53,18 +58,27 @@ DROPPED_WORDS = frozenset(
     "ad ads advert advertisement advertising adverts sponsor sponsored promo promotion banner breadcrumb breadcrumbs comment comments commentlist disqus respond cookie cookies consent gdpr notice notices alert popup modal overlay "
     "newsletter subscribe subscription signup paywall sidebar sidenav side-bar menu nav navbar navigation toolbar footer foot masthead header topbar related recommended recommendations share sharing social widget pagination pager skip".split()
 )
+#: Elements that only hold others; a listed class says nothing about a heading or paragraph.
+BOXES = frozenset("div section ul ol dl table form fieldset figure center details iframe span p".split())
+#: Of the words, those that an article's own paragraphs carry.
+MILD_WORDS = frozenset("notice notices alert header footer foot related recommended share sharing social promo promotion banner widget skip overlay menu".split())
 _KEPT_INSIDE = frozenset(("article", "main"))
+#: Share of the found characters that the text's node holds at least.
+SHARE = 0.8
+#: Open elements that an end tag looks back over, as deep as browsers nest them.
+DEPTH = 512
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "parts", "chars", "links", "tags", "link_tags", "density", "total", "doubtful")
+    __slots__ = ("tag", "parent", "parts", "chars", "links", "tags", "link_tags", "density", "total", "best", "doubtful", "inside")
 
     def __init__(self, tag: str, parent):
         self.tag, self.parent, self.parts, self.doubtful = tag, parent, [], False
+        self.inside = parent is not None and (parent.inside or parent.tag in _KEPT_INSIDE)
 
 
 def _is_dropped(tag: str, attributes: str, node: _Node) -> bool:
-    if tag in DROPPED or tag == "header" and not _inside(node):
+    if tag in DROPPED or tag == "header" and not (node.inside or node.tag in _KEPT_INSIDE):
         return True
     if tag in ("html", "body", "article", "main") or not attributes:
         return False
@@ -79,70 +93,96 @@ def _is_dropped(tag: str, attributes: str, node: _Node) -> bool:
 
 def _is_doubtful(tag: str, attributes: str) -> bool:
     """Whether the element falls out unless it wraps the article."""
-    if tag == "form":
-        return True
-    if tag in ("html", "body", "article", "main") or not attributes:
+    if tag not in BOXES or not attributes:
         return False
+    listed = DROPPED_WORDS - MILD_WORDS if tag in ("p", "span") else DROPPED_WORDS
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), next((v for v in values if v), "").lower()
-        if name in ("class", "id") and (not DROPPED_WORDS.isdisjoint(value.split()) or not DROPPED_WORDS.isdisjoint(re.split(r"[\s_\-]+", value))):
+        if name in ("class", "id") and (not listed.isdisjoint(value.split()) or not listed.isdisjoint(re.split(r"[\s_\-]+", value))):
             return True
     return False
 
 
-def _inside(node: _Node | None) -> bool:
-    while node is not None:
-        if node.tag in _KEPT_INSIDE:
-            return True
-        node = node.parent
-    return False
+def _tags(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """(begin, end, whether an end tag, name, attributes) of tags; markup without a name has an empty one.
+
+    ``send(at)`` goes on from there. A tag whose quotes don't end is taken up to its
+    first >, and from then on quotes aren't looked at, so a page is read once.
+    """
+    at, n, last, strict = 0, len(page), page.rfind(">"), True
+    while (begin := page.find("<", at)) >= 0:
+        after = page[begin + 1 : begin + 2]
+        closing = after == "/"
+        if page.startswith("<!--", begin):
+            end = page.find("-->", begin + 4)
+            found = (begin, n if end < 0 else end + 3, False, "", "")
+        elif m := _NAME.match(page, begin + 1 + closing):
+            if begin > last:
+                found = (begin, n, False, "", "")
+            else:
+                rest = _REST.match(page, m.end()) if strict else None
+                strict = rest is not None
+                end = rest.end() if strict else page.find(">", m.end()) + 1
+                found = (begin, end, closing, m[0].lower(), page[m.end() : end - 1])
+        elif after and after in "!?/":
+            end = page.find(">", begin)
+            found = (begin, n if end < 0 else end + 1, False, "", "")
+        else:
+            at = begin + 1
+            continue
+        moved = yield found
+        at = found[1] if moved is None else moved
 
 
 def parse(page: str) -> _Node:
     """The tree without what is dropped. Parts of a node are nodes and decoded strings."""
     root = _Node("html", None)
-    node, skip = root, 0  # skip: depth inside a dropped element, which stays in the stack of open ones
-    dropped: list[str] = []
-    at = 0
-    n = len(page)
-    while at < n:
-        m = _TOKEN.search(page, at)
-        begin = m.start() if m else n
+    node = root
+    dropped: list[str] = []  # open elements from a dropped one on
+    open_in_dropped: Counter = Counter()
+    at, tags, moved = 0, _tags(page), None
+    while True:
+        try:
+            begin, end, closing, tag, attributes = tags.send(moved)
+        except StopIteration:
+            begin, tag, end = len(page), None, len(page)
+        moved = None
         if begin > at and not dropped:
             node.parts.append(html.unescape(page[at:begin]))
-        if m is None:
+        at = end
+        if tag is None:
             break
-        at = m.end()
-        if m[2] is None:
+        if not tag:
             continue
-        tag = m[2].lower()
-        if m[1]:
+        if closing:
             if dropped:
-                if tag in dropped:
-                    while dropped.pop() != tag:
-                        pass
+                if open_in_dropped[tag]:
+                    while (gone := dropped.pop()) != tag:
+                        open_in_dropped[gone] -= 1
+                    open_in_dropped[tag] -= 1
                 continue
             up = node
-            while up is not root and up.tag != tag and not (tag in INLINE and up.tag in SCOPE):
+            for _ in range(DEPTH):
+                if up is root or up.tag == tag or tag in INLINE and up.tag in SCOPE:
+                    break
                 up = up.parent
             if up.tag == tag and up is not root:
                 node = up.parent
-            elif tag == "br" or tag == "p":
+            elif tag in ("br", "p"):
                 node.parts.append(_Node(tag, node))
             continue
         if dropped:
-            if tag not in VOID and not m[3].endswith("/"):
-                if tag in RAW:
-                    at = _raw_end(page, at, tag)
-                else:
-                    if tag in ENDS_P and "p" in dropped[1:]:
-                        while dropped.pop() != "p":
-                            pass
-                    for other in SAME_ENDS.get(tag, ()):
-                        if other == dropped[-1] and len(dropped) > 1:
-                            dropped.pop()
-                            break
-                    dropped.append(tag)
+            if tag in RAW:
+                at = moved = _raw_end(page, at, tag)
+            elif tag not in VOID and not attributes.endswith("/"):
+                if tag in ENDS_P and open_in_dropped["p"] and dropped[0] != "p":
+                    while (gone := dropped.pop()) != "p":
+                        open_in_dropped[gone] -= 1
+                    open_in_dropped["p"] -= 1
+                elif dropped[-1] in SAME_ENDS.get(tag, ()) and len(dropped) > 1:
+                    open_in_dropped[dropped.pop()] -= 1
+                dropped.append(tag)
+                open_in_dropped[tag] += 1
             continue
         if tag in ENDS_P:
             node = _ended(node, ("p",))
@@ -153,21 +193,18 @@ def parse(page: str) -> _Node:
                 body = _Node("body", root)
                 root.parts.append(body)
                 node = body
-            continue
-        if tag in RAW:
-            at = _raw_end(page, at, tag)
-            continue
-        if tag in VOID:
+        elif tag in RAW:
+            at = moved = _raw_end(page, at, tag)
+        elif tag in VOID:
             if tag in ("br", "hr"):
                 node.parts.append(_Node(tag, node))
-            continue
-        if _is_dropped(tag, m[3], node):
-            dropped.append(tag)
-            continue
-        child = _Node(tag, node)
-        child.doubtful = _is_doubtful(tag, m[3])
-        node.parts.append(child)
-        node = child
+        elif _is_dropped(tag, attributes, node):
+            dropped, open_in_dropped = [tag], Counter((tag,))
+        else:
+            child = _Node(tag, node)
+            child.doubtful = tag == "form" or _is_doubtful(tag, attributes)
+            node.parts.append(child)
+            node = child
     _prune(root)
     return root
 
@@ -204,22 +241,39 @@ def _raw_end(page: str, at: int, tag: str) -> int:
 def _ended(node: _Node, tags: tuple[str, ...]) -> _Node:
     """The open element after an implied end of the innermost of ``tags`` in scope."""
     up = node
-    while up is not None and (up.tag in tags or up.tag not in SCOPE):
+    for _ in range(DEPTH):
+        if up is None or up.tag not in tags and up.tag in SCOPE:
+            break
         if up.tag in tags:
             return up.parent
         up = up.parent
     return node
 
 
-def _measure(root: _Node) -> list[_Node]:
-    """Fills in counts, densities and sums, and returns all nodes in page order."""
+def density(chars: int, links: int, tags: int, link_tags: int, share: float) -> float:
+    """Composite density; ``share``: of the body's characters those in links."""
+    if not chars:
+        return 0.0
+    t, lc, lt = max(tags, 1), max(links, 1), max(link_tags, 1)
+    base = math.log(chars / max(chars - links, 1) * links + share * chars + math.e)
+    return chars / t * math.log(max(chars / lc * t / lt, 1.0)) / math.log(base + 1.0)
+
+
+def _text_size(part: str) -> int:
+    return len(_SPACE.sub(" ", part).strip())
+
+
+def _measure(root: _Node) -> tuple[list[_Node], _Node]:
+    """All nodes in page order with counts, densities, sums and the best node under each, and the body."""
     nodes, stack = [], [(root, False)]
     while stack:
         node, in_link = stack.pop()
         nodes.append(node)
-        own = sum(len(_SPACE.sub(" ", p).strip()) for p in node.parts if type(p) is str)
         in_link = in_link or node.tag == "a"
-        node.chars, node.links, node.tags, node.link_tags = own, own if in_link else 0, 0, 0
+        runs = [_text_size(p) for p in node.parts if type(p) is str]
+        node.chars, node.tags, node.link_tags = sum(runs), 0, 0
+        node.links = node.chars if in_link else 0
+        node.total = runs  # for the time being
         stack += [(p, in_link) for p in reversed(node.parts) if type(p) is not str]
     for node in reversed(nodes):
         up = node.parent
@@ -230,43 +284,66 @@ def _measure(root: _Node) -> list[_Node]:
             up.link_tags += node.link_tags + (node.tag == "a")
     body = next((x for x in nodes if x.tag == "body"), root)
     share = body.links / max(body.chars, 1)
-    for node in reversed(nodes):
-        c, t, lc, lt = node.chars, max(node.tags, 1), max(node.links, 1), max(node.link_tags, 1)
-        if c:
-            base = math.log(c / max(c - node.links, 1) * node.links + share * c + math.e)
-            node.density = c / t * math.log(max(c / lc * t / lt, 1.0) + 1e-9) / max(math.log(base + 1.0), 1e-9)
-        else:
-            node.density = 0.0
-    for node in nodes:
-        node.total = sum(p.density for p in node.parts if type(p) is not str)
-    return nodes
+    for node in reversed(nodes):  # children come before their parents
+        in_link = node.tag == "a" or node.links == node.chars > 0
+        children = [p for p in node.parts if type(p) is not str]
+        node.density = density(node.chars, node.links, node.tags, node.link_tags, share)
+        node.total = sum(p.density for p in children) + sum(density(c, c if in_link else 0, 0, 0, share) for c in node.total)
+        node.best = max([*(p.best for p in children), node], key=lambda x: x.total)  # of equals the deeper one
+    return nodes, body
+
+
+def _found(body: _Node) -> tuple[set[_Node], float]:
+    """The roots of the subtrees that are content, and the threshold."""
+    path = [body.best]
+    while path[-1] is not body:
+        path.append(path[-1].parent)
+    threshold = min(x.density for x in path)
+    found, stack = set(), [body]
+    while stack:
+        node = stack.pop()
+        if node.density >= threshold and node.chars:
+            found.add(node.best)
+            stack += [p for p in node.parts if type(p) is not str]
+    return found, threshold
 
 
-def main_node(root: _Node) -> _Node | None:
-    """The node whose subtree is the article."""
-    nodes = _measure(root)
-    body = next((x for x in nodes if x.tag == "body"), root)
+def main_node(root: _Node) -> tuple[_Node, float] | None:
+    """The node whose subtree is the article, and the threshold."""
+    nodes, body = _measure(root)
     if not body.chars:
         return None
-    best = max(nodes, key=lambda x: x.total)
-    path = [best]
-    while path[-1] is not body and path[-1].parent is not None:
-        path.append(path[-1].parent)
-    threshold = min(x.density for x in path)
-    # an article in itself is taken whole, and so is a lone child that holds all the text
-    for node in reversed(path):
-        if node.tag in _KEPT_INSIDE and node.density >= threshold:
-            return node
-    node = next(x for x in reversed(path) if x.density >= threshold)
-    while True:
-        heavy = [p for p in node.parts if type(p) is not str and p.tag not in INLINE and p in path and p.chars >= 0.9 * node.chars]
+    found, threshold = _found(body)
+    held = dict.fromkeys(nodes, 0)  # found characters under each node, those in links aside
+    for node in nodes:  # parents come first
+        if node.parent is not None and node.parent in found:
+            found.add(node)  # a part of a subtree that is content
+        if node in found:
+            held[node] = 0 if node.links == node.chars else sum(_text_size(p) for p in node.parts if type(p) is str)
+    for node in reversed(nodes):
+        if node.parent is not None:
+            held[node.parent] += held[node]
+    node = body
+    while held[body]:
+        heavy = [p for p in node.parts if type(p) is not str and p.tag not in INLINE and held[p] >= SHARE * held[body]]
         if not heavy:
-            return node
+            break
         node = heavy[0]
+    around = node
+    for _ in range(DEPTH):
+        if around is None or around.tag in _KEPT_INSIDE:
+            break
+        around = around.parent
+    return around if around is not None and around.tag in _KEPT_INSIDE else node, threshold
+
 
+def _is_link_list(node: _Node, threshold: float) -> bool:
+    """Whether a box under the text's node is but links below the threshold."""
+    return node.tag in ("ul", "ol", "div", "section", "table", "dl", "p") and node.density < threshold and node.link_tags > 1 and 3 * node.links >= 2 * node.chars
 
-def blocks(node: _Node) -> list[str]:
-    """The text of a subtree, one string for each block, without empty ones."""
+
+def blocks(node: _Node, threshold: float = 0.0) -> list[str]:
+    """The text of a subtree, one string for each block, without empty ones and lists of links below the threshold."""
     out: list[str] = []
     line: list[str] = []
 
@@ -287,8 +364,9 @@ def blocks(node: _Node) -> list[str]:
             stack += reversed(x.parts)
         else:
             end()
-            stack.append(None)
-            stack += reversed(x.parts)
+            if x is node or not _is_link_list(x, threshold):
+                stack.append(None)
+                stack += reversed(x.parts)
     end()
     return out
 
@@ -296,8 +374,8 @@ def blocks(node: _Node) -> list[str]:
 def extract(page: str | None) -> str:
     if not page:
         return ""
-    node = main_node(parse(page))
-    return "\n".join(blocks(node)) if node is not None else ""
+    found = main_node(parse(page))
+    return "\n".join(blocks(*found)) if found is not None else ""
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -323,3 +323,89 @@ WRAPPED = [
 @pytest.mark.parametrize("page", WRAPPED)
 def test_html_keeps_wrapped_articles(page):
     assert html_density.extract(page) == PROSE
+
+
+LINE = "The river rose again last night, and by morning the whole of the lower town stood under water."
+LINKS = "".join(f"<li><a href=x>Topic {k}</a></li>" for k in range(40))
+GRID = "".join(f"<div><span>Item</span> <span>{k}</span></div>" for k in range(60))
+#: Pages without an article or main, and without a class that says anything.
+BARE = {
+    f"<body><div>{LINE}</div><div>" + "".join(f"<a href=x>Link number {k}</a> " for k in range(30)) + "</div></body>": LINE,
+    f"<body><div class=x><ul>{LINKS}</ul></div><div><h1>Title</h1><p>{LINE}</p><h2>Sub</h2><p>{LINE}</p><p>Short.</p></div></body>": f"Title\n{LINE}\nSub\n{LINE}\nShort.",
+    f"<body><div><h1>Title</h1><section><p>{LINE}</p><p>{LINE}</p></section><section><h2>More</h2><p>{LINE}</p></section><p>End.</p></div><div><a href=1>One</a> <a href=2>Two</a></div></body>": f"Title\n{LINE}\n{LINE}\nMore\n{LINE}\nEnd.",
+    f"<body><div><p>{LINE}</p><p>{LINE}</p></div><div>{GRID}</div></body>": f"{LINE}\n{LINE}",
+    f"<body><p>{LINE}</p><ul>{LINKS}</ul><p>{LINE}</p></body>": f"{LINE}\n{LINE}",
+    f"<article><h1 class='header'>Head</h1><p class='notice'>Take care.</p><p class='promo'>{LINE}</p></article>": f"Head\nTake care.\n{LINE}",
+}
+
+
+@pytest.mark.parametrize("page", list(BARE))
+def test_html_by_density(page):
+    assert html_density.extract(page) == BARE[page]
+
+
+def test_html_needs_the_densities(monkeypatch):
+    monkeypatch.setattr(html_density, "density", lambda chars, *rest: 1.0 if chars else 0.0)
+    assert [p for p, text in BARE.items() if html_density.extract(p) != text]
+
+
+def test_html_densities_against_plain_ones(spark):
+    """Counts by walking each node's whole subtree, the formula and the sums written out."""
+    import math
+
+    def walk(node, in_link):
+        for p in node.parts:
+            if type(p) is str:
+                yield len(" ".join(p.split())), 0, in_link
+            else:
+                yield 0, 1, p.tag == "a"
+                yield from walk(p, in_link or p.tag == "a")
+
+    def counts(node):
+        up, in_link = node, False
+        while up is not None:
+            in_link |= up.tag == "a"
+            up = up.parent
+        parts = list(walk(node, in_link))
+        return sum(c for c, _, _ in parts), sum(c for c, _, link in parts if link), sum(t for _, t, _ in parts), sum(t for _, t, link in parts if link and t)
+
+    def plain(c, lc, t, lt, cb, lcb):
+        if c == 0:
+            return 0.0
+        inner = math.log(c / max(1, c - lc) * lc + lcb / max(1, cb) * c + math.e)
+        return c / max(1, t) * max(0.0, math.log(c / max(1, lc) * max(1, t) / max(1, lt))) / math.log(1 + inner)
+
+    some = [r.html for r in spark.read.parquet(f"{SMALL}/pages.parquet").limit(5).collect()]
+    for page in [*BARE, *WRAPPED, *some]:
+        root = html_density.parse(page)
+        nodes, body = html_density._measure(root)
+        cb, lcb, _, _ = counts(body)
+        density = {x: plain(*counts(x), cb, lcb) for x in nodes}
+        for x in nodes:
+            assert math.isclose(x.density, density[x], abs_tol=1e-9)
+            assert x.total >= sum(density[p] for p in x.parts if type(p) is not str) - 1e-9
+        inside = [x for x in nodes if x is body or any(x is y for y in _below(body))]
+        assert math.isclose(body.best.total, max(x.total for x in inside))
+
+
+def _below(node):
+    for p in node.parts:
+        if type(p) is not str:
+            yield p
+            yield from _below(p)
+
+
+@pytest.mark.parametrize("part", ["<a ", "<a \"'>", "<!--", "<script>", "<div>", "<div class='ad'>", "<p><b>"])
+def test_html_reads_a_hostile_page_once(part):
+    import time
+
+    page = part * (1_000_000 // len(part)) + "text"
+    began = time.process_time()
+    html_density.extract(page)
+    assert time.process_time() - began < 5
+
+
+def test_html_clashing_columns(spark):
+    rows = [(1, "u", "<p>x</p>", "a", 3, "t")]
+    got = html_density.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int, `a.b` string"))
+    assert [tuple(r) for r in got.collect()] == [(1, "u", "x", 1)]
