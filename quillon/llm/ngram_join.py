@@ -19,8 +19,9 @@ How it is dealt out:
   unless a row of a fitting size is there to meet it. The order puts
   tokens last whose cell of a fixed-size count sketch of all tokens is crowded,
   then goes by hash, so that trees stay small and no token is left out.
-* Trees that hold the same classes are built once. One of more than BLOCK points
-  is cut into blocks of points, each searched by a task.
+* Tokens with the same smallest class make one tree, so a group of copies that
+  share many tokens is a tree or two and not one for each token. A tree of more
+  than BLOCK points is cut into blocks of points, each searched by a task.
 * Two searches keep the pairs linear in groups of copies. In the first, every
   class gives its smallest and its nearest surviving partner in each tree, of a
   large tree among a few pivots; verified links make components. The second gives
@@ -197,26 +198,31 @@ def _with_data(pairs: DataFrame, made: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "data_a", "data_b")
 
 
-def _trees(front: DataFrame, points: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """The rows of all trees: tok, block, id, n, label, kind, point, bits.
+def _members(shared: DataFrame) -> DataFrame:
+    """(tree, id, n): the tokens' groups, those with the same smallest class as one."""
+    heads = shared.groupBy("tok").agg(F.min("id").alias("tree"), F.max("id").alias("last")).where("tree < last").select("tok", "tree")
+    return shared.join(heads, "tok").groupBy("tree", "id").agg(F.first("n").alias("n"))
 
-    Of groups with the same classes one is kept, and none whose classes are all of
-    one label. A group over BLOCK is cut; its first two classes (first search) or
-    those outside its main label (second) go to all its blocks.
+
+def _trees(members: DataFrame, points: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The rows of all trees: tree, block, id, n, label, kind, point, bits.
+
+    A tree whose classes are all of one label is left out. One over BLOCK is cut;
+    its first and last class (first search) or those outside its main label
+    (second) go to all its blocks.
     """
-    rows = front.withColumn("label", F.col("id")) if labels is None else front.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    marks = [F.expr("bit_xor(xxhash64(id))").alias("x1"), F.sum(F.xxhash64("id", F.lit(7)).cast("decimal(38,0)")).alias("x2")]
     if labels is None:
-        kinds = rows.groupBy("tok").agg(F.count("*").alias("k"), *marks, F.min("id").alias("one"), F.max("id").alias("two"), F.count("*").alias("labels"))
+        rows = members.withColumn("label", F.col("id"))
+        kinds = rows.groupBy("tree").agg(F.count("*").alias("k"), F.min("id").alias("one"), F.max("id").alias("two"))
     else:
-        own = rows.groupBy("tok", "label").agg(F.count("*").alias("k"), *marks)
-        kinds = own.groupBy("tok").agg(F.sum("k").alias("k"), F.expr("bit_xor(x1)").alias("x1"), F.sum("x2").alias("x2"), F.expr("max_by(label, struct(k, label))").alias("one"), F.lit(None).cast("long").alias("two"), F.count("*").alias("labels"))
-    kept = kinds.where("k > 1 and labels > 1").groupBy("k", "x1", "x2").agg(F.min(F.struct("tok", "one", "two")).alias("t")).select("t.*", "k")
+        rows = members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+        own = rows.groupBy("tree", "label").agg(F.count("*").alias("k"))
+        kinds = own.groupBy("tree").agg(F.sum("k").alias("k"), F.expr("max_by(label, struct(k, label))").alias("one"), F.count("*").alias("labels")).where("labels > 1")
     asks = "id in (one, two)" if labels is None else "label <> one"
-    members = rows.join(kept, "tok").withColumn("nb", F.ceil(F.col("k") / BLOCK).cast("int")).withColumn("own", F.expr("cast(pmod(xxhash64(id, 3), nb) as int)")).withColumn("asks", F.expr(asks))
-    members = members.withColumn("block", F.explode(F.expr("if(asks and nb > 1, sequence(0, nb - 1), array(own))")))
+    placed = rows.join(kinds, "tree").withColumn("nb", F.ceil(F.col("k") / BLOCK).cast("int")).withColumn("own", F.expr("cast(pmod(xxhash64(id, 3), nb) as int)")).withColumn("asks", F.expr(asks))
+    placed = placed.withColumn("block", F.explode(F.expr("if(asks and nb > 1, sequence(0, nb - 1), array(own))")))
     kind = F.when(F.col("block") != F.col("own"), 2).otherwise(F.col("asks").cast("int"))
-    return members.select("tok", "block", "id", "n", "label", kind.alias("kind")).join(points, "id").select("tok", "block", "id", "n", "label", "kind", "point", "bits")
+    return placed.select("tree", "block", "id", "n", "label", kind.alias("kind")).join(points, "id").select("tree", "block", "id", "n", "label", "kind", "point", "bits")
 
 
 def similarity_components(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -241,12 +247,12 @@ def similarity_components(spark: SparkSession, docs: DataFrame, n: int = 5, perc
     early = F.col("at") < F.expr(f"n - (2 * {percent} * n + {99 + percent}) div {100 + percent} + 1")
     front = front.select("tok", "id", (F.col("n") * 2 + early.cast("long")).alias("size"))
     shared = front.repartition("tok").sortWithinPartitions("tok", "size", "id").mapInArrow(_shared(percent), "tok long, id long, n long")
-    shared = scratch.save(shared, "shared")
+    members = scratch.save(_members(scratch.save(shared, "shared")), "members")
     scratch.release()
     where = heads.select("id", "point", "bits")
 
     def pairs(labels: DataFrame | None) -> DataFrame:
-        rows = _trees(shared, where, labels).repartition("tok", "block").sortWithinPartitions("tok", "block")
+        rows = _trees(members, where, labels).repartition("tree", "block").sortWithinPartitions("tree", "block")
         return scratch.save(rows.mapInArrow(search(percent, labels is None), "a long, b long").distinct(), "pairs", WIDE)
 
     def joined(links: DataFrame) -> DataFrame:

@@ -71,7 +71,7 @@ class Points:
 
     def __init__(self, batch: pa.RecordBatch, percent: int):
         self.percent = percent
-        self.tok, self.block, self.id, self.n, self.label, self.kind = (batch.column(k).to_numpy() for k in range(6))
+        self.tree, self.block, self.id, self.n, self.label, self.kind = (batch.column(k).to_numpy() for k in range(6))
         self.counts = np.zeros((batch.num_rows, GROUPS), np.int32)
         for n, rows, raw in _by_length(batch.column(6)):
             self.counts[rows] = raw.view({1: np.uint8, 2: np.uint16, 4: np.uint32}[n // GROUPS])
@@ -166,7 +166,7 @@ def _large(points: Points, rows: np.ndarray, first_search: bool) -> Iterator[tup
 def pairs_of(points: Points, first_search: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Ids of pairs, the smaller first, with repeats."""
     new = np.ones(len(points.id), bool)
-    new[1:] = (points.tok[1:] != points.tok[:-1]) | (points.block[1:] != points.block[:-1])
+    new[1:] = (points.tree[1:] != points.tree[:-1]) | (points.block[1:] != points.block[:-1])
     start = np.flatnonzero(new)
     size = np.diff(np.append(start, len(new)))
     leaf, found = size <= LEAF, []
@@ -213,10 +213,10 @@ def whole_trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        tok, block = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        other = np.flatnonzero((tok != tok[-1]) | (block != block[-1]))
+        tree, block = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        other = np.flatnonzero((tree != tree[-1]) | (block != block[-1]))
         last = int(other[-1]) + 1 if len(other) else 0
-        if last or (kept and (kept[-1].column(0)[0].as_py(), kept[-1].column(1)[0].as_py()) != (tok[-1], block[-1])):
+        if last or (kept and (kept[-1].column(0)[0].as_py(), kept[-1].column(1)[0].as_py()) != (tree[-1], block[-1])):
             if kept or last:
                 yield joined([*kept, batch.slice(0, last)] if last else kept)
             kept = []
@@ -226,7 +226,7 @@ def whole_trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def search(percent: int, first_search: bool):
-    """Of rows (tok, block, id, n, label, kind, point, bits) sorted by tok and block: pairs (a, b).
+    """Of rows (tree, block, id, n, label, kind, point, bits) sorted by tree and block: pairs (a, b).
 
     kind: 0 a point, 1 a point that asks (in the second search), 2 one of another
     block that asks here.
