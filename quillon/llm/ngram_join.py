@@ -19,9 +19,10 @@ How it is dealt out:
   unless a row of a fitting size is there to meet it. The order puts
   tokens last whose cell of a fixed-size count sketch of all tokens is crowded,
   then goes by hash, so that trees stay small and no token is left out.
-* Tokens with the same smallest class make one tree, so a group of copies that
-  share many tokens is a tree or two and not one for each token. A tree of more
-  than BLOCK points is cut into blocks of points, each searched by a task.
+* Tokens with the same smallest and largest class make one tree, so a group of
+  copies that share many tokens is a few trees and not one for each token. A tree of
+  more than BLOCK points is cut into blocks of points, and those that ask into
+  blocks too; each pair of blocks is a task.
 * Two searches keep the pairs linear in groups of copies. In the first, every
   class gives its smallest and its nearest surviving partner in each tree, of a
   large tree among a few pivots; verified links make components. The second gives
@@ -199,30 +200,36 @@ def _with_data(pairs: DataFrame, made: DataFrame) -> DataFrame:
 
 
 def _members(shared: DataFrame) -> DataFrame:
-    """(tree, id, n): the tokens' groups, those with the same smallest class as one."""
-    heads = shared.groupBy("tok").agg(F.min("id").alias("tree"), F.max("id").alias("last")).where("tree < last").select("tok", "tree")
-    return shared.join(heads, "tok").groupBy("tree", "id").agg(F.first("n").alias("n"))
+    """(tree, id, n): the tokens' groups, those with the same smallest and largest class as one. Two trees of one number would only ask more."""
+    ends = shared.groupBy("tok").agg(F.min("id").alias("one"), F.max("id").alias("two")).where("one < two").select("tok", F.xxhash64("one", "two").alias("tree"))
+    return shared.join(ends, "tok").groupBy("tree", "id").agg(F.first("n").alias("n"))
 
 
 def _trees(members: DataFrame, points: DataFrame, labels: DataFrame | None) -> DataFrame:
     """The rows of all trees: tree, block, id, n, label, kind, point, bits.
 
-    A tree whose classes are all of one label is left out. One over BLOCK is cut;
-    its first and last class (first search) or those outside its main label
-    (second) go to all its blocks.
+    A tree whose classes are all of one label is left out. Those that ask are the
+    first and last class of a cut tree (first search), or all outside its main
+    label (second).
     """
     if labels is None:
         rows = members.withColumn("label", F.col("id"))
-        kinds = rows.groupBy("tree").agg(F.count("*").alias("k"), F.min("id").alias("one"), F.max("id").alias("two"))
+        kinds = rows.groupBy("tree").agg(F.count("*").alias("k"), F.lit(2).alias("asking"), F.min("id").alias("one"), F.max("id").alias("two"))
     else:
         rows = members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
         own = rows.groupBy("tree", "label").agg(F.count("*").alias("k"))
-        kinds = own.groupBy("tree").agg(F.sum("k").alias("k"), F.expr("max_by(label, struct(k, label))").alias("one"), F.count("*").alias("labels")).where("labels > 1")
-    asks = "id in (one, two)" if labels is None else "label <> one"
-    placed = rows.join(kinds, "tree").withColumn("nb", F.ceil(F.col("k") / BLOCK).cast("int")).withColumn("own", F.expr("cast(pmod(xxhash64(id, 3), nb) as int)")).withColumn("asks", F.expr(asks))
-    placed = placed.withColumn("block", F.explode(F.expr("if(asks and nb > 1, sequence(0, nb - 1), array(own))")))
-    kind = F.when(F.col("block") != F.col("own"), 2).otherwise(F.col("asks").cast("int"))
-    return placed.select("tree", "block", "id", "n", "label", kind.alias("kind")).join(points, "id").select("tree", "block", "id", "n", "label", "kind", "point", "bits")
+        kinds = own.groupBy("tree").agg(F.sum("k").alias("k"), (F.sum("k") - F.max("k")).alias("asking"), F.expr("max_by(label, struct(k, label))").alias("one"), F.count("*").alias("labels")).where("labels > 1")
+    asks = F.expr("id in (one, two)" if labels is None else "label <> one")
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    rows = rows.join(kinds, "tree").select("tree", "id", "n", "label", asks.alias("asks"), blocks("k").alias("nb"), blocks("asking").alias("na"))
+    # a row of a cut tree lies in one block, for each block of those that ask; one that asks goes to all blocks
+    part = lambda n: F.expr(f"cast(pmod(xxhash64(id, 3), {n}) as int)")
+    whole = F.array(F.struct(F.lit(0).alias("block"), F.col("asks").cast("int").alias("kind")))
+    lying = F.transform(F.sequence(F.lit(0), F.col("na") - 1), lambda j: F.struct((part("nb") * F.col("na") + j).alias("block"), F.lit(0).alias("kind")))
+    asking = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda i: F.struct((i * F.col("na") + part("na")).alias("block"), F.lit(2).alias("kind")))
+    cut = F.when(F.col("asks"), F.concat(lying, asking)).otherwise(lying)
+    placed = rows.withColumn("at", F.explode(F.when(F.col("nb") == 1, whole).otherwise(cut)))
+    return placed.select("tree", "at.block", "id", "n", "label", "at.kind").join(points, "id").select("tree", "block", "id", "n", "label", "kind", "point", "bits")
 
 
 def similarity_components(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:

@@ -228,8 +228,8 @@ def whole_trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def search(percent: int, first_search: bool):
     """Of rows (tree, block, id, n, label, kind, point, bits) sorted by tree and block: pairs (a, b).
 
-    kind: 0 a point, 1 a point that asks (in the second search), 2 one of another
-    block that asks here.
+    kind: 0 a point, 1 a point that asks, 2 one that asks only and lies elsewhere
+    or in another row.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
