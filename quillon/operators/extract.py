@@ -9,14 +9,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import TooLarge
 from ..functions import fhirpath as P
 from ..functions.bands import date_columns, period_columns, value_band
 from ..registry import UNIVERSAL, Registry, SearchParam
-from ..schema import INDEX_COLUMNS, value_columns
+from ..schema import INDEX_COLUMNS, index_schema, value_columns
 
 
 def _get(item: Column, path: str, kind: str = "string") -> Column:
@@ -132,7 +132,7 @@ def _composites(param: SearchParam, resource: Column) -> Column:
 
 
 def index_rows(log: DataFrame, registry: Registry, resource_type: str, kind: str) -> DataFrame:
-    """All rows of one kind's index table for one type; ``log``: current rows with ``resource`` a JSON string."""
+    """All rows of one kind's index table for one type; ``log``: rows with ``resource`` a JSON string. A row carries the version that it was made from."""
     rows = log.where(F.col("resource_type") == resource_type)
     body = F.col("body")
     arrays = []
@@ -151,12 +151,12 @@ def index_rows(log: DataFrame, registry: Registry, resource_type: str, kind: str
         arrays.append(named(param.name, _EXTRACT[kind](items)))
         if kind == "token" and param.name == "identifier":
             arrays.append(named(f"{param.name}:of-type", _typed_identifiers(items)))
-    parsed = rows.select("tenant_id", F.col("fhir_id").alias("resource_id"), "resource_type", "last_updated", F.parse_json("resource").alias("body"))
+    parsed = rows.select("tenant_id", F.col("fhir_id").alias("resource_id"), "version_id", "resource_type", "last_updated", F.parse_json("resource").alias("body"))
     if not arrays:
-        return parsed.where("false").select("tenant_id", "resource_id", "resource_type", F.lit("").alias("param_name"), "last_updated", *(F.lit(None).cast(c.split(" ", 1)[1]).alias(c.split()[0]) for c in INDEX_COLUMNS[kind].split(", ")))
+        return parsed.where("false").select("tenant_id", "resource_id", "version_id", "resource_type", F.lit("").alias("param_name"), "last_updated", *(F.lit(None).cast(c.split(" ", 1)[1]).alias(c.split()[0]) for c in INDEX_COLUMNS[kind].split(", ")))
     # the outer form keeps the optimiser from adding a filter that extracts once more
-    each = parsed.select("tenant_id", "resource_id", "resource_type", "last_updated", F.explode_outer(reduce(lambda a, b: F.concat(a, b), arrays)).alias("v")).where("v is not null")
-    return each.select("tenant_id", "resource_id", "resource_type", "v.param_name", "last_updated", *(F.col(f"v.{c}") for c in value_columns(kind)))
+    each = parsed.select("tenant_id", "resource_id", "version_id", "resource_type", "last_updated", F.explode_outer(reduce(lambda a, b: F.concat(a, b), arrays)).alias("v")).where("v is not null")
+    return each.select("tenant_id", "resource_id", "version_id", "resource_type", "v.param_name", "last_updated", *(F.col(f"v.{c}") for c in value_columns(kind)))
 
 
 def guard(rows: DataFrame, most: int) -> DataFrame:
@@ -167,10 +167,56 @@ def guard(rows: DataFrame, most: int) -> DataFrame:
     return rows
 
 
-def write_index(log: DataFrame, registry: Registry, path: str) -> None:
-    """All index tables as Parquet, a folder a kind, partitioned by type and parameter and sorted by value for tight row-group statistics."""
+def row_counts(log: DataFrame, registry: Registry, resource_type: str) -> DataFrame:
+    """(kind, param_name, n): index rows of a type by table and parameter, to see what a write limit is spent on."""
+    parts = [index_rows(log, registry, resource_type, kind).select(F.lit(kind).alias("kind"), "param_name") for kind in INDEX_COLUMNS]
+    return reduce(DataFrame.union, parts).groupBy("kind", "param_name").agg(F.count("*").alias("n"))
+
+
+_VERSION = ("tenant_id", "resource_type", "resource_id", "version_id")
+
+
+def current_rows(rows: DataFrame, current: DataFrame) -> DataFrame:
+    """Stored index rows without those of superseded or deleted versions. ``current``: the log's current state; no body is read of it."""
+    return rows.join(current.select("tenant_id", "resource_type", F.col("fhir_id").alias("resource_id"), "version_id"), list(_VERSION), "left_semi")
+
+
+def _write(rows: DataFrame, kind: str, path: str) -> None:
+    rows.sortWithinPartitions("resource_type", "param_name", value_columns(kind)[0]).write.mode("overwrite").partitionBy("resource_type", "param_name").parquet(path)
+
+
+def write_index(log: DataFrame, registry: Registry, path: str, batch: int = -1) -> None:
+    """All index tables as Parquet, a folder a kind and batch, partitioned by type and parameter and sorted by value for tight row-group statistics.
+
+    Any versions may be in ``log``; readers keep the rows of current ones. A batch
+    that is written again replaces its own rows.
+    """
+    for kind in INDEX_COLUMNS:
+        rows = reduce(DataFrame.unionByName, [index_rows(log.where("not is_deleted"), registry, t, kind) for t in registry.types()])
+        _write(rows.repartition("resource_type", "param_name", F.pmod(F.xxhash64("resource_id"), F.lit(64))), kind, f"{path}/{kind}/batch={batch}")
+
+
+def stored_rows(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """What write_index() has put in a folder, batch by batch."""
+    return spark.read.schema(f"{index_schema(kind)}, batch long").parquet(f"{path}/{kind}").drop("batch")
+
+
+def reindex(spark: SparkSession, path: str, to: str, log: DataFrame, registry: Registry, changed: tuple[tuple[str, str], ...] = ()) -> None:
+    """The stored index without superseded rows, as one batch elsewhere.
+
+    ``changed``: (type, parameter) pairs whose definition is new or gone. Their rows
+    are made again from the log, and all others are kept as they are.
+    """
+    from .log import latest
+
+    current = latest(log)
     for kind in INDEX_COLUMNS:
-        parts = [index_rows(log, registry, t, kind) for t in registry.types()]
-        rows = reduce(DataFrame.unionByName, parts)
-        first = value_columns(kind)[0]
-        rows.repartition("resource_type", "param_name", F.pmod(F.xxhash64("resource_id"), F.lit(64))).sortWithinPartitions("resource_type", "param_name", first).write.mode("overwrite").partitionBy("resource_type", "param_name").parquet(f"{path}/{kind}")
+        rows = current_rows(stored_rows(spark, path, kind), current)
+        for resource_type, name in changed:
+            rows = rows.where(~((F.col("resource_type") == resource_type) & F.col("param_name").isin(name, f"{name}:of-type")))
+            param = registry.get(resource_type, name)
+            if param is not None and param.kind == kind:
+                one = Registry()
+                one.register(param)
+                rows = rows.unionByName(index_rows(current, one, resource_type, kind).where(F.col("param_name").isin(name, f"{name}:of-type")).select(*rows.columns))
+        _write(rows.repartition("resource_type", "param_name", F.pmod(F.xxhash64("resource_id"), F.lit(64))), kind, f"{to}/{kind}/batch=-1")

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..errors import UnsupportedParam
+from ..errors import TooLarge, UnsupportedParam
 from ..plans.compiler import Compiler
 from ..plans.dataset import Dataset
 from ..plans.request import Request
@@ -20,15 +21,24 @@ def _split_types(types: list[str] | tuple[str, ...]) -> list[str]:
     return [t for value in types for t in value.split(",") if t]
 
 
-def everything(data: Dataset, resource_type: str, ids: list | None = None, since: str | None = None, types: tuple[str, ...] = ()) -> DataFrame:
+def _within(rows: DataFrame, most: int | None, what: str) -> DataFrame:
+    """The rows, if there are no more than ``most``; a limit is reported, not applied in silence."""
+    if most is not None and rows.limit(most + 1).count() > most:
+        raise TooLarge(f"{what}: more than {most}")
+    return rows
+
+
+def everything(data: Dataset, resource_type: str, ids: list | None = None, since: str | None = None, types: tuple[str, ...] = (), most: int | None = None) -> DataFrame:
     """(resource_type, fhir_id) of the anchors, what they point at and what points at them.
 
     ``ids=None``: all resources of the type are anchors, in one set-based pass.
     ``since``: only resources updated strictly after it. ``types``: only these.
+    ``most``: TooLarge if there are more anchors.
     """
     anchors = data.resources(resource_type).select("fhir_id")
     if ids is not None:
         anchors = anchors.where(F.col("fhir_id").isin(ids))
+    _within(anchors, most, f"{resource_type}: anchors")
     own = anchors.select(F.lit(resource_type).alias("resource_type"), F.col("fhir_id").cast("string").alias("fhir_id"))
     found = own.union(forward(data, anchors, resource_type)).union(backward(data, anchors, resource_type)).distinct()
     wanted = _split_types(types)
@@ -44,16 +54,18 @@ def everything(data: Dataset, resource_type: str, ids: list | None = None, since
     return found
 
 
-def document(data: Dataset, resource_type: str, ids: list, depth: int = 10) -> DataFrame:
+def document(data: Dataset, resource_type: str, ids: list, depth: int | None = None, most: int | None = None) -> DataFrame:
     """(resource_type, fhir_id, depth): the anchors and all that their references lead to, by breadth.
 
     One join a level over the edges that the level's types can have; what has
     been reached is left out by an anti join, so cycles end. Each level is cut.
+    ``depth``: levels that are followed, all by default. ``most``: TooLarge if more
+    resources are reached.
     """
     anchors = data.resources(resource_type).where(F.col("fhir_id").isin(ids))
     front = cut(anchors.select(F.lit(resource_type).alias("resource_type"), F.col("fhir_id").cast("string").alias("fhir_id")))
     reached, types = front.withColumn("depth", F.lit(0)), {resource_type}
-    for level in range(1, depth + 1):
+    for level in count(1) if depth is None else range(1, depth + 1):
         edges = edge_list(data, types)
         if edges is None:
             break
@@ -62,7 +74,7 @@ def document(data: Dataset, resource_type: str, ids: list, depth: int = 10) -> D
         front = cut(after.join(reached, ["resource_type", "fhir_id"], "left_anti"))
         if not front.take(1):
             break
-        reached = reached.unionByName(front.withColumn("depth", F.lit(level)))
+        reached = _within(reached.unionByName(front.withColumn("depth", F.lit(level))), most, f"{resource_type}: a document's resources")
         types = {t for s in types for p in data.registry.references(s) for t in p.targets}
     return reached
 
@@ -77,8 +89,8 @@ def edge_list(data: Dataset, types: set[str] | None = None) -> DataFrame | None:
     return reduce(DataFrame.union, found) if found else None
 
 
-def compartment(data: Dataset, owner_type: str, owner_id, target_type: str, request: Request | None = None) -> DataFrame:
-    """Resources of a type in the owner's compartment: any of its listed references points at the owner."""
+def compartment(data: Dataset, owner_type: str, owner_id, target_type: str, request: Request | None = None, most: int | None = None) -> DataFrame:
+    """Resources of a type in the owner's compartment: any of its listed references points at the owner. ``most``: TooLarge if one of them gives more."""
     names = data.registry.compartments.get((owner_type, target_type))
     if not names:
         raise UnsupportedParam(f"{target_type} is not in the {owner_type} compartment")
@@ -87,7 +99,8 @@ def compartment(data: Dataset, owner_type: str, owner_id, target_type: str, requ
         param = data.registry.get(target_type, name)
         rows = data.index(target_type, param) if param else None
         if rows is not None:
-            sets.append(rows.where((F.col("target_type") == owner_type) & (F.col("target_id") == owner_id)).select("resource_id"))
+            own = rows.where((F.col("target_type") == owner_type) & (F.col("target_id") == owner_id)).select("resource_id")
+            sets.append(_within(own, most, f"{owner_type}/{owner_id}: {target_type} by {name}"))
     if not sets:
         raise UnsupportedParam(f"no reference of {target_type} to {owner_type} is indexed")
     ids = reduce(DataFrame.union, sets).distinct()

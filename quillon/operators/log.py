@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from ..errors import Conflict, Gone, NotFound
 from ..functions.bands import _literal, date_band
+from .project import put_meta
 
 KEY = ("tenant_id", "resource_type", "fhir_id")
 
@@ -63,6 +63,11 @@ def history(log: DataFrame, resource_type: str | None = None, since: str | None
     return rows.orderBy(F.col("last_updated").desc(), "resource_type", "fhir_id", F.col("version_id").desc()).offset((page - 1) * count).limit(count)
 
 
+def history_total(log: DataFrame, resource_type: str | None = None, since: str | None = None) -> DataFrame:
+    """The number of versions that history() pages through."""
+    return history(log, resource_type, since).agg(F.count("*").alias("total"))
+
+
 def number_versions(writes: DataFrame, order: str = "last_updated") -> DataFrame:
     """Version ids 1, 2, ... of a bulk load of writes, by their order within a key."""
     return writes.withColumn("version_id", F.row_number().over(Window.partitionBy(*KEY).orderBy(order)))
@@ -70,26 +75,8 @@ def number_versions(writes: DataFrame, order: str = "last_updated") -> DataFrame
 
 def with_meta(rows: DataFrame) -> DataFrame:
     """Bodies with meta.versionId and meta.lastUpdated set, as reads show them."""
-    return rows.withColumn("resource", _put_meta(F.col("resource"), F.col("version_id"), F.col("last_updated")))
-
-
-@F.pandas_udf(StringType())
-def _put_meta(body, version_id, last_updated):
-    import json
-
-    import pandas as pd
-
-    out = []
-    for b, v, t in zip(body, version_id, last_updated, strict=True):
-        if b is None:
-            out.append(None)
-            continue
-        doc = json.loads(b)
-        own = dict(doc.get("meta") or {})
-        own["versionId"], own["lastUpdated"] = str(v), pd.Timestamp(t).strftime("%Y-%m-%dT%H:%M:%SZ")
-        doc["meta"] = own
-        out.append(json.dumps(doc, ensure_ascii=False))
-    return pd.Series(out)
+    own = F.create_map(F.lit("versionId"), F.col("version_id").cast("string").cast("variant"), F.lit("lastUpdated"), F.date_format("last_updated", "yyyy-MM-dd'T'HH:mm:ss'Z'").cast("variant"))
+    return rows.withColumn("resource", put_meta(F.col("resource"), lambda meta: F.map_concat(F.map_filter(meta, lambda k, _: ~k.isin("versionId", "lastUpdated")), own)))
 
 
 def apply_writes(log: DataFrame, writes: DataFrame, recorded_at) -> DataFrame:
@@ -102,8 +89,11 @@ def apply_writes(log: DataFrame, writes: DataFrame, recorded_at) -> DataFrame:
     creates what is missing unless if_match is set, and revives what is deleted.
     Deleting what is deleted is no new version (outcome "unchanged").
     """
-    now = latest(log, True).select(*KEY, F.col("version_id").alias("now_version"), F.col("is_deleted").alias("now_deleted"), F.col("resource").alias("now_resource"))
-    # only keys that are written matter, and the batch is the small side of any log worth the name
+    # only versions of keys that are written are looked at, and only those to be deleted keep their body
+    kept = writes.where("operation = 'DELETE'").select(*KEY).distinct().withColumn("body_kept", F.lit(True))
+    touched = log.join(writes.select(*KEY).distinct(), list(KEY), "left_semi").join(kept, list(KEY), "left")
+    touched = touched.select(*KEY, "version_id", "is_deleted", F.when(F.col("body_kept"), F.col("resource")).alias("resource"))
+    now = latest(touched, True).select(*KEY, F.col("version_id").alias("now_version"), F.col("is_deleted").alias("now_deleted"), F.col("resource").alias("now_resource"))
     joined = writes.join(now, list(KEY), "left")
     missing, dead = F.col("now_version").isNull(), F.coalesce("now_deleted", F.lit(False))
     op, expected = F.col("operation"), F.col("if_match")
@@ -146,12 +136,10 @@ class LogStore:
         from ..schema import LOG
 
         names = [c.split()[0] for c in LOG.split(", ")]
-        try:
-            return self.spark.read.schema(LOG).parquet(self.path).select(*names)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder):
             return self.spark.createDataFrame([], LOG)
+        return self.spark.read.schema(LOG).parquet(self.path).select(*names)
 
     def commit(self, writes: DataFrame, recorded_at, all_or_nothing: bool = False) -> DataFrame:
         """Appends what the writes give; returns key, version_id and outcome of each. With ``all_or_nothing`` a refusal leaves the log as it was."""

@@ -26,6 +26,11 @@ def total(data: Dataset, request: Request) -> DataFrame:
     return search(data, request).agg(F.count("*").alias("total"))
 
 
+def capped_total(data: Dataset, request: Request, cap: int) -> DataFrame:
+    """The number of matches, counted up to ``cap`` and no further."""
+    return search(data, request).select("fhir_id").limit(cap).agg(F.count("*").alias("total"))
+
+
 def with_sort_keys(data: Dataset, rows: DataFrame, resource_type: str, sorts: list[Sort]) -> tuple[DataFrame, list[Column], list[str]]:
     """Rows with a key column for each sort, the order, and the key columns.
 

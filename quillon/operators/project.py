@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,45 +48,59 @@ def elements(body: Column, names: list[str]) -> Column:
     return subset(body, names=names)
 
 
-def summary(body: Column, mode: str, resource_type: str) -> Column:
-    """``mode``: text, data, true, or false (the body as it is)."""
+def summary(body: Column, mode: str, resource_type: str, known: dict[str, list[str]] | None = None) -> Column:
+    """``mode``: text, data, true, or false (the body as it is). ``known``: summary elements by type from loaded definitions, before the fixed ones."""
     if mode == "text":
         return subset(body, names=["text"])
     if mode == "data":
         return subset(body, drop=["text"])
     if mode == "true":
+        if known and resource_type in known:
+            return subset(body, names=list(known[resource_type]))
         if resource_type in SUMMARY:
             return subset(body, names=SUMMARY[resource_type].split())
         return subset(body, drop=["text", "contained"])
     return body
 
 
+def _map(value: Column) -> Column:
+    return F.coalesce(F.from_json(F.to_json(value), "map<string,variant>"), F.expr("map()").cast("map<string,variant>"))
+
+
+def put_meta(body: Column, change: Callable[[Column], Column]) -> Column:
+    """A JSON body with its meta, a map of variants, changed; a null body stays null."""
+    members = _members(body)
+    meta = change(_map(_member(members, "meta")))
+    return F.to_json(F.map_concat(F.map_filter(members, lambda k, _: k != "meta"), F.create_map(F.lit("meta"), F.parse_json(F.to_json(meta)))))
+
+
+def _same(key: str, value) -> Callable[[Column], Column]:
+    """Whether an item is the tag or label of the value's system and code, or the profile."""
+    if key == "profile":
+        return lambda i: F.try_variant_get(i, "$", "string").eqNullSafe(F.lit(value))
+    return lambda i: F.try_variant_get(i, "$.system", "string").eqNullSafe(F.lit(value.get("system"))) & F.try_variant_get(i, "$.code", "string").eqNullSafe(F.lit(value.get("code")))
+
+
+def _other(key: str, value) -> Callable[[Column], Column]:
+    return lambda i: ~_same(key, value)(i)
+
+
+def _member(of: Column, name: str) -> Column:
+    return F.get(F.map_values(F.map_filter(of, lambda k, _: k == name)), 0)
+
+
 def change_meta(body: Column, add: dict | None = None, delete: dict | None = None) -> Column:
     """$meta-add and $meta-delete: tags and labels by system and code, profiles by value."""
 
-    @F.pandas_udf("string")
-    def run(bodies):
-        import json
-
-        def one(text):
-            if text is None:
-                return None
-            doc = json.loads(text)
-            meta = dict(doc.get("meta") or {})
-            for key in ("tag", "security", "profile"):
-                name = (lambda x: x) if key == "profile" else (lambda x: (x.get("system"), x.get("code")))
-                now = list(meta.get(key, []))
-                have = {name(x) for x in now}
-                now += [x for x in (add or {}).get(key, []) if name(x) not in have]
-                gone = {name(x) for x in (delete or {}).get(key, [])}
-                now = [x for x in now if name(x) not in gone]
-                if now:
-                    meta[key] = now
-                else:
-                    meta.pop(key, None)
-            doc["meta"] = meta
-            return json.dumps(doc, ensure_ascii=False)
-
-        return bodies.map(one)
-
-    return run(body)
+    def change(meta: Column) -> Column:
+        rest = F.map_filter(meta, lambda k, _: ~k.isin("tag", "security", "profile"))
+        for key in ("tag", "security", "profile"):
+            now = F.coalesce(F.from_json(F.to_json(_member(meta, key)), "array<variant>"), F.expr("cast(array() as array<variant>)"))
+            for value in (add or {}).get(key, []):
+                now = F.when(F.exists(now, _same(key, value)), now).otherwise(F.concat(now, F.array(F.parse_json(F.lit(json.dumps(value))))))
+            for value in (delete or {}).get(key, []):
+                now = F.filter(now, _other(key, value))
+            rest = F.when(F.size(now) > 0, F.map_concat(rest, F.create_map(F.lit(key), F.parse_json(F.to_json(now))))).otherwise(rest)
+        return rest
+
+    return put_meta(body, change)

@@ -22,8 +22,8 @@ from .dataset import Dataset
 
 #: Hops that a chain may have.
 MAX_CHAIN = 6
-#: Levels that a concept hierarchy is followed.
-MAX_DEPTH = 20
+#: Levels that a concept hierarchy may have; a deeper one is an error.
+MAX_DEPTH = 90
 
 _MODIFIERS = {
     "string": {"", "exact", "contains", "endswith"},
@@ -87,7 +87,7 @@ class Compiler:
         if isinstance(p, R.Chain):
             return self._chain(resource_type, p, 1), False
         if isinstance(p, R.Has):
-            return self._has(p), False
+            return self._has(resource_type, p), False
         return self._value(resource_type, p)
 
     def _positive(self, resource_type: str, p) -> DataFrame:
@@ -273,7 +273,7 @@ class Compiler:
         return own.union(rows.join(free, "code", "left_semi").select("resource_id")).distinct()
 
     def concept_closure(self, value: str, below: bool) -> DataFrame:
-        """(system, code) of a concept and all below or above it, to MAX_DEPTH levels."""
+        """(system, code) of a concept and all below or above it."""
         system, bar, code = value.partition("|")
         if not bar or not system or not code:
             raise UnsupportedParam(f":below and :above need system|code, not {value!r}")
@@ -287,7 +287,7 @@ class Compiler:
                  SELECT :code, 0
                  UNION ALL
                  SELECT e.b, r.depth + 1 FROM reached r JOIN {edges} e ON e.a = r.code WHERE r.depth < :depth)
-               SELECT DISTINCT :system AS system, code FROM reached""",
+               SELECT DISTINCT :system AS system, if(depth < :depth, code, raise_error('the concept hierarchy is too deep')) AS code FROM reached""",
             args={"code": code, "system": system, "depth": MAX_DEPTH},
             edges=edges,
         )
@@ -314,12 +314,12 @@ class Compiler:
         edges = self._index(resource_type, param).where(F.col("target_type") == target)
         return edges.join(inner.withColumnRenamed("resource_id", "inner_id"), F.col("target_id") == F.col("inner_id"), "left_semi").select("resource_id").distinct()
 
-    def _has(self, p: R.Has) -> DataFrame:
+    def _has(self, resource_type: str, p: R.Has) -> DataFrame:
         param = self.data.registry.get(p.source, p.reference)
         if param is None or param.kind != "reference":
             raise UnsupportedParam(f"{p.source}.{p.reference} is not a reference")
         sources = self._positive(p.source, p.inner)
-        edges = self._index(p.source, param)
+        edges = self._index(p.source, param).where(F.col("target_type") == resource_type)
         return edges.join(sources, "resource_id", "left_semi").select(F.col("target_id").alias("resource_id")).distinct()
 
     def _heuristic(self, resource_type: str, p: R.Value) -> DataFrame:

@@ -125,23 +125,6 @@ _search("and_multi", "Encounter", "status=F&date=ge1997&subject:Patient.segment=
 _search("heuristic_unknown", "Encounter", "nothing=abc", _ORDERS + "false")
 
 
-@_query("concept_below", "SELECT c_custkey AS fhir_id FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 2")
-def concept_below(spark, sf_dir):
-    from .plans.compiler import Compiler
-
-    data = table_dataset(spark, sf_dir)
-    codes = Compiler(data).concept_closure("urn:geo|R2", True)
-    rows = data.resources("Patient").withColumn("geo", F.concat(F.lit("N"), "c_nationkey"))
-    return rows.join(codes, rows["geo"] == codes["code"], "left_semi").select("fhir_id")
-
-
-@_query("concept_above", "SELECT 'N3' AS code UNION ALL SELECT 'R' || n_regionkey FROM nation WHERE n_nationkey = 3")
-def concept_above(spark, sf_dir):
-    from .plans.compiler import Compiler
-
-    return Compiler(table_dataset(spark, sf_dir)).concept_closure("urn:geo|N3", False).select("code")
-
-
 @_query("anti_no_invoice", "SELECT o_orderkey AS fhir_id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
 def anti_no_invoice(spark, sf_dir):
     data = table_dataset(spark, sf_dir)
@@ -309,7 +292,7 @@ def history_page(spark, sf_dir):
 @_query(
     "bulk_writes",
     f"""WITH now AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fhir_id ORDER BY version_id DESC) AS r FROM {_LOG}) WHERE r = 1),
- w AS (SELECT c_custkey::VARCHAR AS fhir_id, c_custkey % 4 AS k FROM customer WHERE c_custkey < 150)
+ w AS (SELECT c_custkey::VARCHAR AS fhir_id, c_custkey % 4 AS k FROM customer)
  SELECT w.fhir_id, CASE k WHEN 0 THEN CASE WHEN now.fhir_id IS NULL THEN 'created' ELSE 'conflict' END WHEN 1 THEN CASE WHEN now.fhir_id IS NULL THEN 'created' ELSE 'updated' END
   WHEN 2 THEN CASE WHEN now.fhir_id IS NULL THEN 'not_found' WHEN now.is_deleted THEN 'unchanged' ELSE 'deleted' END
   ELSE CASE WHEN now.fhir_id IS NULL THEN 'not_found' WHEN now.version_id <> 6 THEN 'conflict' ELSE 'updated' END END AS outcome,
@@ -319,7 +302,7 @@ def history_page(spark, sf_dir):
 def bulk_writes(spark, sf_dir):
     from datetime import datetime
 
-    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey < 150")
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet")
     kind = F.col("c_custkey") % 4
     writes = customers.select(
         F.lit("default").alias("tenant_id"),
@@ -519,8 +502,12 @@ def stream_windows(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import more_queries  # noqa: F401  registers its own
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import more_queries  # noqa: F401
+
     return dict(_SQL)

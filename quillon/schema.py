@@ -13,7 +13,7 @@ INDEX_COLUMNS = {
     "reference": "target_type string, target_id string, identifier_system string, identifier_value string",
     "composite": "system string, code string, value decimal(20,6), value_low decimal(20,6), value_high decimal(20,6), qty_system string, qty_code string",
 }
-INDEX_KEY = "tenant_id string, resource_id string, resource_type string, param_name string, last_updated timestamp_ntz"
+INDEX_KEY = "tenant_id string, resource_id string, version_id int, resource_type string, param_name string, last_updated timestamp_ntz"
 LOG = "tenant_id string, resource_type string, fhir_id string, version_id int, last_updated timestamp_ntz, operation string, is_deleted boolean, resource string"
 
 

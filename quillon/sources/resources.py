@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.extract import index_rows
+from ..operators.extract import current_rows, index_rows, stored_rows
 from ..operators.log import latest, of_tenant
 from ..plans.dataset import Dataset
 from ..registry import Registry, SearchParam
-from ..schema import LOG, index_schema, value_columns
+from ..schema import LOG, value_columns
+
+#: A string of JSON with its quotes, and the colon that makes it a member's name.
+_STRING = r'"(?:[^"\\]|\\.)*+"(?:\s*:)?'
+
+
+def string_values(body: Column) -> Column:
+    """The string values of a JSON body at any depth, without member names, numbers and booleans, parted by spaces."""
+    strings = F.regexp_extract_all(F.to_json(F.try_parse_json(body)), F.lit(_STRING), F.lit(0))
+    values = F.transform(F.filter(strings, lambda s: s.endswith('"')), lambda v: v.substr(F.lit(2), F.length(v) - 2))
+    return F.regexp_replace(F.array_join(values, " "), r"\\[nrtbf]", " ")
 
 
 def log_dataset(spark: SparkSession, log: DataFrame, registry: Registry, tenant_id: str = "default", index_path: str | None = None) -> Dataset:
@@ -24,8 +34,8 @@ def log_dataset(spark: SparkSession, log: DataFrame, registry: Registry, tenant_
         if kind not in ("string", "token", "date", "number", "quantity", "uri", "reference", "composite"):
             return None
         if index_path:
-            stored = spark.read.schema(index_schema(kind)).parquet(f"{index_path}/{kind}").where((F.col("tenant_id") == tenant_id) & (F.col("resource_type") == resource_type))
-            return stored.where(F.col("param_name") == param.name).select("resource_id", *value_columns(kind))
+            stored = stored_rows(spark, index_path, kind).where((F.col("tenant_id") == tenant_id) & (F.col("resource_type") == resource_type))
+            return current_rows(stored.where(F.col("param_name") == param.name), current).select("resource_id", *value_columns(kind))
         base = param.name.removesuffix(":of-type")
         known = registry.get(resource_type, base)
         if known is None or known.kind != kind:
@@ -36,7 +46,7 @@ def log_dataset(spark: SparkSession, log: DataFrame, registry: Registry, tenant_
 
     def texts(resource_type: str) -> DataFrame:
         """All string values of a resource; its ``text`` narrative is among them."""
-        return resources(resource_type).select("fhir_id", F.col("resource").alias("text"))
+        return resources(resource_type).select("fhir_id", string_values(F.col("resource")).alias("text"))
 
     body = F.parse_json("resource")
     entries = current.where("resource_type = 'List'").select(F.col("fhir_id").alias("list_id"), F.explode(F.coalesce(F.try_variant_get(body, "$.entry", "array<variant>"), F.expr("cast(array() as array<variant>)"))).alias("e"))

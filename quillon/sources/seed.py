@@ -80,6 +80,31 @@ def load_package(registry: Registry, path: str, loaded: set[str]) -> tuple[int,
     return len(registry.params) - before, profiles
 
 
+def sync_parameter(registry: Registry, resource: dict, gone: bool = False) -> tuple[tuple[str, str], ...]:
+    """Registers (or removes) a SearchParameter resource's definitions; returns the (type, name) pairs that changed, for extract.reindex()."""
+    found = from_resource(resource)
+    for p in found:
+        if gone:
+            registry.remove(p.resource_type, p.name)
+        else:
+            registry.register(p)
+    return tuple((p.resource_type, p.name) for p in found)
+
+
+def profiles_by_type(definitions: DataFrame) -> DataFrame:
+    """(type, profiles): the URLs of the profiles of each type; ``definitions``: url, type, definition (JSON) with its derivation."""
+    derived = F.coalesce(F.get_json_object("definition", "$.derivation"), F.lit("constraint")) == "constraint"
+    return definitions.where(derived).groupBy("type").agg(F.sort_array(F.collect_set("url")).alias("profiles"))
+
+
+def summary_elements(definitions: DataFrame) -> DataFrame:
+    """(type, names): the top-level elements that base definitions mark isSummary, choice names without "[x]", for project.summary()."""
+    elements = definitions.select("type", F.explode(F.try_variant_get(F.parse_json("definition"), "$.snapshot.element", "array<variant>")).alias("e"))
+    path = F.try_variant_get("e", "$.path", "string")
+    top = elements.where(F.coalesce(F.try_variant_get("e", "$.isSummary", "boolean"), F.lit(False)) & (F.size(F.split(path, "[.]")) == 2))
+    return top.groupBy("type").agg(F.sort_array(F.collect_set(F.regexp_replace(F.split(path, "[.]")[1], r"\[x\]$", ""))).alias("names"))
+
+
 def base_definitions(spark: SparkSession, path: str) -> DataFrame:
     """url, type, definition (JSON) of the resource types in a bundle of StructureDefinitions."""
     entries = spark.read.text(path, wholetext=True).select(F.explode(F.try_variant_get(F.parse_json("value"), "$.entry", "array<variant>")).alias("e"))

@@ -25,6 +25,7 @@ def table_registry() -> Registry:
         S("Organization", "partof", "reference", targets=("Location",)),
         S("Patient", "name", "string"),
         S("Patient", "segment", "token"),
+        S("Patient", "geo", "token"),
         S("Patient", "organization", "reference", targets=("Organization",)),
         S("Patient", "balance", "quantity"),
         S("Practitioner", "name", "string"),
@@ -47,6 +48,7 @@ def table_registry() -> Registry:
         S("Invoice", "code-status", "composite", components=(("code", "token"), ("status", "token"))),
         S("Invoice", "performer", "reference", targets=("Practitioner",)),
         S("Invoice", "product", "reference", targets=("Medication",)),
+        S("Invoice", "involves", "reference", targets=("Practitioner", "Medication")),
         S("Invoice", "ship", "date"),
         S("Invoice", "encounter", "reference", targets=("Encounter",)),
         S("Observation", "code", "token"),
@@ -89,6 +91,7 @@ _INDEX = {
     ("Organization", "partof"): ("nation", "n_nationkey", ("reference", "Location", "n_regionkey")),
     ("Patient", "name"): ("customer", "c_custkey", ("string", "c_name")),
     ("Patient", "segment"): ("customer", "c_custkey", ("token", "urn:segment", "c_mktsegment")),
+    ("Patient", "geo"): ("customer", "c_custkey", ("token", "urn:geo", "concat('N', c_nationkey)")),
     ("Patient", "organization"): ("customer", "c_custkey", ("reference", "Organization", "c_nationkey")),
     ("Patient", "balance"): ("customer", "c_custkey", ("quantity", "c_acctbal", "urn:iso:4217", "USD")),
     ("Practitioner", "name"): ("supplier", "s_suppkey", ("string", "s_name")),
@@ -127,6 +130,15 @@ _INDEX = {
 }
 
 
+#: (type, name, kind) of rows that are indexed under names no registry knows, for heuristic search.
+_UNREGISTERED = {
+    ("Encounter", "note", "string"): ("orders", "o_orderkey", ("string", "o_orderpriority")),
+    ("Encounter", "note", "token"): ("orders", "o_orderkey", ("token", "urn:os", "o_orderstatus")),
+    ("Encounter", "note", "date"): ("orders", "o_orderkey", ("date", "o_orderdate", f"o_orderdate + {_DAY}")),
+    ("Encounter", "note", "number"): ("orders", "o_orderkey", ("number", "o_custkey")),
+}
+
+
 def index_row(table: DataFrame, id_column: str, spec: tuple) -> DataFrame:
     """Index rows of one parameter from a base table."""
     kind, *args = spec
@@ -170,9 +182,13 @@ def table_dataset(spark: SparkSession, sf_dir: str) -> Dataset:
         if (resource_type, param.name) == ("Communication", "sender"):
             last = table("conversations").groupBy("conv_id").agg(F.max_by("role", "turn").alias("role"))
             return index_row(last, "conv_id", ("token", "urn:role", "role"))
-        known = _INDEX.get((resource_type, param.name))
+        if (resource_type, param.name) == ("Invoice", "involves"):
+            return index("Invoice", registry.get("Invoice", "performer")).unionByName(index("Invoice", registry.get("Invoice", "product")))
+        known = _INDEX.get((resource_type, param.name)) or _UNREGISTERED.get((resource_type, param.name, param.kind))
         return index_row(table(known[0]), known[1], known[2]) if known else None
 
+    registry = table_registry()
+
     def value_set(url: str) -> DataFrame | None:
         sets = {"urn:vs:active": [("urn:event", "click"), ("", "view")], "urn:vs:trouble": [("urn:event", "error")]}
         return spark.createDataFrame(sets[url], "system string, code string") if url in sets else None
@@ -182,4 +198,4 @@ def table_dataset(spark: SparkSession, sf_dir: str) -> Dataset:
     orders = table("orders")
     lists = orders.select(F.concat(F.lit("vip-"), F.col("o_orderpriority").substr(1, 1)).alias("list_id"), F.lit("Encounter").alias("target_type"), F.col("o_orderkey").alias("target_id")).where("target_id % 100 = 0")
     texts = lambda t: table("documents").select(F.col("doc_id").alias("fhir_id"), "text") if t == "DocumentReference" else None
-    return Dataset(spark, table_registry(), resources, index, value_set, concepts, lists, texts)
+    return Dataset(spark, registry, resources, index, value_set, concepts, lists, texts)

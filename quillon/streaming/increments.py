@@ -12,9 +12,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.extract import index_rows
+from ..operators.extract import write_index
 from ..registry import Registry
-from ..schema import INDEX_COLUMNS, LOG
+from ..schema import LOG
 
 
 def tail(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
@@ -25,17 +25,14 @@ def tail(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFr
 def maintain_indexes(stream: DataFrame, registry: Registry, path: str, checkpoint: str):
     """A query that appends the index rows of new versions, a folder a kind.
 
-    Rows carry the version's last_updated; readers keep those of current
-    versions. A batch is written under its number, so a batch that runs again
-    replaces its own rows.
+    Rows carry their version, and readers keep those of current ones. A batch is
+    written under its number in the layout of write_index(), so a batch that runs
+    again replaces its own rows.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        batch = batch.where("not is_deleted").persist()
-        for kind in INDEX_COLUMNS:
-            for t in registry.types():
-                rows = index_rows(batch, registry, t, kind)
-                rows.write.mode("overwrite").parquet(f"{path}/{kind}/resource_type={t}/batch={number}")
+        batch = batch.persist()
+        write_index(batch, registry, path, number)
         batch.unpersist()
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
