@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
+from .documents import id_and_text, whole_row
 
 TRAIN_ROWS = 4000
 BINS = 8
@@ -269,21 +270,20 @@ def _scored(model: Model):
         for batch in batches:
             scores = [model.score(*line_features(raw, off)) for _, _, raw, off in W.text_chunks(batch.column(0))]
             found = np.concatenate(scores) if scores else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found)], [*batch.schema.names[1:], "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found)], ["row", "score"])
 
     return run
 
 
-def scored(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of ``docs`` and each row's score."""
-    rows = docs.select(docs["text"].cast("string").alias("__text"), *(docs[c] for c in keep))
+def scored(docs: DataFrame, model: Model) -> DataFrame:
+    """(row, score): each row of ``docs`` as one struct, and its score."""
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    schema = StructType([*rows.schema.fields[1:], StructField("score", DoubleType())])
-    return rows.mapInArrow(_scored(model), schema)
+    rows = docs.select(docs["text"].cast("string").alias("text"), whole_row(docs).alias("row"))
+    return rows.mapInArrow(_scored(model), StructType([rows.schema["row"], StructField("score", DoubleType())]))
 
 
 def quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted for every document."""
-    found = scored(docs, train(docs, labels, rows), ["doc_id"])
-    return found.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    found = scored(id_and_text(docs, False), train(docs, labels, rows)).select("row.doc_id", "score")
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

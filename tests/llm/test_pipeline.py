@@ -36,8 +36,42 @@ def test_stages_take_any_rows(spark, k):
     corpus_pipeline.STAGES[k][1](spark, docs.limit(0), SMALL).collect()
 
 
-def test_exact_copies_with_repeated_ids(spark):
-    rows = [(5, "first text"), (9, "first text"), (5, "other text"), (7, "Twice"), (7, "twice"), (None, "other text"), (8, "alone")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = [(r.doc_id, r.text.lower()) for r in corpus_pipeline.exact_copies(spark, docs, SMALL).collect()]
-    assert sorted(got, key=str) == [(5, "other text"), (7, "twice"), (8, "alone"), (9, "first text")]
+LONG = " ".join(f"word{k}" for k in range(60))
+#: A doc_id under two texts, equal rows, rows without an id; names that operators use themselves, and one with a dot.
+ODD = [
+    (3, "same text", 0.5, "a", 1), (3, "other text", 0.5, "b", 2), (5, "Same Text", None, "c", 3), (5, "same text", 0.5, "d", 4), (7, "twice", 0.1, "e", 5), (7, "twice", 0.1, "e", 5),
+    (None, "no id", 0.1, "f", 6), (None, "other text", 0.1, "g", 7), (8, LONG, 0.1, "h", 8), (8, LONG + " end", 0.1, "i", 9), (9, LONG.replace("word30", "x"), 0.1, "j", 10), (9, None, 0.1, "k", 11),
+]
+ODD_SCHEMA = "doc_id long, text string, score double, row string, `a.b` int"
+
+
+@pytest.fixture
+def odd(spark):
+    return spark.createDataFrame([(*r[:3], r[3], r[4]) for r in ODD], ODD_SCHEMA).repartition(3)
+
+
+def test_exact_copies_decide_by_row(spark, odd):
+    out = corpus_pipeline.exact_copies(spark, odd, SMALL)
+    assert out.columns == odd.columns
+    got = sorted((r.doc_id or 0, (r.text or "").lower()) for r in out.collect())
+    assert got == sorted([(3, "other text"), (5, "same text"), (7, "twice"), (0, "no id"), (8, LONG), (8, LONG + " end"), (9, LONG.replace("word30", "x")), (9, "")])
+
+
+def test_near_copies_decide_by_row(spark, odd):
+    out = corpus_pipeline.near_copies(spark, odd, SMALL)
+    got = sorted((r["a.b"]) for r in out.collect())
+    assert out.columns == odd.columns
+    # equal texts are near copies as well; of each group the smallest doc_id's row stays
+    assert [k for k in got if k >= 8] in ([8, 11], [9, 11]) and {2, 7} & set(got) == {7} and 6 in got
+
+
+def test_leaks_go_by_row(spark, odd):
+    item = spark.read.parquet(f"{SMALL}/benchmark.parquet").where("length(text) > 80").first().text
+    docs = odd.union(spark.createDataFrame([(3, "Before. " + item + " After.", 0.5, "z", 99)], ODD_SCHEMA))
+    out = corpus_pipeline.without_benchmark(spark, docs, SMALL)
+    assert out.columns == odd.columns and sorted(r["a.b"] for r in out.collect()) == sorted(r[4] for r in ODD)
+
+
+def test_quality_keeps_columns(spark, odd):
+    out = corpus_pipeline.good_quality(spark, odd, SMALL)
+    assert out.dtypes == odd.dtypes and {r["a.b"] for r in out.collect()} <= {r[4] for r in ODD}
