@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as
 Parquet and read again as the next stage's docs. All but the last return the
 columns of ``docs``.
+
+Defined cases: a decision is made for each row and not for each doc_id, so rows
+that share a doc_id, or have none, stand and fall alone; of rows with the same text
+one stays, the one of the largest doc_id, and of near copies the one of the
+smallest. A null text is an empty one. Other columns may have any names, dots
+and the operators' own among them; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -11,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import decontaminate, exact_dedup, ngram_join, packing, quality_crf
+from quillon.llm.documents import keyed
 from quillon.llm.scratch import Scratch
 
 
@@ -21,36 +28,34 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts (operator 2). The model is learnt from the labels of ``docs``."""
     model = quality_crf.train(docs, _table(spark, sf_dir, "labels"))
-    return quality_crf.scored(docs, model, docs.columns).where(F.col("score") >= quality_crf.THRESHOLD).drop("score")
+    return quality_crf.scored(docs, model).where(F.col("score") >= quality_crf.THRESHOLD).select("row.*")
 
 
-def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts (operator 4), also where a doc_id is repeated with this or another text."""
-    scratch = Scratch(spark, "exact-copies")
-    marked = scratch.save(exact_dedup.exact_dedup(spark, docs).select("doc_id", "text_sha256", "kept"), "marked")
-    hashed = docs.withColumn("text_hash", F.sha2(exact_dedup.normalised(docs["text"].cast("string")).cast("binary"), 256))
+def _asked(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("key").alias("doc_id"), "text")
+
 
-    def among(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
-        keys = keys.select(F.col("doc_id").alias("key_id"), F.col("text_sha256").alias("key_hash"))
-        return rows.join(keys, (rows["text_hash"] == keys["key_hash"]) & rows["doc_id"].eqNullSafe(keys["key_id"]), how)
+def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows whose key is not among ``gone`` (doc_id), with their own columns."""
+    return rows.join(gone.select(F.col("doc_id").alias("key")).distinct(), "key", "left_anti").select("row.*")
 
-    left = among(hashed, marked.where("not kept"), "left_anti")
-    tied = scratch.save(marked.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1"), "tied")
-    if tied.limit(1).count():
-        left = among(left, tied, "left_anti").unionByName(among(left, tied, "left_semi").dropDuplicates(["doc_id", "text_hash"]))
-    return left.select(*docs.columns)
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of equal texts (operator 4)."""
+    rows = keyed(docs, Scratch(spark, "exact-copies"))
+    return _without(rows, exact_dedup.exact_dedup(spark, _asked(rows)).where("not kept"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of the n-gram join (operator 1): 5-word shingles, similarity 0.8."""
-    gone = ngram_join.similarity_components(spark, docs).where("component_id <> doc_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    rows = keyed(docs, Scratch(spark, "near-copies"))
+    return _without(rows, ngram_join.similarity_components(spark, _asked(rows)).where("component_id <> doc_id"))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no benchmark item has leaked into (operator 5)."""
-    gone = decontaminate.decontaminate(spark, docs, _table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    rows = keyed(docs, Scratch(spark, "without-benchmark"))
+    return _without(rows, decontaminate.decontaminate(spark, _asked(rows), _table(spark, sf_dir, "benchmark")))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
