@@ -16,9 +16,10 @@ How it is dealt out:
   tokens at the front of their set: two sets with Jaccard similarity t share one
   of the first n - ceil(t n) + 1 tokens of any fixed order (the smaller set even
   of its first n - ceil(2 t n / (1 + t)) + 1), and a token's row goes no further
-  unless a row of a fitting size is there to meet it. The order puts
-  tokens last whose cell of a fixed-size count sketch of all tokens is crowded,
-  then goes by hash, so that trees stay small and no token is left out.
+  unless a row of a fitting size is there to meet it. The order goes by hash, but
+  puts tokens last that HOT documents or more have at the front of their hash order
+  (counted over all documents, then held as a filter of fixed size, for which any
+  answer makes an order), so that trees stay small and no token is left out.
 * Tokens with the same smallest and largest class make one tree, so a group of
   copies that share many tokens is a few trees and not one for each token. A tree of
   more than BLOCK points is cut into blocks of points, and those that ask into
@@ -52,11 +53,10 @@ from .graph import components
 from .membership import Membership
 from .scratch import Scratch
 from .tree_search import GROUPS, pack, parity, search
+from .words import U64
 
-#: Bits of the count sketch: 2**SKETCH_BITS cells whatever the input's size.
-SKETCH_BITS = 18
-#: A cell is crowded with this many times the mean count.
-CROWDED = 4.0
+#: Documents with a token at their front that put it last.
+HOT = 32
 #: Rows with a text or a set in them that Python gets at once.
 WIDE = 500
 #: Members of a tree in one task.
@@ -87,57 +87,44 @@ def _shingle_sets(raw: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray,
     return grams, np.searchsorted(owner, np.arange(rows + 1))
 
 
-def _cells(grams: np.ndarray) -> np.ndarray:
-    return (grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
-
-
-def _sketch(n: int):
-    """Each task's counts by cell, in 64 strips."""
+def _fronts(n: int, percent: int):
+    """(tok, k): how many documents of a batch have a token at the front of their hash order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
+            parts = []
             for _, _, raw, off in W.text_chunks(batch.column(1)):
-                counts += np.bincount(_cells(_shingle_sets(raw, off, n)[0]), minlength=len(counts))
-        strips = counts.reshape(64, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(64)), pa.array([x.astype(np.uint32 if x.max() < 1 << 32 else np.int64).tobytes() for x in strips], pa.binary()), pa.array([bool(x.max() < 1 << 32) for x in strips])], ["strip", "counts", "small"])
+                grams, at = _shingle_sets(raw, off, n)
+                place = np.arange(len(grams)) - np.repeat(at[:-1], np.diff(at))
+                parts.append(grams[place < np.repeat(front_size(np.diff(at), percent), np.diff(at))])
+            tok, k = np.unique(np.concatenate(parts) if parts else np.zeros(0, U64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(W.signed(tok)), pa.array(k)], ["tok", "k"])
 
     return run
 
 
-def _add_strips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sums of a task's strips, one in hand for each."""
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for strip, counts, small in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-            own = np.frombuffer(counts.as_buffer(), np.uint32 if small else np.int64).astype(np.int64)
-            sums[strip] = sums[strip] + own if strip in sums else own
-    if sums:
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["strip", "counts"])
+def front_size(n: np.ndarray, percent: int) -> np.ndarray:
+    """How many tokens of a set of n make its front; none of an empty one."""
+    return np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0)
 
 
-def crowded_cells(docs: DataFrame, n: int) -> np.ndarray:
-    """Which cells of the sketch are crowded. What reaches the driver has a fixed size."""
-    strips = docs.mapInArrow(_sketch(n), "strip long, counts binary, small boolean").repartition("strip").mapInArrow(_add_strips, "strip long, counts binary").collect()
-    counts = np.zeros((64, (1 << SKETCH_BITS) // 64), np.int64)
-    for row in strips:
-        counts[row.strip] = np.frombuffer(row.counts, np.int64)
-    counts = counts.reshape(-1)
-    return np.packbits(counts > CROWDED * max(1.0, counts.mean()))
+def hot_tokens(spark: SparkSession, docs: DataFrame, n: int, percent: int) -> Membership:
+    counts = docs.mapInArrow(_fronts(n, percent), "tok long, k long").groupBy("tok").agg(F.sum("k").alias("k"))
+    return Membership(spark, counts.where(F.col("k") >= HOT).select("tok"))
 
 
-def _points(n: int, percent: int, packed: np.ndarray):
+def _points(n: int, percent: int, hot: Membership):
     """For each document its set's size and 128-bit hash, its point, its parity vector, and its front tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        crowded = np.unpackbits(packed).astype(bool)
         for batch in batches:
             ids = batch.column(0)
             sizes, hash1, hash2, points, bits, fronts = [], [], [], [], [], []
             for _, _, raw, off in W.text_chunks(batch.column(1)):
                 grams, at = _shingle_sets(raw, off, n)
-                late = crowded[_cells(grams)]
+                late = hot.may(W.signed(grams))
                 size = np.diff(at)
+                fronted = front_size(size, percent)
                 for salt, out in ((1, hash1), (2, hash2)):
                     sums = np.zeros(len(grams) + 1, np.uint64)
                     np.cumsum(W.mix(grams + np.uint64(salt)), out=sums[1:])
@@ -148,10 +135,9 @@ def _points(n: int, percent: int, packed: np.ndarray):
                 counts = np.bincount(owner * GROUPS + group, minlength=len(size) * GROUPS).reshape(len(size), GROUPS)
                 for i in range(len(size)):
                     own = grams[at[i] : at[i + 1]]
-                    front = len(own) - (percent * len(own) + 99) // 100 + 1 if len(own) else 0
                     if late[at[i] : at[i + 1]].any():
                         own = own[np.argsort(late[at[i] : at[i + 1]], kind="stable")]
-                    fronts.append(W.signed(own[:front]))
+                    fronts.append(W.signed(own[: fronted[i]]))
                     points.append(pack(counts[i]))
                     bits.append(parity(grams[at[i] : at[i + 1]]))
             yield pa.RecordBatch.from_arrays([ids, *(pa.array(np.concatenate(x).astype(np.uint64).view(np.int64) if x else np.zeros(0, np.int64)) for x in (sizes, hash1, hash2)), pa.array(points, pa.binary()), pa.array(bits, pa.binary()), pa.array(fronts, pa.list_(pa.int64()))], ["doc_id", "n", "h1", "h2", "point", "bits", "front"])
@@ -242,8 +228,7 @@ def similarity_components(spark: SparkSession, docs: DataFrame, n: int = 5, perc
     scratch = Scratch(spark, "ngram-join")
     docs = id_and_text(docs)
     docs = one_row_each(docs, docs.select("doc_id"))
-    crowded = crowded_cells(docs, n)
-    points = docs.mapInArrow(_points(n, percent, crowded), "doc_id long, n long, h1 long, h2 long, point binary, bits binary, front array<bigint>")
+    points = docs.mapInArrow(_points(n, percent, hot_tokens(spark, docs, n, percent)), "doc_id long, n long, h1 long, h2 long, point binary, bits binary, front array<bigint>")
     points = scratch.save(points, "points", WIDE)
     classes = points.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("id"))
     classes = scratch.save(classes, "classes")
