@@ -5,8 +5,12 @@ two of them numbers, units and names become typed placeholders and other words a
 lower-cased and lose what isn't a letter; a capitalised word at the start of a
 sentence, line or text is a plain word in the first and a name in the second. The
 third has case-folded words and no placeholders. Windows of WINDOW tokens of the
-benchmark are hash-joined with those of the documents, template by template;
-matches at consecutive places of one item and one document make runs. A run with
+benchmark are hash-joined with those of the documents, template by template. As a
+run that counts has WINDOW + STRIDE - 1 tokens or more, every STRIDE-th window of a
+document is enough to meet one; where one is met, item and document are compared
+token by token on that diagonal. Shorter items, and those with windows of no plain
+word, are looked up at every place. Windows that agree at consecutive places of one
+item and one document make runs. A run with
 placeholders must be consistent in its slots: equal values of the item stand for
 equal values of the document and different for different, so an item with other
 numbers or names is caught and a mere list of numbers isn't. An item counts as
@@ -14,8 +18,8 @@ leaked into a document with a run of MIN_RUN tokens, or of the whole item where
 that is shorter; items shorter than a window are looked up by their whole template.
 
 A run must hold MIN_WORDS different plain words, or one in the third template. This
-is asked of the finished run. Windows without a plain word aren't looked up; they
-are compared where another window of their item matches, so runs go on over them.
+is asked of the finished run. Windows without a plain word aren't looked up but are
+compared where another window of their item is met, so runs go on over them.
 The windows of the benchmark are broadcast only when their counted number is at
 most BROADCAST_WINDOWS; beyond it both sides are shuffled by the hash.
 
@@ -35,6 +39,8 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 
 WINDOW = 8
+#: Places from one window of a document to the next that is looked up.
+STRIDE = 4
 MIN_RUN = 13
 MIN_WORDS = 4
 #: 16 bytes of key and place each, a few hundred MB as a hash table at the most.
@@ -48,26 +54,27 @@ FIRST, END = "\ue004", "\ue005"
 KINDS = (0, 1, 2)
 LITERAL = 2
 #: White space but the plain space, and the characters that stand for placeholders here.
-_GAPS = r"\t-\r\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{E001}-\x{E005}"
+_GAPS = "".join(map(chr, [*range(9, 14), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, *range(0xE001, 0xE006)]))
 UNITS = "km|cm|mm|m|kg|mg|g|lb|lbs|oz|l|ml|h|hr|hrs|hours?|min|mins|minutes?|s|sec|seconds?|days?|weeks?|months?|years?|miles?|feet|ft|inch|inches|meters?|metres?|kilometers?|grams?|dollars?|euros?|cents?|percent|mph|kmh"
 
 
 def _spaced(text: Column) -> Column:
     """The text with single spaces for all white space, so that wrapping makes no difference."""
-    return F.regexp_replace(text, f"[ {_GAPS}]{{2,}}|[{_GAPS}]", " ")
+    plain = F.translate(text, _GAPS, " " * len(_GAPS))
+    return F.when(F.contains(plain, F.lit("  ")), F.regexp_replace(plain, "  +", " ")).otherwise(plain)
 
 
 def _split(text: Column) -> Column:
-    return F.filter(F.split(text, " +"), lambda t: t != "")
+    return F.filter(F.split(text, " "), lambda t: t != "")
 
 
 def _marked(spaced: Column) -> Column:
     """Tokens with placeholders, one for each word that holds a letter or digit; a name that may be a plain first word stands between marks."""
     numbered = F.regexp_replace(spaced, r"\p{N}+(?:[.,:/]\p{N}+)*", NUMBER)
     united = F.regexp_replace(numbered, rf"{NUMBER}( ?)(?i:{UNITS})(?![\p{{L}}{NUMBER}])", rf"{NUMBER}$1{UNIT}")
-    named = F.regexp_replace(united, rf"\p{{Lu}}(?<=[\p{{L}}{NUMBER}{UNIT},;][ ].)\p{{Ll}}+(?![\p{{L}}{NUMBER}])", NAME)
-    first = F.regexp_replace(named, rf"(\p{{Lu}}(?<![\p{{L}}{NUMBER}-{NAME}].)\p{{Ll}}+)(?![\p{{L}}{NUMBER}])", rf"{FIRST}$1{END}")
-    return _split(F.lower(F.regexp_replace(first, rf"[^\p{{L}}{NUMBER}-{END} ]+", "")))
+    capital = F.regexp_replace(united, rf"(\p{{Lu}}(?<![\p{{L}}{NUMBER}{UNIT}].)\p{{Ll}}+)(?![\p{{L}}{NUMBER}])", rf"{FIRST}$1{END}")
+    named = F.regexp_replace(capital, rf"{FIRST}(?<=[\p{{L}}{NUMBER}{UNIT}{END},;][ ].)[^{END}]*{END}", NAME)
+    return _split(F.lower(F.regexp_replace(named, rf"[^\p{{L}}{NUMBER}-{END} ]+", "")))
 
 
 def _literal(spaced: Column) -> Column:
@@ -79,7 +86,7 @@ def _templates(table: DataFrame, key: str, made: Callable[[Column], Column] = la
     """(key, t0, t1, t2): the tokens of the three templates, each token by ``made``."""
     parts = table.select(key, _spaced(F.col("text")).alias("text")).select(key, _marked(F.col("text")).alias("marked"), _literal(F.col("text")).alias("literal"))
     plain = lambda t: F.when(t.contains(FIRST), F.translate(t, FIRST + END, "")).otherwise(t)
-    name = lambda t: F.when(t.contains(FIRST), F.regexp_replace(t, f"{FIRST}[^{END}]*{END}", NAME)).otherwise(t)
+    name = lambda t: F.when(t.contains(FIRST), F.concat(F.substring_index(t, FIRST, 1), F.lit(NAME), F.substring_index(t, END, -1))).otherwise(t)
     return parts.select(key, F.transform("marked", lambda t: made(plain(t))).alias("t0"), F.transform("marked", lambda t: made(name(t))).alias("t1"), F.transform("literal", lambda t: made(t)).alias("t2"))
 
 
@@ -97,35 +104,19 @@ def _texts(table: DataFrame, key: str) -> DataFrame:
     return table.select(table[key].cast("long").alias(key), F.coalesce(table["text"].cast("string"), F.lit("")).alias("text")).where(F.col(key).isNotNull())
 
 
-def _paired(hashes: str, step: int, kind: int) -> Column:
-    """Hash of each window of twice ``step`` tokens from the hashes of those of ``step``; other kinds, other hashes."""
-    n = F.greatest(F.size(hashes) - step, F.lit(0))
-    salt = [F.lit(kind)] if 2 * step == WINDOW else []
-    return F.zip_with(F.slice(hashes, 1, n), F.slice(hashes, F.lit(1 + step), n), lambda a, b: F.xxhash64(a, b, *salt))
+def _hashes(tokens: str, size: int, stride: int, kind: int) -> Column:
+    """Hash of the window of ``size`` tokens at each ``stride``-th place; other kinds, other hashes."""
+    places = F.when(F.size(tokens) >= size, F.sequence(F.lit(0), F.size(tokens) - size, F.lit(stride))).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: F.xxhash64(*(F.get(tokens, i + k) for k in range(size)), F.lit(kind)))
 
 
-def _slid(hashes: str, n: Column, size: int, kind: int) -> Column:
-    """Hash of each window of ``size`` tokens; other kinds, other hashes."""
-    return F.transform(F.slice(hashes, F.lit(1), n), lambda _, i: F.xxhash64(F.slice(F.col(hashes), i + 1, size), F.lit(kind)))
-
-
-def _windows(table: DataFrame, key: str, size: int = WINDOW) -> DataFrame:
-    """(key, n, place, hash) for each window of ``size`` tokens of each template: WINDOW (8) is made by pairing three times."""
+def _windows(table: DataFrame, key: str, at: str, size: int = WINDOW, stride: int = 1) -> DataFrame:
+    """(key, hash, kind, at) for windows of ``size`` tokens of each template."""
     kinds = [f"t{k}" for k in KINDS]
-    hashed = _templates(table, key, lambda t: F.xxhash64(t))
-    if size == WINDOW:
-        for step in (1, 2, 4):
-            hashed = hashed.select(key, *(_paired(t, step, k).alias(t) for k, t in enumerate(kinds)))
-    else:
-        n = F.greatest(F.size("t0") - (size - 1), F.lit(0))
-        hashed = hashed.select(key, *(_slid(t, n, size, k).alias(t) for k, t in enumerate(kinds)))
+    hashed = _templates(table, key, lambda t: F.xxhash64(t)).select(key, *(_hashes(t, size, stride, k).alias(t) for k, t in enumerate(kinds)))
     # the outer form: for the inner one the optimiser adds a filter that works out the windows once more
-    return hashed.select(key, F.size("t0").alias("n"), F.posexplode_outer(F.concat(*kinds)).alias("place", "hash")).where(F.col("hash").isNotNull())
-
-
-def _placed(windows: DataFrame, at: str) -> DataFrame:
-    """With kind and place in the text instead of the place among the windows of all kinds."""
-    return windows.withColumn("kind", F.expr("cast(place div n as int)")).withColumn(at, F.expr("cast(place % n as int)")).drop("n", "place")
+    rows = hashed.select(key, F.size("t0").alias("n"), F.posexplode_outer(F.concat(*kinds)).alias("place", "hash")).where(F.col("hash").isNotNull())
+    return rows.select(key, "hash", F.expr("cast(place div n as int)").alias("kind"), F.expr(f"cast(place % n as int) * {stride}").alias(at))
 
 
 def _item_templates(benchmark: DataFrame) -> DataFrame:
@@ -135,10 +126,9 @@ def _item_templates(benchmark: DataFrame) -> DataFrame:
 
 
 def _silent(templates: DataFrame) -> DataFrame:
-    """(item_id, kind, item_at, part): windows without a plain word. They are not looked up but compared where another window of the item matches."""
+    """(item_id, kind, item_at): windows without a plain word, which are not looked up."""
     places = templates.where(F.col("n") >= WINDOW).select("item_id", "kind", "tokens", F.explode(F.sequence(F.lit(0), F.col("n") - WINDOW)).alias("item_at"))
-    parts = places.select("item_id", "kind", "item_at", F.slice("tokens", F.col("item_at") + 1, WINDOW).alias("part"))
-    return parts.where(_plain_words(F.col("part")) == 0).distinct()
+    return places.where(_plain_words(F.slice("tokens", F.col("item_at") + 1, WINDOW)) == 0).select("item_id", "kind", "item_at").distinct()
 
 
 def _few_words(templates: DataFrame) -> DataFrame:
@@ -147,14 +137,16 @@ def _few_words(templates: DataFrame) -> DataFrame:
     return places.where(_plain_words(F.slice("tokens", F.col("item_at") + 1, WINDOW)) < MIN_WORDS).select("item_id", "kind", "item_at").distinct()
 
 
-def _filled(matches: DataFrame, silent: DataFrame, docs: DataFrame) -> DataFrame:
-    """Matches of the silent windows on the diagonals that have a match."""
-    lines = matches.select("doc_id", "item_id", "kind", (F.col("doc_at") - F.col("item_at")).alias("shift")).distinct()
-    asked = lines.join(silent, ["item_id", "kind"]).withColumn("doc_at", F.col("item_at") + F.col("shift")).where("doc_at >= 0")
-    texts = docs.join(asked.select("doc_id").distinct(), "doc_id", "left_semi")
+def _compared(met: DataFrame, templates: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, doc_at, item_id, item_at, kind): all windows that agree on the diagonals where one was met."""
+    lines = met.select("doc_id", "item_id", "kind", (F.col("doc_at") - F.col("item_at")).alias("shift")).distinct()
+    texts = docs.join(lines.select("doc_id").distinct(), "doc_id", "left_semi")
     tokens = _templates(texts, "doc_id").select("doc_id", F.array("t0", "t1", "t2").alias("t"))
-    held = asked.join(tokens, "doc_id").where(F.slice(F.col("t")[F.col("kind")], F.col("doc_at") + 1, WINDOW) == F.col("part"))
-    return held.select(*matches.columns)
+    both = lines.join(templates, ["item_id", "kind"]).join(tokens, "doc_id").withColumn("own", F.col("t")[F.col("kind")])
+    first, last = F.greatest(F.lit(0), -F.col("shift")), F.least(F.col("n"), F.size("own") - F.col("shift")) - WINDOW
+    both = both.where(first <= last).withColumn("item_at", F.explode(F.sequence(first, last)))
+    held = both.where(F.slice("own", F.col("item_at") + F.col("shift") + 1, WINDOW) == F.slice("tokens", F.col("item_at") + 1, WINDOW))
+    return held.select("doc_id", (F.col("item_at") + F.col("shift")).alias("doc_at"), "item_id", "item_at", "kind").distinct()
 
 
 def _runs(matches: DataFrame) -> DataFrame:
@@ -185,26 +177,29 @@ def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) ->
     templates = scratch.save(_item_templates(benchmark), "templates")
     silent = scratch.save(_silent(templates), "silent")
 
-    def matched(items: DataFrame, size: int, name: str) -> DataFrame:
+    def matched(items: DataFrame, size: int, stride: int, name: str) -> DataFrame:
         wanted = items.select("hash", "item_id", "item_at")
         if items.count() <= BROADCAST_WINDOWS:
             wanted = F.broadcast(wanted)
-        met = _windows(docs, "doc_id", size).join(wanted, "hash")  # one long key: the kind is in the hash
-        return scratch.save(_placed(met, "doc_at").select("doc_id", "doc_at", "item_id", "item_at", "kind"), name).distinct()
-
-    items = _placed(_windows(benchmark, "item_id"), "item_at").distinct()
-    items = scratch.save(items.join(silent, ["item_id", "kind", "item_at"], "left_anti"), "windows")
-    matches = matched(items, WINDOW, "matches")
+        met = _windows(docs, "doc_id", "doc_at", size, stride).join(wanted, "hash")  # one long key: the kind is in the hash
+        return scratch.save(met.select("doc_id", "doc_at", "item_id", "item_at", "kind"), name).distinct()
+
+    items = _windows(benchmark, "item_id", "item_at").distinct().join(silent, ["item_id", "kind", "item_at"], "left_anti")
+    everywhere = templates.where(F.col("n").between(WINDOW, WINDOW + STRIDE - 2)).select("item_id", "kind").union(silent.select("item_id", "kind")).distinct()
+    everywhere = scratch.save(everywhere, "everywhere")
+    met = matched(scratch.save(items.join(everywhere, ["item_id", "kind"], "left_anti"), "windows"), WINDOW, STRIDE, "met")
+    dense = scratch.save(items.join(everywhere, ["item_id", "kind"], "left_semi"), "windows-everywhere")
+    if dense.limit(1).count():
+        met = met.unionByName(matched(dense, WINDOW, 1, "met-everywhere"))
+    matches = scratch.save(_compared(met, templates, docs), "matches")
     weak = _few_words(templates)
     strong = matches.join(weak, ["item_id", "kind", "item_at"], "left_anti")
-    if silent.limit(1).count():
-        matches = matches.unionByName(_filled(matches, silent, docs))
     # a run that fails as a whole may hold one that stands by its wordy windows alone
     runs = _runs(matches).unionByName(_runs(strong)).distinct()
     for size in [r.n for r in templates.where(f"n between 1 and {WINDOW - 1}").select("n").distinct().orderBy("n").collect()]:
         of_size = templates.where((F.col("n") == size) & (_plain_words(F.col("tokens")) > 0))
-        short = scratch.save(_placed(_windows(benchmark, "item_id", size), "item_at").distinct().join(of_size, ["item_id", "kind"], "left_semi").where("item_at = 0"), f"windows-{size}")
-        whole = matched(short, size, f"matches-{size}").withColumn("n_tokens", F.lit(size))
+        short = scratch.save(_windows(benchmark, "item_id", "item_at", size).distinct().join(of_size, ["item_id", "kind"], "left_semi").where("item_at = 0"), f"windows-{size}")
+        whole = matched(short, size, 1, f"matches-{size}").withColumn("n_tokens", F.lit(size))
         runs = runs.unionByName(whole.select(*runs.columns))
 
     raw = benchmark.select("item_id", words(F.col("text")).alias("item_words"))
