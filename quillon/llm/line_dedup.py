@@ -1,7 +1,8 @@
 r"""Line dedup by a segment-partition edit join.
 
-Lines of MIN_CHARS code points or more, trimmed of white space, are equal in kind
-when their edit distance is at most ``threshold``. A line is split into threshold
+Lines, trimmed of white space, are equal in kind when they are the same or, at
+MIN_CHARS code points or more, when their edit distance is at most ``threshold``;
+blank lines are left alone. A longer line is split into threshold
 + 1 segments, so a line within the threshold holds one of them unchanged. The
 segments are indexed by line length, segment number and content; a line probes the
 index of each length from its own down to threshold less with those of its
@@ -12,8 +13,7 @@ bit-parallel: each diagonal of the band is a bit of a machine word, and one word
 operation advances all diagonals of many pairs together.
 
 Linked lines form classes. The first line of a class (smallest doc_id, then line
-number) stays wherever it stands; all its other lines are removed. Shorter lines
-stay.
+number) stays wherever it stands; all its other lines are removed.
 
 Rows also carry 64 parity bits of the line's characters, of which an edit turns two
 at most; lines of one group whose bits differ in more than 2 * threshold places
@@ -46,6 +46,8 @@ from .words import mix, places
 
 THRESHOLD = 2
 MIN_CHARS = 20
+#: Rows of one group that are held before repeats of a line are dropped.
+HELD = 200_000
 #: Pairs that a group gives at once.
 CROWD = 64
 #: Characters of text that are hashed at once; a longer text is hashed alone.
@@ -84,9 +86,9 @@ def codes(line: str) -> np.ndarray:
 
 
 class Lines:
-    """The lines of some texts that are long enough, trimmed: row, number in its text, and place in the joined text."""
+    """The lines of some texts of ``least`` characters or more, trimmed: row, number in its text, and place in the joined text."""
 
-    def __init__(self, texts: list[str | None]):
+    def __init__(self, texts: list[str | None], least: int):
         known = [k for k, t in enumerate(texts) if t is not None]
         self.text = "\n".join([texts[k] for k in known])
         c = self.codes = codes(self.text)
@@ -96,7 +98,7 @@ class Lines:
         at, past = np.searchsorted(solid, starts), np.searchsorted(solid, ends)
         some = np.flatnonzero(past > at)
         s, e = solid[at[some]], solid[past[some] - 1] + 1
-        long = e - s >= MIN_CHARS
+        long = e - s >= least
         self.start, self.end, line = s[long], e[long], some[long]
         sizes = np.array([len(texts[k]) for k in known], np.int64)
         begins = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]]) if len(known) else np.zeros(0, np.int64)
@@ -135,16 +137,16 @@ class Lines:
         return (odd[self.end] ^ odd[self.start]).view(np.int64)
 
 
-def _runs(column: pa.Array) -> Iterator[tuple[int, Lines]]:
+def _runs(column: pa.Array, least: int = MIN_CHARS) -> Iterator[tuple[int, Lines]]:
     """(first row, lines) of runs of rows of about CHUNK characters."""
     texts, begin, size = column.to_pylist(), 0, 0
     for k, t in enumerate(texts):
         size += len(t or "")
         if size >= CHUNK:
-            yield begin, Lines(texts[begin : k + 1])
+            yield begin, Lines(texts[begin : k + 1], least)
             begin, size = k + 1, 0
     if begin < len(texts):
-        yield begin, Lines(texts[begin:])
+        yield begin, Lines(texts[begin:], least)
 
 
 def segments(length: int, threshold: int) -> list[tuple[int, int]]:
@@ -192,8 +194,9 @@ class _Probes:
         return self.kept[length]
 
 
-_SEGMENT = "key long, line long, bits long, side int"
-_MET = "a long, b long, key long, bits long, side int"
+#: ``key`` ends in the side: 0 for index rows, 1 for probe rows. One long is sorted by its digits, without comparisons.
+_SEGMENT = "key long, line long, bits long"
+_MET = "a long, b long, key long, bits long"
 
 
 def _sent(threshold: int):
@@ -207,45 +210,55 @@ def _sent(threshold: int):
                 start, bits = x.start[first], x.parity()[first]
                 length = x.end[first] - start
                 order = np.argsort(length, kind="stable")
-                keys, lines, signs, sides = [], [], [], []
+                keys, lines, signs = [], [], []
                 for own in np.split(order, np.flatnonzero(np.diff(length[order])) + 1) if len(order) else []:
                     size, k, s, n, side = table[int(length[own[0]])]
                     at = start[own][:, None] + s
-                    keys.append(mix(x.part(at, at + n) ^ (size * 16 + k).astype(U64)).reshape(-1))
+                    key = mix(x.part(at, at + n) ^ (size * 16 + k).astype(U64))
+                    keys.append((key & ~U64(1) | side.astype(U64)).reshape(-1))
                     lines.append(np.repeat(line[own], len(s)))
                     signs.append(np.repeat(bits[own], len(s)))
-                    sides.append(np.tile(side, len(own)))
                 if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(lines)), pa.array(np.concatenate(signs)), pa.array(np.concatenate(sides).astype(np.int32))], ["key", "line", "bits", "side"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(lines)), pa.array(np.concatenate(signs))], ["key", "line", "bits"])
 
     return run
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
-    """Of rows sorted by key and line, runs of whole groups of two rows or more; a row that repeats a line in its part is dropped."""
+    """Of rows sorted by key, runs of whole groups of two rows or more, sorted by key and line; rows that repeat a line in its part are dropped."""
     kept: list[dict[str, np.ndarray]] = []
 
-    def several(parts: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+    def sorted_rows(parts: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
         x = {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
-        fresh = np.ones(len(x["key"]), bool)
-        fresh[1:] = (np.diff(x["key"]) != 0) | (np.diff(x["side"]) != 0) | (np.diff(x["line"]) != 0)
-        key = x["key"][fresh]
-        same = np.zeros(len(key), bool)
-        same[1:] |= key[1:] == key[:-1]
-        same[:-1] |= key[1:] == key[:-1]
-        return {c: v[fresh][same] for c, v in x.items()}
+        group = x["key"] >> 1
+        several = np.zeros(len(group), bool)
+        several[1:] |= group[1:] == group[:-1]
+        several[:-1] |= group[1:] == group[:-1]
+        x = {c: v[several] for c, v in x.items()}
+        order = np.lexsort((x["line"], x["key"]))
+        x = {c: v[order] for c, v in x.items()}
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = (x["key"][1:] != x["key"][:-1]) | (x["line"][1:] != x["line"][:-1])
+        return {c: v[fresh] for c, v in x.items()}
+
+    def whole(parts: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+        x = sorted_rows(parts)
+        return x | {"side": (x["key"] & 1).astype(np.int32), "key": x["key"] >> 1}
 
     for batch in batches:
         if not batch.num_rows:
             continue
         x = {c: batch.column(c).to_numpy() for c in batch.schema.names}
-        last = int(np.searchsorted(x["key"], x["key"][-1]))
-        if last or (kept and kept[-1]["key"][-1] != x["key"][-1]):
-            yield several([*kept, {c: v[:last] for c, v in x.items()}])
+        group = x["key"] >> 1
+        last = int(np.searchsorted(group, group[-1]))
+        if last or (kept and kept[-1]["key"][-1] >> 1 != group[-1]):
+            yield whole([*kept, {c: v[:last] for c, v in x.items()}])
             kept = []
         kept.append({c: v[last:] for c, v in x.items()})
+        if len(kept) > 1 and sum(len(p["key"]) for p in kept[1:]) > max(HELD, len(kept[0]["key"])):  # a hot group keeps its different lines
+            kept = [sorted_rows(kept)]
     if kept:
-        yield several(kept)
+        yield whole(kept)
 
 
 def _near(x: dict[str, np.ndarray], most: int, apart: np.ndarray | None = None):
@@ -289,7 +302,7 @@ def _met(threshold: int):
     """Pairs (a, b) of the groups; rows of crowded groups come along, with b null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["a", "b", "key", "bits", "side"]
+        names = ["a", "b", "key", "bits"]
         for x in _groups(batches):
             a, b, crowds = [], [], []
             for g in _split(x):
@@ -303,9 +316,9 @@ def _met(threshold: int):
                 pair = np.stack([np.concatenate(a), np.concatenate(b)])
                 pair = np.unique(np.sort(pair, axis=0), axis=1)
                 none = pa.nulls(pair.shape[1], pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1]), none, none, pa.nulls(pair.shape[1], pa.int32())], names)
+                yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1]), none, none], names)
             for g in crowds:
-                yield pa.RecordBatch.from_arrays([pa.array(g["line"]), pa.nulls(len(g["line"]), pa.int64()), pa.array(g["key"]), pa.array(g["bits"]), pa.array(g["side"])], names)
+                yield pa.RecordBatch.from_arrays([pa.array(g["line"]), pa.nulls(len(g["line"]), pa.int64()), pa.array(g["key"] << 1 | g["side"]), pa.array(g["bits"])], names)
 
     return run
 
@@ -392,7 +405,7 @@ def _verified(threshold: int):
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(0).to_numpy()
-        for first, x in _runs(batch.column(1)):
+        for first, x in _runs(batch.column(1), 1):
             yield pa.RecordBatch.from_arrays([pa.array(x.hashes(0)), pa.array(x.hashes(1)), pa.array(ids[first + x.row]), pa.array(x.number)], ["line", "line2", "doc_id", "at"])
 
 
@@ -416,7 +429,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, threshold: int = THRESHOLD)
     docs = id_and_text(docs)
     docs = one_row_each(docs, docs.select("doc_id"))
     sent = docs.mapInArrow(_sent(threshold), _SEGMENT)
-    met = scratch.save(sent.repartition("key").sortWithinPartitions("key", "side", "line").mapInArrow(_met(threshold), _MET), "met")
+    met = scratch.save(sent.repartition(F.shiftright("key", 1)).sortWithinPartitions("key").mapInArrow(_met(threshold), _MET), "met")
     scratch.release()
 
     # a line with any partner, on either side, is in a pair of the first round, so its text serves both rounds
@@ -432,10 +445,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, threshold: int = THRESHOLD)
 
     links = near(some)
     label = scratch.save(components(links, scratch), "labels")
-    crowd = met.where("b is null").select("key", F.col("a").alias("line"), "bits", "side")
+    crowd = met.where("b is null").select("key", F.col("a").alias("line"), "bits")
     if crowd.limit(1).count():
-        labelled = crowd.join(label.withColumnRenamed("id", "line"), "line", "left").select("key", "line", "bits", "side", F.coalesce("component", "line").alias("label"))
-        again = labelled.repartition("key").sortWithinPartitions("key", "side", "line").mapInArrow(_met_again(threshold), "a long, b long")
+        labelled = crowd.join(label.withColumnRenamed("id", "line"), "line", "left").select("key", "line", "bits", F.coalesce("component", "line").alias("label"))
+        again = labelled.repartition(F.shiftright("key", 1)).sortWithinPartitions("key").mapInArrow(_met_again(threshold), "a long, b long")
         more = near(scratch.save(again.distinct().join(some, ["a", "b"], "left_anti"), "pairs"))
         label = scratch.save(components(links.unionByName(more), scratch), "labels")
 

@@ -99,9 +99,9 @@ def line_dedup(rows, threshold=2, least=20):
     first = {}
     for i, t in sorted(rows, key=lambda r: r[0]):
         for k, line in enumerate(x.strip(strip) for x in split(t)):
-            if len(line) >= least:
+            if line:
                 first.setdefault(line, (i, k))
-    lines = sorted(first, key=len)
+    lines = sorted((x for x in first if len(x) >= least), key=len)
     signs = [{c: line.count(c) for c in set(line[:2000])} for line in lines]
     links = []
     for x in range(len(lines)):
@@ -111,12 +111,12 @@ def line_dedup(rows, threshold=2, least=20):
             apart = sum(abs(signs[x].get(c, 0) - signs[y].get(c, 0)) for c in signs[x].keys() | signs[y].keys())
             if apart <= 2 * threshold and edit_distance(lines[x], lines[y]) <= threshold:
                 links.append((lines[x], lines[y]))
-    kind, head = components(lines, links), {}
+    kind, head = {x: x for x in first} | components(lines, links), {}
     for line, place in first.items():
         head[kind[line]] = min(head.get(kind[line], place), place)
     out = {}
     for i, t in rows:
         own = split(t)
-        kept = [x for k, x in enumerate(own) if len(x.strip(strip)) < least or head[kind[x.strip(strip)]] == (i, k)]
+        kept = [x for k, x in enumerate(own) if not x.strip(strip) or head[kind[x.strip(strip)]] == (i, k)]
         out[i] = (len(own), len(own) - len(kept), sha("\n".join(kept)))
     return out

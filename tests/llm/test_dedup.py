@@ -181,6 +181,26 @@ def test_line_dedup_keeps_links_of_indexed_lines(spark, monkeypatch):
     assert by_id(line_dedup.digest(line_dedup.line_dedup(spark, docs))) == brute.line_dedup(rows)
 
 
+def test_line_dedup_of_short_lines(spark):
+    """Lines under 20 characters go as exact copies only, blank ones never."""
+    rows = [(1, "Yes.\nNo.\n\n \nYes."), (2, " Yes. \nyes.\n\nAll rights reserved"), (3, "All rights reserved\nAll rights reserved.\nAll rights reserved."), (4, "a"), (5, "a\na")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, r.kept_text) for r in line_dedup.line_dedup(spark, docs).collect()}
+    assert got == {1: (1, "Yes.\nNo.\n\n "), 2: (1, "yes.\n\nAll rights reserved"), 3: (2, "All rights reserved."), 4: (0, "a"), 5: (2, "")}
+
+
+def test_groups_of_many_batches(monkeypatch):
+    """A group that is longer than what is held at once, with repeats of its lines."""
+    monkeypatch.setattr(line_dedup, "HELD", 20)
+    rng = np.random.default_rng(2)
+    key = np.sort(rng.choice([2, 4, 5, 5, 5, 8, 9], 500))
+    line = rng.integers(0, 40, 500)
+    batch = pa.RecordBatch.from_arrays([pa.array(key), pa.array(line), pa.array(line * 3)], ["key", "line", "bits"])
+    want = {(k >> 1, k & 1, x) for k, x in zip(key.tolist(), line.tolist(), strict=True) if (key >> 1 == k >> 1).sum() > 1}
+    got = [r for x in line_dedup._groups(iter([batch.slice(a, 7) for a in range(0, 500, 7)])) for r in zip(x["key"].tolist(), x["side"].tolist(), x["line"].tolist(), strict=True)]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_line_dedup_cases(spark, none, repeated):
     assert line_dedup.line_dedup(spark, none).count() == 0
     assert {k: v[:2] for k, v in by_id(line_dedup.line_dedup(spark, repeated)).items()} == {1: (1, 0), 2: (1, 1)}
