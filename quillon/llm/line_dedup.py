@@ -105,7 +105,7 @@ class Lines:
         first = np.searchsorted(starts, begins)  # each text's first line
         own = np.searchsorted(first, line, side="right") - 1
         self.row, self.number = np.array(known, np.int64)[own] if len(known) else own, line - first[own] if len(known) else line
-        self._sums = self._down = None
+        self._sums = self._down = self._odd = None
         self._lines: dict[int, np.ndarray] = {}
 
     def part(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -120,13 +120,14 @@ class Lines:
     def hashes(self, which: int) -> np.ndarray:
         """Hashes of the lines; each place in a line has a random value of its own."""
         if which not in self._lines:
-            begin = np.zeros(len(self.codes) + 1, np.int64)
-            begin[self.start] = self.start
-            np.maximum.accumulate(begin, out=begin)
             size = self.end - self.start
-            at = np.minimum(np.arange(len(self.codes)) - begin[:-1], size.max(initial=0))
+            if self._odd is None:
+                begin = np.zeros(len(self.codes), np.int64)
+                begin[self.start] = self.start
+                np.maximum.accumulate(begin, out=begin)
+                self._odd = places(np.minimum(np.arange(len(self.codes)) - begin, size.max(initial=0)))
             sums = np.zeros(len(self.codes) + 1, U64)
-            np.cumsum(scrambled(self.codes, (101, 202)[which]) * places(at), out=sums[1:])
+            np.cumsum(scrambled(self.codes, (101, 202)[which]) * self._odd, out=sums[1:])
             self._lines[which] = mix(sums[self.end] - sums[self.start] + size.astype(U64)).view(np.int64)
         return self._lines[which]
 
@@ -178,20 +179,37 @@ def probes(length: int, threshold: int) -> list[tuple[int, int, int, int]]:
 
 
 class _Probes:
-    """Probe tables by length, as arrays."""
+    """Index and probe rows by length, one table behind the other: indexed length, segment number, start, size, side."""
 
     def __init__(self, threshold: int):
-        self.threshold, self.kept = threshold, {}
-
-    def __getitem__(self, length: int):
-        if length not in self.kept:
-            own = segments(length, self.threshold)
-            rows = [(length, k, s, n, 0) for k, (s, n) in enumerate(own)]
-            rows += [(*r, 1) for r in probes(length, self.threshold) if not (r[0] == length and (r[2], r[3]) == own[r[1]])]
-            if len(self.kept) > 5000:
-                self.kept.clear()
-            self.kept[length] = tuple(np.array(c) for c in zip(*rows, strict=True))
-        return self.kept[length]
+        self.threshold = threshold
+        self._clear()
+
+    def _clear(self) -> None:
+        self._at: dict[int, tuple[int, int]] = {}
+        self.rows, self._new, self._n = np.zeros((5, 0), np.int64), [], 0
+
+    def _add(self, length: int) -> None:
+        own = segments(length, self.threshold)
+        rows = [(length, k, s, n, 0) for k, (s, n) in enumerate(own)]
+        rows += [(*r, 1) for r in probes(length, self.threshold) if not (r[0] == length and (r[2], r[3]) == own[r[1]])]
+        self._at[length] = (self._n, len(rows))
+        self._new += rows
+        self._n += len(rows)
+
+    def of(self, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which length, row of the table) for all rows of some lengths."""
+        if self._n > 1_000_000:
+            self._clear()
+        different, which = np.unique(lengths, return_inverse=True)
+        for n in different.tolist():
+            if n not in self._at:
+                self._add(n)
+        if self._new:
+            self.rows, self._new = np.concatenate([self.rows, np.array(self._new, np.int64).T], axis=1), []
+        at, count = (np.array(c, np.int64)[which] for c in zip(*(self._at[n] for n in different.tolist()), strict=True))
+        ends = np.cumsum(count)
+        return np.repeat(np.arange(len(lengths)), count), np.repeat(at - (ends - count), count) + np.arange(ends[-1])
 
 
 #: ``key`` ends in the side: 0 for index rows, 1 for probe rows. One long is sorted by its digits, without comparisons.
@@ -208,18 +226,13 @@ def _sent(threshold: int):
             for _, x in _runs(batch.column(1)):
                 line, first = np.unique(x.hashes(0), return_index=True)
                 start, bits = x.start[first], x.parity()[first]
-                length = x.end[first] - start
-                order = np.argsort(length, kind="stable")
-                keys, lines, signs = [], [], []
-                for own in np.split(order, np.flatnonzero(np.diff(length[order])) + 1) if len(order) else []:
-                    size, k, s, n, side = table[int(length[own[0]])]
-                    at = start[own][:, None] + s
-                    key = mix(x.part(at, at + n) ^ (size * 16 + k).astype(U64))
-                    keys.append((key & ~U64(1) | side.astype(U64)).reshape(-1))
-                    lines.append(np.repeat(line[own], len(s)))
-                    signs.append(np.repeat(bits[own], len(s)))
-                if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(lines)), pa.array(np.concatenate(signs))], ["key", "line", "bits"])
+                if not len(first):
+                    continue
+                own, row = table.of(x.end[first] - start)
+                size, k, s, n, side = table.rows[:, row]
+                at = start[own] + s
+                key = mix(x.part(at, at + n) ^ (size * 16 + k).astype(U64)) & ~U64(1) | side.astype(U64)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(line[own]), pa.array(bits[own])], ["key", "line", "bits"])
 
     return run
 
