@@ -16,8 +16,9 @@ SMALL = "/root/testdata/sf0.001"
 def ids_of(name, text):
     from tokenizers import Tokenizer
 
-    t = ids_of.kept.setdefault(name, Tokenizer.from_file(tokens.public_path(name)))
-    return [*t.encode(text or "", add_special_tokens=False).ids, 2]
+    if name not in ids_of.kept:
+        ids_of.kept[name] = Tokenizer.from_file(tokens.public_path(name))
+    return [*ids_of.kept[name].encode(text or "", add_special_tokens=False).ids, 2]
 
 
 ids_of.kept = {}
