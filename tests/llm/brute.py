@@ -120,3 +120,76 @@ def line_dedup(rows, threshold=2, least=20):
         kept = [x for k, x in enumerate(own) if not x.strip(strip) or head[kind[x.strip(strip)]] == (i, k)]
         out[i] = (len(own), len(own) - len(kept), sha("\n".join(kept)))
     return out
+
+
+def leak_templates(text):
+    """(first words plain, first words as names, literal) token lists and the raw words, for decontamination."""
+    import regex
+
+    from quillon.llm import decontaminate as D
+
+    spaced = regex.sub(" +", " ", (text or "").translate({ord(c): " " for c in D._GAPS}))
+    marked = regex.sub(r"\p{N}+(?:[.,:/]\p{N}+)*", D.NUMBER, spaced)
+    marked = regex.sub(rf"{D.NUMBER}( ?)(?i:{D.UNITS})(?![\p{{L}}{D.NUMBER}])", rf"{D.NUMBER}\1{D.UNIT}", marked)
+    letter = lambda c: bool(regex.match(rf"[\p{{L}}{D.NUMBER}{D.UNIT}]", c))
+    plain, named, at = "", "", 0
+    for m in regex.finditer(rf"\p{{Lu}}\p{{Ll}}+(?![\p{{L}}{D.NUMBER}])", marked):
+        before = marked[max(0, m.start() - 2) : m.start()]
+        if before and letter(before[-1]):
+            continue
+        inside = len(before) == 2 and before[1] == " " and (letter(before[0]) or before[0] in ",;")
+        plain += marked[at : m.start()] + (D.NAME if inside else m[0])
+        named += marked[at : m.start()] + D.NAME
+        at = m.end()
+    plain, named = plain + marked[at:], named + marked[at:]
+    clean = lambda t: regex.sub(rf"[^\p{{L}}{D.NUMBER}-{D.NAME} ]+", "", t).lower().split()
+    literal = regex.sub(r"[^\p{L}\p{N} ]+", "", spaced).upper().lower().split()
+    return (clean(plain), clean(named), literal), [w for w in spaced.split(" ") if regex.search(r"[\p{L}\p{N}]", w)]
+
+
+def leaks(docs, items, window=8, least=13, words=4):
+    """(doc_id, item_id) of every item that has leaked, by comparing all diagonals."""
+    import regex
+
+    from quillon.llm import decontaminate as D
+
+    slot = lambda t: bool(regex.search(rf"[{D.NUMBER}-{D.NAME}]", t))
+    plain_words = lambda ts: len({t for t in ts if not slot(t) and not regex.search(r"\p{N}", t)})
+    bare = lambda w: regex.sub(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "", w.lower())
+    known = {i: leak_templates(t) for i, t in items}
+    starts = {}
+    for i, (kinds, _) in known.items():
+        for k, tokens in enumerate(kinds):
+            size = min(window, len(tokens))
+            for p in range(len(tokens) - size + 1) if size else ():
+                starts.setdefault((k, tuple(tokens[p : p + size])), []).append((i, p))
+    sizes = {len(w) for _, w in starts}
+    out = set()
+    for d, text in docs:
+        kinds, raw = leak_templates(text)
+        for k, tokens in enumerate(kinds):
+            met = {}
+            for size in sizes:
+                for q in range(len(tokens) - size + 1):
+                    for i, p in starts.get((k, tuple(tokens[q : q + size])), ()):
+                        met.setdefault((i, q - p), set()).add(p)
+            for (i, shift), places in met.items():
+                own, own_raw = known[i][0][k], known[i][1]
+                size = min(window, len(own))
+                if not any(plain_words(own[p : p + size]) for p in places) or len(own_raw) != len(own):
+                    continue
+                strong = {p for p in places if plain_words(own[p : p + size]) >= words} if size == window else set()
+                for windows in (places, strong):
+                    for p in windows:
+                        if p - 1 in windows:
+                            continue
+                        n = size
+                        while p + n - size + 1 in windows:
+                            n += 1
+                        run = own[p : p + n]
+                        if n < min(least, len(own)) or plain_words(run) < (1 if k == D.LITERAL else words):
+                            continue
+                        pairs = {(bare(a), bare(b)) for a, b, t in zip(own_raw[p : p + n], raw[p + shift : p + shift + n], run, strict=True) if slot(t)}
+                        if len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs}):
+                            out.add((d, i))
+    return out

@@ -410,3 +410,26 @@ def test_html_clashing_columns(spark):
     rows = [(1, "u", "<p>x</p>", "a", 3, "t")]
     got = html_density.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int, `a.b` string"))
     assert [tuple(r) for r in got.collect()] == [(1, "u", "x", 1)]
+
+
+def test_decontaminate_against_all_diagonals(spark):
+    """The data's items and others, verbatim, wrapped, in other case, with other numbers and names, cut and shuffled, in documents of all kinds."""
+    rng = random.Random(11)
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").select("item_id", "text").collect()]
+    items += [(1001, MATHS), (1002, LIST), (1003, STORY), (1004, TALK), (1005, "Name the capital of France"), (1006, "Mix 3 kg of sand with 2 l of water for 10 minutes"), (1007, "one two three four five six seven eight nine")]
+    names = {"Alice": "Clara", "Bob": "Dave", "France": "Spain"}
+    made = []
+    for i, text in items:
+        other = "".join(str((int(c) * 3 + 1) % 10) if c.isdigit() else c for c in text)
+        for a, b in names.items():
+            other = other.replace(a, b)
+        words = text.split()
+        cut = " ".join(words[: rng.randint(5, 16)])
+        mixed = " ".join(rng.sample(words, len(words)))
+        made += [f"Well then. {text} So much for that.", other, text.upper(), "\n".join(words), f"and {cut} and other things", mixed, f"x {other} y {cut}"]
+    rng.shuffle(made)
+    docs += [(10_000 + k, t) for k, t in enumerate(made)]
+    want = brute.leaks(docs, items)
+    found = decontaminate.decontaminate(spark, spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == want and len(want) > 100
