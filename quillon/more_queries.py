@@ -11,12 +11,13 @@ from .functions import fhirpath as P
 from .functions.bands import date_columns
 from .operators import extract, log, metrics, page, patch, project, validate
 from .plans.request import parse
-from .queries import _HIGH, _LOG, _ORDERS, _query, _search, _shape, conversation_log, observation_log, observation_registry
+from .queries import _HIGH, _LOG, _ORDERS, _query, _search, _shape, conversation_log, observation_log, observation_registry, profile, spread
 from .registry import Registry
 from .registry import SearchParam as S
 from .sources import seed
 from .sources.resources import log_dataset
 from .sources.tables import table_dataset
+from .sources.terminology import Terminology
 
 # -- searches over the tables
 _search("concept_below", "Patient", [("geo:below", "urn:geo|R2")], "SELECT c_custkey AS fhir_id FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 2")
@@ -114,7 +115,7 @@ def text_on_log(spark, sf_dir):
 
 
 def patient_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    c = spread(spark.read.parquet(f"{sf_dir}/customer.parquet"))
     key, nation = F.col("c_custkey").cast("string"), F.col("c_nationkey").cast("string")
     coding = lambda system, code: F.struct(F.lit(system).alias("system"), code.alias("code"))
     body = F.struct(
@@ -261,6 +262,30 @@ def validate_rules(spark, sf_dir):
     return validate.validate(patient_log(spark, sf_dir), validate.compile_profile(_RULES)).select("fhir_id", "code", "expression")
 
 
+@_query("validate_instance", "SELECT code, expression FROM (VALUES ('value', 'Patient.identifier.system'), ('structure', 'Patient.text'), ('required', 'Patient.identifier:mr')) t(code, expression)")
+def validate_instance(spark, sf_dir):
+    return validate.validate_instance(patient_log(spark, sf_dir), "Patient", "7", validate.compile_profile(_RULES)).select("code", "expression")
+
+
+@_query(
+    "validate_system",
+    "SELECT 'Patient' AS resource_type, 'required' AS code, count(*) AS n FROM customer WHERE c_custkey % 2 = 1 HAVING count(*) > 0"
+    " UNION ALL SELECT 'Observation', 'invariant', count(*) FROM events WHERE value > 400 HAVING count(*) > 0",
+)
+def validate_system(spark, sf_dir):
+    both = patient_log(spark, sf_dir).unionByName(observation_log(spark, sf_dir))
+    rules = {"Patient": [validate.compile_profile(_RULES)], "Observation": [validate.compile_profile(profile())]}
+    found = validate.validate_system(both, rules).where("code = 'invariant' or expression = 'Patient.identifier:mr'")
+    return found.groupBy("resource_type", "code").agg(F.count("*").alias("n"))
+
+
+@_query("terminology_filter", "SELECT 'urn:geo' AS system, 'N' || n_nationkey AS code FROM nation WHERE lower(n_name) LIKE '%an%'")
+def terminology_filter(spark, sf_dir):
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    rows = n.select(F.lit("urn:vs:nations").alias("url"), F.lit("urn:geo").alias("system"), F.concat(F.lit("N"), "n_nationkey").alias("code"), F.col("n_name").alias("display"))
+    return Terminology(lambda: rows).matching("urn:vs:nations", "AN").select("system", "code")
+
+
 def _definitions(spark: SparkSession) -> DataFrame:
     base = {"resourceType": "StructureDefinition", "kind": "resource", "derivation": "specialization", "url": "urn:base:Basket", "type": "Basket", "snapshot": {"element": [{"path": "Basket"}, {"path": "Basket.code", "isSummary": True}, {"path": "Basket.when[x]", "isSummary": True}, {"path": "Basket.note"}, {"path": "Basket.code.text", "isSummary": True}]}}
     rows = [("urn:base:Basket", "Basket", json.dumps(base))] + [(f"urn:p:{k}", t, json.dumps({"derivation": "constraint"})) for k, t in enumerate(("Basket", "Basket", "Patient"))]

@@ -9,12 +9,14 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import UnsupportedParam
 from ..functions import fhirpath as P
+from .log import latest, read
 
 #: Elements that the base specification requires of types whose definitions are not loaded.
 REQUIRED = {
@@ -200,3 +202,19 @@ def validate(resources: DataFrame, profile: Profile) -> DataFrame:
     wrong = _issue("fatal", "structure", profile.type, f"not a {profile.type}", F.coalesce(F.try_variant_get(body, "$.resourceType", "string"), F.lit("")) != profile.type)
     issues = parsed.select("fhir_id", F.explode_outer(F.array_compact(F.array(wrong, *every))).alias("i")).where("i is not null")
     return issues.select("fhir_id", "i.severity", "i.code", "i.expression", "i.diagnostics")
+
+
+def validate_instance(log: DataFrame, resource_type: str, fhir_id, profile: Profile) -> DataFrame:
+    """The issues of one resource's current version; NotFound or Gone where there is none."""
+    return validate(read(log, resource_type, fhir_id), profile)
+
+
+def validate_system(log: DataFrame, profiles: dict[str, list[Profile]]) -> DataFrame:
+    """resource_type, profile (its place in the type's list) and issues of the current versions of all types that have profiles."""
+    current, parts = latest(log), []
+    for resource_type, own in sorted(profiles.items()):
+        rows = current.where(F.col("resource_type") == resource_type)
+        parts += [validate(rows, p).select(F.lit(resource_type).alias("resource_type"), F.lit(k).alias("profile"), "*") for k, p in enumerate(own)]
+    if not parts:
+        raise UnsupportedParam("no profile is given")
+    return reduce(DataFrame.unionByName, parts)

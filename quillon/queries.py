@@ -318,9 +318,15 @@ def bulk_writes(spark, sf_dir):
 # -- extraction, FHIRPath, validation, projection, patches, codecs over JSON resources
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of a table with fewer partitions than there are cores, dealt to all of them, as what follows costs a parse a row."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def observation_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as Observation resources in JSON."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    e = spread(spark.read.parquet(f"{sf_dir}/events.parquet"))
     body = F.to_json(
         F.struct(
             F.lit("Observation").alias("resourceType"),

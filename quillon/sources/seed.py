@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import json
+import os
+import re
 import tarfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import NotFound
 from ..registry import KINDS, Registry, SearchParam
 
 #: Header names that a column may go by.
@@ -68,6 +72,23 @@ def read_package(path: str) -> tuple[list[dict], list[dict]]:
     return params, profiles
 
 
+def find_package(spec: str, cache: str, fetch: Callable[[str, str, str], None] | None = None) -> str:
+    """The file of a package: a path as it is, or name@version from the cache folder, where ``fetch(name, version, to)`` puts what it lacks."""
+    name, at, version = spec.rpartition("@")
+    if not at or os.path.exists(spec):
+        return spec
+    if not re.fullmatch(r"[a-z0-9][a-z0-9._-]*", name) or not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9.+-]*", version):
+        raise NotFound(f"{spec} names no package")
+    file = os.path.join(cache, f"{name}-{version}.tgz")
+    if not os.path.exists(file):
+        if fetch is None:
+            raise NotFound(f"{spec} is not in the cache")
+        part = f"{file}.{os.getpid()}"
+        fetch(name, version, part)
+        os.replace(part, file)
+    return file
+
+
 def load_package(registry: Registry, path: str, loaded: set[str]) -> tuple[int, list[dict]]:
     """Registers a package's parameters where the registry lacks them; a package is loaded once. Returns their number and its profiles."""
     if path in loaded:

@@ -85,3 +85,39 @@ def test_writes_look_at_written_keys_only(spark):
     applied = log.apply_writes(first.unionByName(later), writes, __import__("datetime").datetime(2025, 1, 1))
     assert [(r.version_id, r.outcome) for r in applied.collect()] == [(3, "updated")]
     assert "LeftSemi" in applied._jdf.queryExecution().executedPlan().toString()
+
+
+def test_terminology_is_kept_for_a_while(spark):
+    from quillon.sources.terminology import Terminology
+
+    now, asked = [0.0], []
+
+    def rows():
+        asked.append(now[0])
+        return spark.createDataFrame([("v", "s", "a", "Apple"), ("v", "s", "b", "Pear"), ("v", "s", "papp", None)], "url string, system string, code string, display string")
+
+    t = Terminology(rows, 10, lambda: now[0])
+    assert [r.code for r in t.matching("v", "APP").collect()] == ["a", "papp"]
+    assert [r.code for r in t.matching("v", "", 1, 1).collect()] == ["b"] and t.expand("w") is None
+    assert asked == [0.0, 0.0]
+    now[0] = 11.0
+    assert t.expand("v").count() == 3 and asked == [0.0, 0.0, 11.0]
+
+
+def test_packages_by_name_and_version(tmp_path):
+    from quillon.errors import NotFound
+
+    asked = []
+
+    def fetch(name, version, to):
+        asked.append((name, version))
+        open(to, "wb").close()
+
+    cache = str(tmp_path)
+    with pytest.raises(NotFound):
+        seed.find_package("some.guide@1.0.0", cache)
+    path = seed.find_package("some.guide@1.0.0", cache, fetch)
+    assert path.endswith("some.guide-1.0.0.tgz") and seed.find_package("some.guide@1.0.0", cache) == path and asked == [("some.guide", "1.0.0")]
+    assert seed.find_package(path, cache) == path
+    with pytest.raises(NotFound):
+        seed.find_package("../x@1", cache, fetch)
