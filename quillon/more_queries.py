@@ -279,11 +279,11 @@ def validate_system(spark, sf_dir):
     return found.groupBy("resource_type", "code").agg(F.count("*").alias("n"))
 
 
-@_query("terminology_filter", "SELECT 'urn:geo' AS system, 'N' || n_nationkey AS code FROM nation WHERE lower(n_name) LIKE '%an%'")
+@_query("terminology_filter", "SELECT 'urn:geo' AS system, 'N' || n_nationkey AS code FROM nation WHERE contains(lower(n_name), 'ion_1')")
 def terminology_filter(spark, sf_dir):
     n = spark.read.parquet(f"{sf_dir}/nation.parquet")
     rows = n.select(F.lit("urn:vs:nations").alias("url"), F.lit("urn:geo").alias("system"), F.concat(F.lit("N"), "n_nationkey").alias("code"), F.col("n_name").alias("display"))
-    return Terminology(lambda: rows).matching("urn:vs:nations", "AN").select("system", "code")
+    return Terminology(lambda: rows).matching("urn:vs:nations", "Ion_1").select("system", "code")
 
 
 def _definitions(spark: SparkSession) -> DataFrame:
