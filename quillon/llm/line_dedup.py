@@ -450,6 +450,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, threshold: int = THRESHOLD)
     wanted = some.select("a").unionByName(some.select(F.col("b").alias("a"))).distinct()
     texts = docs.mapInArrow(_texts_of(Membership(spark, wanted)), "line long, text string").dropDuplicates(["line"])
     texts = scratch.save(texts, "texts")
+    scratch.release()
 
     def near(pairs: DataFrame) -> DataFrame:
         left, right = (texts.select(F.col("line").alias(k), F.col("text").alias(f"text_{k}")).hint("merge") for k in "ab")
@@ -468,6 +469,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, threshold: int = THRESHOLD)
     places = scratch.save(docs.mapInArrow(_occurrences, "line long, line2 long, doc_id long, at long"), "places")
     firsts = places.groupBy("line", "line2").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n"))
     firsts = scratch.save(firsts.join(label.withColumnRenamed("id", "line"), "line", "left").withColumn("kind", F.coalesce("component", "line")).withColumn("kind2", F.when(F.col("component").isNull(), F.col("line2"))), "lines")
+    scratch.release()
     heads = firsts.groupBy("kind", "kind2").agg(F.min("first").alias("head"), F.sum("n").alias("n")).where("n > 1")
     known = firsts.join(heads, (firsts["kind"] == heads["kind"]) & firsts["kind2"].eqNullSafe(heads["kind2"])).select("line", "line2", "head")
     gone = places.join(known, ["line", "line2"]).where("struct(doc_id, at) <> head").groupBy("doc_id").agg(F.collect_list("at").alias("gone"))
