@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .tokens import encoder, public_path
+from .tokens import ROWS, encoder, public_path
 
 WINDOW = 4096
 #: Combinations that the least-squares problem has at most.
@@ -287,7 +287,7 @@ def pack_documents(spark: SparkSession, docs: DataFrame, tokenizer: str | None =
     scratch = Scratch(spark, "packing")
     tokenizer = tokenizer or public_path("word_bpe_49k.json")
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    made = scratch.save(texts.mapInArrow(_tokenised(tokenizer, end_id, window), _DOC), "documents")
+    made = scratch.save(texts.mapInArrow(_tokenised(tokenizer, end_id, window), _DOC), "documents", ROWS)
 
     tails = made.where("tail > 0").select("doc_id", "doc_tokens", "doc_crc", "tail", "tail_crc")
     dealt = tails.repartitionByRange("tail", "doc_id", "doc_crc").sortWithinPartitions("tail", "doc_id", "doc_crc").mapInArrow(_numbered, "doc_id long, doc_tokens long, doc_crc long, tail int, tail_crc long, part int, k long")

@@ -265,12 +265,14 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     return fit(features, length, first, quality)
 
 
-def _scored(model: Model):
+def _scored(model: Model, place: int):
+    """``place``: of the text in the row."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [model.score(*line_features(raw, off)) for _, _, raw, off in W.text_chunks(batch.column(0))]
-            found = np.concatenate(scores) if scores else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found)], ["row", "score"])
+            texts = batch.column(0).flatten()[place].cast(pa.string())
+            scores = [model.score(*line_features(raw, off)) for _, _, raw, off in W.text_chunks(texts)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(scores) if scores else np.zeros(0))], ["row", "score"])
 
     return run
 
@@ -279,8 +281,8 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     """(row, score): each row of ``docs`` as one struct, and its score."""
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    rows = docs.select(docs["text"].cast("string").alias("text"), whole_row(docs).alias("row"))
-    return rows.mapInArrow(_scored(model), StructType([rows.schema["row"], StructField("score", DoubleType())]))
+    rows = docs.select(whole_row(docs).alias("row"))
+    return rows.mapInArrow(_scored(model, docs.columns.index("text")), StructType([rows.schema["row"], StructField("score", DoubleType())]))
 
 
 def quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:

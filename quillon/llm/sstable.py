@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .documents import id_and_text
 from .scratch import Scratch
-from .tokens import encoder, public_path
+from .tokens import ROWS, encoder, public_path
 
 BLOCK_BYTES = 64 << 10
 BITS_PER_KEY = 10
@@ -255,5 +255,5 @@ def read_shards(spark: SparkSession, shards: DataFrame) -> DataFrame:
 def token_shards(spark: SparkSession, docs: DataFrame, tokenizer: str | None = None, end_id: int = 2) -> DataFrame:
     scratch = Scratch(spark, "sstable")
     folder = scratch.path("shards")
-    shards = scratch.save(write_shards(spark, docs, folder, tokenizer or public_path("byte_bpe_50k.json"), end_id), "list")
+    shards = scratch.save(write_shards(spark, docs, folder, tokenizer or public_path("byte_bpe_50k.json"), end_id), "list", ROWS)
     return read_shards(spark, shards)

@@ -32,6 +32,8 @@ KEPT = 300_000
 ALONE = 64
 #: Bytes of text that are encoded at once; a longer text is encoded alone.
 CHUNK = 4 << 20
+#: Rows with a text that a worker gets at once.
+ROWS = 1000
 
 _ASCII = np.zeros(256, bool)
 _ASCII[0x21:0x7F] = True
@@ -176,6 +178,7 @@ class Encoder:
             ids = self._store[np.repeat(begin - (ends - size), size) + np.arange(ends[-1])]
             self._parts = stay
             yield first, end, ids, np.append(0, ends)[np.searchsorted(starts, off)]
+        pa.default_memory_pool().release_unused()  # a worker lives on, and so would what the dictionaries took
 
     def _keep_specials(self, raw: np.ndarray, off: np.ndarray, mark: np.ndarray) -> None:
         """Takes the marks out of texts that hold a special token's string."""
