@@ -121,3 +121,12 @@ def test_packages_by_name_and_version(tmp_path):
     assert seed.find_package(path, cache) == path
     with pytest.raises(NotFound):
         seed.find_package("../x@1", cache, fetch)
+
+
+def test_summary_by_loaded_definitions(spark):
+    from quillon.operators import project
+
+    rows = spark.createDataFrame([('{"resourceType":"Basket","id":"1","code":"a","note":"b","text":"t"}',)], "b string")
+    shown = rows.select(project.summary(F.col("b"), "true", "Basket", {"Basket": ["code"]})).first()[0]
+    assert '"code"' in shown and "note" not in shown and '"text"' not in shown and "SUBSETTED" in shown
+    assert "note" in rows.select(project.summary(F.col("b"), "true", "Basket")).first()[0]
