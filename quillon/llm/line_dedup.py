@@ -72,13 +72,22 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 _SCRAMBLED: dict[int, np.ndarray] = {}
 
 
-def scrambled(c: np.ndarray, salt: int) -> np.ndarray:
-    """mix(code point + salt), from a table where all code points are of the basic plane."""
-    if len(c) and c.max() > 0xFFFF:
-        return mix(c.astype(U64) + U64(salt))
+#: The salt of the groups of parity().
+_PARITY = 303
+
+
+def _scramble(c: np.ndarray, salt: int) -> np.ndarray:
+    values = mix(c.astype(U64) + U64(salt))
+    return U64(1) << (values >> U64(58)) if salt == _PARITY else values
+
+
+def scrambled(c: np.ndarray, salt: int, wide: bool) -> np.ndarray:
+    """A random value of each code point, or for _PARITY the bit of its group; from a table unless some are beyond the basic plane (``wide``)."""
+    if wide:
+        return _scramble(c, salt)
     if salt not in _SCRAMBLED:
-        _SCRAMBLED[salt] = mix(np.arange(1 << 16, dtype=U64) + U64(salt))
-    return _SCRAMBLED[salt][c]
+        _SCRAMBLED[salt] = _scramble(np.arange(1 << 16), salt)
+    return _SCRAMBLED[salt].take(c)
 
 
 def codes(line: str) -> np.ndarray:
@@ -106,14 +115,21 @@ class Lines:
         own = np.searchsorted(first, line, side="right") - 1
         self.row, self.number = np.array(known, np.int64)[own] if len(known) else own, line - first[own] if len(known) else line
         self._sums = self._down = self._odd = None
+        self._wide = bool(len(c)) and int(c.max()) > 0xFFFF
+        self._mixed: dict[int, np.ndarray] = {}
         self._lines: dict[int, np.ndarray] = {}
 
+    def _values(self, salt: int) -> np.ndarray:
+        if salt not in self._mixed:
+            self._mixed[salt] = scrambled(self.codes, salt, self._wide)
+        return self._mixed[salt]
+
     def part(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hashes of substrings, by powers of a base: different ones that are equal cost a comparison of their lines."""
         if self._sums is None:
             self._sums = np.zeros(len(self.codes) + 1, U64)
             up, self._down = _powers(len(self.codes) + 1)
-            np.cumsum(scrambled(self.codes, 101) * up[: len(self.codes)], out=self._sums[1:])
+            np.cumsum(self._values(101) * up[: len(self.codes)], out=self._sums[1:])
         sums = self._sums
         return mix((sums[end] - sums[start]) * self._down[start] + (end - start).astype(U64))
 
@@ -122,19 +138,19 @@ class Lines:
         if which not in self._lines:
             size = self.end - self.start
             if self._odd is None:
-                begin = np.zeros(len(self.codes), np.int64)
-                begin[self.start] = self.start
-                np.maximum.accumulate(begin, out=begin)
-                self._odd = places(np.minimum(np.arange(len(self.codes)) - begin, size.max(initial=0)))
+                # each line's places count up from its start; what lies between lines counts for nothing
+                cuts = np.concatenate([[0], self.start, [len(self.codes)]])
+                at = np.arange(len(self.codes)) - np.repeat(cuts[:-1], np.diff(cuts))
+                self._odd = places(np.minimum(at, size.max(initial=0)))
             sums = np.zeros(len(self.codes) + 1, U64)
-            np.cumsum(scrambled(self.codes, (101, 202)[which]) * self._odd, out=sums[1:])
+            np.cumsum(self._values((101, 202)[which]) * self._odd, out=sums[1:])
             self._lines[which] = mix(sums[self.end] - sums[self.start] + size.astype(U64)).view(np.int64)
         return self._lines[which]
 
     def parity(self) -> np.ndarray:
         """64 bits a line: whether each of 64 groups of characters has an odd number in it."""
         odd = np.zeros(len(self.codes) + 1, U64)
-        np.bitwise_xor.accumulate(U64(1) << (scrambled(self.codes, 303) >> U64(58)), out=odd[1:])
+        np.bitwise_xor.accumulate(self._values(_PARITY), out=odd[1:])
         return (odd[self.end] ^ odd[self.start]).view(np.int64)
 
 
@@ -473,7 +489,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, threshold: int = THRESHOLD)
     heads = firsts.groupBy("kind", "kind2").agg(F.min("first").alias("head"), F.sum("n").alias("n")).where("n > 1")
     known = firsts.join(heads, (firsts["kind"] == heads["kind"]) & firsts["kind2"].eqNullSafe(heads["kind2"])).select("line", "line2", "head")
     gone = places.join(known, ["line", "line2"]).where("struct(doc_id, at) <> head").groupBy("doc_id").agg(F.collect_list("at").alias("gone"))
-    return docs.join(gone, "doc_id", "left").select("doc_id", "text", "gone").mapInArrow(_cut, "doc_id long, n_lines long, n_removed long, kept_text string")
+    # the narrow side is hashed, a partition's doc_ids at a time, so that texts needn't be sorted
+    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "gone").mapInArrow(_cut, "doc_id long, n_lines long, n_removed long, kept_text string")
 
 
 def digest(result: DataFrame) -> DataFrame:
