@@ -28,6 +28,7 @@ empty result.
 
 from __future__ import annotations
 
+import gc
 import html
 import math
 import re
@@ -39,6 +40,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+#: A whole tag without attributes, as most are.
+_PLAIN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)>")
 #: What follows a tag's name, up to its end.
 _REST = re.compile(r"[^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*+>")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -111,6 +114,10 @@ def _tags(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
     """
     at, n, last, strict = 0, len(page), page.rfind(">"), True
     while (begin := page.find("<", at)) >= 0:
+        if m := _PLAIN.match(page, begin):
+            moved = yield begin, m.end(), m[1] == "/", m[2].lower(), ""
+            at = m.end() if moved is None else moved
+            continue
         after = page[begin + 1 : begin + 2]
         closing = after == "/"
         if page.startswith("<!--", begin):
@@ -202,7 +209,8 @@ def parse(page: str) -> _Node:
             dropped, open_in_dropped = [tag], Counter((tag,))
         else:
             child = _Node(tag, node)
-            child.doubtful = tag == "form" or _is_doubtful(tag, attributes)
+            if attributes or tag == "form":
+                child.doubtful = tag == "form" or _is_doubtful(tag, attributes)
             node.parts.append(child)
             node = child
     _prune(root)
@@ -211,14 +219,17 @@ def parse(page: str) -> _Node:
 
 def _prune(root: _Node) -> None:
     """Cuts doubtful elements, but those that hold the page's longest article or main or, without one, most of the text."""
-    nodes, stack = [], [root]
+    nodes, stack, doubtful = [], [root], False
     while stack:
         node = stack.pop()
         nodes.append(node)
-        node.chars = sum(len(_SPACE.sub(" ", p).strip()) for p in node.parts if type(p) is str)
-        stack += [p for p in reversed(node.parts) if type(p) is not str]
-    if not any(x.doubtful for x in nodes):
+        doubtful = doubtful or node.doubtful
+        if node.parts:
+            stack += [p for p in reversed(node.parts) if type(p) is not str]
+    if not doubtful:
         return
+    for node in nodes:
+        node.chars = sum([_text_size(p) for p in node.parts if type(p) is str]) if node.parts else 0
     for node in reversed(nodes):
         if node.parent is not None:
             node.parent.chars += node.chars
@@ -269,22 +280,31 @@ def _measure(root: _Node) -> tuple[list[_Node], _Node]:
     while stack:
         node, in_link = stack.pop()
         nodes.append(node)
+        node.chars = node.links = node.tags = node.link_tags = 0
+        node.total = ()  # for the time being: the sizes of its own runs
+        if not node.parts:
+            continue
         in_link = in_link or node.tag == "a"
-        runs = [_text_size(p) for p in node.parts if type(p) is str]
-        node.chars, node.tags, node.link_tags = sum(runs), 0, 0
+        node.total = [_text_size(p) for p in node.parts if type(p) is str]
+        node.chars = sum(node.total)
         node.links = node.chars if in_link else 0
-        node.total = runs  # for the time being
         stack += [(p, in_link) for p in reversed(node.parts) if type(p) is not str]
     for node in reversed(nodes):
         up = node.parent
         if up is not None:
-            up.chars += node.chars
-            up.links += node.links
+            if node.chars:
+                up.chars += node.chars
+                up.links += node.links
             up.tags += node.tags + 1
-            up.link_tags += node.link_tags + (node.tag == "a")
+            if node.link_tags or node.tag == "a":
+                up.link_tags += node.link_tags + (node.tag == "a")
     body = next((x for x in nodes if x.tag == "body"), root)
     share = body.links / max(body.chars, 1)
     for node in reversed(nodes):  # children come before their parents
+        if not node.chars:  # nothing under it has a density, and the first of the deepest is best
+            node.density = node.total = 0.0
+            node.best = next((p.best for p in node.parts if type(p) is not str), node) if node.parts else node
+            continue
         in_link = node.tag == "a" or node.links == node.chars > 0
         children = [p for p in node.parts if type(p) is not str]
         node.density = density(node.chars, node.links, node.tags, node.link_tags, share)
@@ -374,8 +394,14 @@ def blocks(node: _Node, threshold: float = 0.0) -> list[str]:
 def extract(page: str | None) -> str:
     if not page:
         return ""
-    found = main_node(parse(page))
-    return "\n".join(blocks(*found)) if found is not None else ""
+    collects = gc.isenabled()
+    gc.disable()  # no node is garbage before the text is out, so looking for some would only take time
+    try:
+        found = main_node(parse(page))
+        return "\n".join(blocks(*found)) if found is not None else ""
+    finally:
+        if collects:
+            gc.enable()
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -406,6 +406,35 @@ def test_html_reads_a_hostile_page_once(part):
     assert time.process_time() - began < 5
 
 
+def test_html_hostile_page_takes_few_calls_a_tag():
+    """Counted, as a time depends on the machine; and no garbage is looked for while a tree is built."""
+    import gc
+    import sys
+
+    calls, rounds = [0], []
+    page = "<p><b>" * 20_000 + "text"
+
+    def counted(frame, event, arg):
+        calls[0] += event in ("call", "c_call")
+
+    def noted(phase, info):
+        rounds.append(phase)
+
+    gc.collect()
+    sys.setprofile(counted)
+    try:
+        assert html_density.extract(page) == "text"
+    finally:
+        sys.setprofile(None)
+    assert calls[0] < 25 * 40_000
+    gc.callbacks.append(noted)
+    try:
+        html_density.extract(page)
+    finally:
+        gc.callbacks.remove(noted)
+    assert len(rounds) <= 4 and gc.isenabled()
+
+
 def test_html_clashing_columns(spark):
     rows = [(1, "u", "<p>x</p>", "a", 3, "t")]
     got = html_density.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int, `a.b` string"))
