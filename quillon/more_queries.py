@@ -115,8 +115,8 @@ def text_on_log(spark, sf_dir):
 
 
 def patient_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = spread(spark.read.parquet(f"{sf_dir}/customer.parquet"))
-    key, nation = F.col("c_custkey").cast("string"), F.col("c_nationkey").cast("string")
+    c = spread(spark.read.parquet(f"{sf_dir}/customer.parquet").withColumn("fhir_id", F.col("c_custkey").cast("string")), "fhir_id")
+    key, nation = F.col("fhir_id"), F.col("c_nationkey").cast("string")
     coding = lambda system, code: F.struct(F.lit(system).alias("system"), code.alias("code"))
     body = F.struct(
         F.lit("Patient").alias("resourceType"),
@@ -127,7 +127,7 @@ def patient_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.struct(F.lit("urn:nation").alias("system"), nation.alias("value")).alias("identifier")).alias("managingOrganization"),
         F.lit("<div>Patient</div>").alias("text"),
     )
-    return c.select(F.lit("default").alias("tenant_id"), F.lit("Patient").alias("resource_type"), key.alias("fhir_id"), F.lit(1).alias("version_id"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("last_updated"), F.lit("POST").alias("operation"), F.lit(False).alias("is_deleted"), F.to_json(body).alias("resource"))
+    return c.select(F.lit("default").alias("tenant_id"), F.lit("Patient").alias("resource_type"), key, F.lit(1).alias("version_id"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("last_updated"), F.lit("POST").alias("operation"), F.lit(False).alias("is_deleted"), F.to_json(body).alias("resource"))
 
 
 def patient_registry() -> Registry:
