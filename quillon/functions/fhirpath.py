@@ -165,22 +165,30 @@ def _none() -> Column:
     return F.expr("cast(array() as array<variant>)")
 
 
+def once(value: Column, then) -> Column:
+    """then() of a value, which is computed once however often then() names it."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
 def as_array(v: Column) -> Column:
     """The items of a variant: of an array its items, of a null none, of anything else itself."""
-    items = F.try_variant_get(v, "$", "array<variant>")
-    return F.when(v.isNull() | F.is_variant_null(v), _none()).when(F.schema_of_variant(v).startswith("ARRAY"), items).otherwise(F.array(v))
+    return F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.when(v.isNull() | F.is_variant_null(v), _none()).otherwise(F.array(v)))
+
+
+def named(items: Column, name: str) -> Column:
+    """The members of exactly that name of all items, flattened."""
+    return F.flatten(F.transform(F.transform(items, lambda i: F.try_variant_get(i, f"$.{name}", "variant")), as_array))
 
 
 def member(items: Column, name: str) -> Column:
     """The members of that name of all items, flattened; for a choice element those of all its types."""
     if name not in CHOICES:
-        return F.flatten(F.transform(items, lambda i: as_array(F.try_variant_get(i, f"$.{name}", "variant"))))
+        return named(items, name)
     names = [name, *(name + t for t in CHOICE_TYPES)]
 
     def of(item: Column) -> Column:
-        members = F.try_variant_get(item, "$", "map<string,variant>")
-        own = F.map_values(F.map_filter(members, lambda k, v: k.isin(names)))
-        return F.when(members.isNull(), _none()).otherwise(F.flatten(F.transform(own, as_array)))
+        own = F.map_values(F.map_filter(F.try_variant_get(item, "$", "map<string,variant>"), lambda k, v: k.isin(names)))
+        return F.coalesce(F.flatten(F.transform(own, as_array)), _none())
 
     return F.flatten(F.transform(items, of))
 
@@ -217,7 +225,7 @@ def _of_type(node, type_name: str, root: Column) -> Column:
         base = node.steps[-1].args[0]
         above = items_of(Path(node.steps[:-1]), root)
         own = base + type_name[:1].upper() + type_name[1:]
-        return F.concat(F.flatten(F.transform(above, lambda i: as_array(F.try_variant_get(i, f"$.{own}", "variant")))), _resources(member(above, base) if base not in CHOICES else _none(), type_name))
+        return F.concat(named(above, own), _resources(member(above, base) if base not in CHOICES else _none(), type_name))
     return _resources(items_of(node, root), type_name)
 
 
@@ -250,9 +258,8 @@ def _where(items: Column, test) -> Column:
     if isinstance(test, Binary) and test.op in ("=", "!=") and isinstance(test.right, Literal):
 
         def holds(i: Column) -> Column:
-            value = _first_text(items_of(test.left, F.array(i)))
-            wanted = _plain(test.right.value)
-            return value.isNotNull() & ((value == wanted) if test.op == "=" else (value != wanted))
+            value, wanted = _first_text(items_of(test.left, F.array(i))), _plain(test.right.value)
+            return F.coalesce((value == wanted) if test.op == "=" else (value != wanted), F.lit(False))
 
         return F.filter(items, holds)
     return F.filter(items, lambda i: F.coalesce(boolean(test, F.array(i)), F.lit(False)))
@@ -298,8 +305,7 @@ def boolean(node, root: Column) -> Column:
             return F.size(items) == F.size(_where(items, args[0]))
     if len(node.steps) == 1 and node.steps[0].kind == "inner":
         return boolean(node.steps[0].args[0], root)
-    items = items_of(node, root)
-    return F.coalesce(F.when(F.size(items) == 1, _first_text(items) != "false").otherwise(F.size(items) > 0), F.lit(False))
+    return once(items_of(node, root), lambda items: F.coalesce(F.when(F.size(items) == 1, _first_text(items) != "false").otherwise(F.size(items) > 0), F.lit(False)))
 
 
 def _scalar(node, root: Column) -> Column:
@@ -319,8 +325,12 @@ def _scalar(node, root: Column) -> Column:
 def _compare(op: str, a: Column, b: Column) -> Column:
     """By number where both sides are numbers, else by text."""
     ops = {"=": Column.__eq__, "!=": Column.__ne__, "<": Column.__lt__, ">": Column.__gt__, "<=": Column.__le__, ">=": Column.__ge__}
-    x, y = a.try_cast("double"), b.try_cast("double")
-    return F.coalesce(F.when(x.isNotNull() & y.isNotNull(), ops[op](x, y)).otherwise(ops[op](a, b)), F.lit(False))
+
+    def of(a: Column, b: Column) -> Column:
+        x, y = a.try_cast("double"), b.try_cast("double")
+        return F.coalesce(F.when(x.isNotNull() & y.isNotNull(), ops[op](x, y)).otherwise(ops[op](a, b)), F.lit(False))
+
+    return once(F.struct(a.alias("a"), b.alias("b")), lambda s: of(s["a"], s["b"]))
 
 
 def evaluate(expression: str, resource: Column) -> Column:

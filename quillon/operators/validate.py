@@ -87,7 +87,7 @@ def contains(item: Column, pattern) -> Column:
     if isinstance(pattern, dict):
         test = F.lit(True)
         for key, value in pattern.items():
-            held = P.as_array(F.try_variant_get(item, f"$.{key}", "variant"))
+            held = P.named(F.array(item), key)
             wanted = value if isinstance(value, list) else [value]
             for w in wanted:
                 test = test & F.exists(held, _holding(w))
@@ -188,8 +188,7 @@ def required(resource_type: str, body: Column) -> list[Column]:
     """Missing or empty elements of the types with a list of their own."""
 
     def empty(name: str) -> Column:
-        items = P.member(F.array(body), name)
-        return (F.size(items) == 0) | F.forall(items, lambda i: F.to_json(i).isin('""', "{}", "[]"))
+        return F.forall(P.member(F.array(body), name), lambda i: F.to_json(i).isin('""', "{}", "[]"))
 
     return [_issue("error", "required", f"{resource_type}.{n}", f"{resource_type}.{n} is missing", empty(n)) for n in REQUIRED.get(resource_type, ())]
 
