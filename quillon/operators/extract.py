@@ -24,7 +24,7 @@ def _get(item: Column, path: str, kind: str = "string") -> Column:
 
 
 def _is_object(item: Column) -> Column:
-    return F.schema_of_variant(item).startswith("OBJECT")
+    return F.try_variant_get(item, "$", "map<string,variant>").isNotNull()
 
 
 def _leaves(item: Column) -> Column:
@@ -45,11 +45,10 @@ def _token(system: Column, code: Column, display: Column) -> Column:
 
 def _codings(item: Column) -> Column:
     """Of a CodeableConcept one token a coding; of a Coding, Identifier, ContactPoint or plain value one."""
-    coding = P.as_array(F.try_variant_get(item, "$.coding", "variant"))
-    concept = F.transform(coding, lambda c: _token(_get(c, "system"), _get(c, "code"), F.coalesce(_get(c, "display"), _get(item, "text"))))
+    concept = F.transform(P.named(F.array(item), "coding"), lambda c: _token(_get(c, "system"), _get(c, "code"), F.coalesce(_get(c, "display"), _get(item, "text"))))
     single = _token(_get(item, "system"), F.coalesce(_get(item, "code"), _get(item, "value")), F.coalesce(_get(item, "display"), _get(item, "text")))
     plain = _token(F.lit(None).cast("string"), P.text_of(item), F.lit(None).cast("string"))
-    return F.when(_is_object(item) & (F.size(coding) > 0), concept).when(_is_object(item), F.array(single)).otherwise(F.array(plain))
+    return P.once(concept, lambda c: F.when(F.size(c) > 0, c).when(_is_object(item), F.array(single)).otherwise(F.array(plain)))
 
 
 def _tokens(items: Column) -> Column:
@@ -60,8 +59,7 @@ def _typed_identifiers(items: Column) -> Column:
     """Rows for :of-type: the type's system|code and the identifier's value."""
 
     def one(item: Column) -> Column:
-        codings = P.as_array(F.try_variant_get(item, "$.type.coding", "variant"))
-        return F.transform(codings, lambda c: _token(F.concat_ws("|", F.coalesce(_get(c, "system"), F.lit("")), _get(c, "code")), _get(item, "value"), F.lit(None).cast("string")))
+        return F.transform(P.named(F.array(item), "type.coding"), lambda c: _token(F.concat_ws("|", F.coalesce(_get(c, "system"), F.lit("")), _get(c, "code")), _get(item, "value"), F.lit(None).cast("string")))
 
     return F.filter(F.flatten(F.transform(items, one)), lambda t: t["code"].isNotNull())
 
@@ -101,9 +99,13 @@ def _uris(items: Column) -> Column:
 def _references(items: Column) -> Column:
     def one(item: Column) -> Column:
         text = F.regexp_replace(F.coalesce(_get(item, "reference"), F.when(~_is_object(item), P.text_of(item))), r"/_history/.*$", "")
-        kind, own = F.regexp_extract(text, r"([A-Za-z]+)/([^/]+)/?$", 1), F.regexp_extract(text, r"([^/]+)/?$", 1)
-        empty = lambda c: F.when(c != "", c)
-        return F.struct(empty(kind).alias("target_type"), empty(own).alias("target_id"), _get(item, "identifier.system").alias("identifier_system"), _get(item, "identifier.value").alias("identifier_value"))
+        empty = lambda c: P.once(c, lambda v: F.when(v != "", v))
+
+        def parts(text: Column) -> Column:
+            kind, own = F.regexp_extract(text, r"([A-Za-z]+)/([^/]+)/?$", 1), F.regexp_extract(text, r"([^/]+)/?$", 1)
+            return F.struct(empty(kind).alias("target_type"), empty(own).alias("target_id"), _get(item, "identifier.system").alias("identifier_system"), _get(item, "identifier.value").alias("identifier_value"))
+
+        return P.once(text, parts)
 
     return F.filter(F.transform(items, one), lambda r: r["target_id"].isNotNull() | r["identifier_value"].isNotNull())
 
