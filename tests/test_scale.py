@@ -37,3 +37,38 @@ def test_turtle_is_read_in_one_pass():
     began = time.process_time()
     assert codecs.from_turtle(text) == doc
     assert time.process_time() - began < 10
+
+
+def test_xml_is_written_as_a_tree_is():
+    import xml.etree.ElementTree as ET
+
+    from quillon.sources import codecs
+
+    def tree(doc):
+        root = ET.Element(doc["resourceType"], xmlns=codecs.FHIR)
+        codecs._fill(root, doc)
+        return ET.tostring(root, encoding="unicode")
+
+    docs = [
+        {"resourceType": "A"},
+        {"resourceType": "A", "b": {}, "c": [], "_d": 1, "e": [None, True, 2.0, 1e20, "<&>\"'\r\n\té"], "": "x"},
+        {"resourceType": "A", "contained": [{"resourceType": "B", "id": "1"}, {"resourceType": "C"}], "f": {"g": [{"h": 1}, {}]}},
+    ]
+    for doc in docs:
+        assert codecs._written(doc) == tree(doc)
+    assert codecs._written({"resourceType": "A", "text": {"div": "<div>x</div>"}}) is None
+
+
+def _plan(spark, name):
+    return Q.queries()[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_body_is_made_before_rows_are_dealt(spark):
+    above, below = _plan(spark, "summary_data").split("REPARTITION_BY_NUM")
+    assert "jsonObjectKeys" in above and "jsonObjectKeys" not in below
+
+
+def test_latest_versions_need_no_exchange_of_bodies(spark):
+    """Only the counts are exchanged after the rows of the two tables are dealt."""
+    plan = _plan(spark, "validate_system")
+    assert plan.count("REPARTITION_BY_NUM") == 2 and plan.count("ENSURE_REQUIREMENTS") == 1
